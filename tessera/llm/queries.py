@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("tokenizer",)
+MODULES = ("tokenizer", "leakage")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
