@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("tokenizer", "leakage")
+MODULES = ("tokenizer", "leakage", "splitting")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
