@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("tokenizer", "leakage", "splitting", "canonical")
+MODULES = ("tokenizer", "leakage", "splitting", "canonical", "neighbours")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
