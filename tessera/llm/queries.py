@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("tokenizer", "leakage", "splitting", "canonical", "neighbours")
+MODULES = ("tokenizer", "leakage", "splitting", "canonical", "neighbours", "topics")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
