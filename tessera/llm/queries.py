@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("tokenizer", "leakage", "splitting", "canonical", "neighbours", "topics")
+MODULES = ("sentences", "canonical", "splitting", "neighbours", "topics", "tokenizer", "leakage")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
