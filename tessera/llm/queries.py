@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("sentences", "canonical", "splitting", "neighbours", "topics", "tokenizer", "leakage")
+MODULES = ("sentences", "canonical", "splitting", "neighbours", "topics", "tokenizer", "leakage", "stuffing")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
