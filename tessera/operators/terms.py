@@ -30,6 +30,8 @@ ENGLISH_WORD = "[A-Za-z][A-Za-z0-9]*(?:[-'][A-Za-z0-9]+)*"
 HEADING_NUMBER = f"(?i)^(?:第[{SPACE}]*[一二三四五六七八九十百0-9]+[{SPACE}]*章[{SPACE}]*[-—–:：]*[{SPACE}]*|chapter[{SPACE}]+[0-9]+[{SPACE}]*[-—–:：]*[{SPACE}]*|[0-9]+(?:\\.[0-9]+){{0,6}}\\.?[{SPACE}]*)"
 ENGLISH_SIZES, CHINESE_SIZES = 4, 3
 SIMILAR, TERMS, MENTION_SHARE = 0.88, 12, 0.45
+#: Beginnings of terms up to this many (three signs each) are broadcast; beyond it the join shuffles.
+BROADCAST_STARTS = 500_000
 
 
 def valid_candidate(term: Column) -> Column:
@@ -204,7 +206,9 @@ def mentions(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     named = terms.where("text <> ''").select("term_id", F.col("text").alias("matched_text"), "match_type", folded(F.col("text")).alias("t"))
     size = 3
     keyed = named.withColumn("g", F.substring("t", 1, size))
-    starts = keyed.where(F.length("t") >= size).select("g").distinct()
+    starts = cut_lineage(keyed.where(F.length("t") >= size).select("g").distinct())
+    if starts.count() <= BROADCAST_STARTS:
+        starts = F.broadcast(starts)
     n = F.length("r") - (size - 1)
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col("r"), i, F.lit(size))))
     spread = folded_chunks.where(n >= 1).select("chunk_id", F.explode(grams).alias("g")).join(starts, "g", "left_semi")
