@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed values of the token estimate: an ideograph, a Latin word and any other sign.
 CJK_WEIGHT, WORD_WEIGHT, OTHER_WEIGHT = 1.0, 1.3, 0.35
@@ -44,12 +45,12 @@ def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.char_length(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _folded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold(), na_action="ignore")
 

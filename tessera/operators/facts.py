@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import upsert
 from tessera.operators.retrieve import with_citation
 
 #: Predicates a fact may have.
-PREDICATES = ("APPLIES_TO", "REQUIRES", "PROHIBITS", "DEFINES", "PERMITS", "EXEMPTS", "REFERENCES", "RELATED_TO")
+PREDICATES = ("REQUIRES", "RESPONSIBLE_FOR", "MITIGATES", "APPLIES_TO", "PROHIBITS", "REPORTS_TO", "MONITORS", "RELATED_TO")
 STATUSES = ("pending", "approved", "rejected")
 QUOTE, CONFIDENCE = 500, 0.35
 
@@ -65,10 +65,7 @@ def write_facts(stored: DataFrame, candidates: DataFrame) -> DataFrame:
 def pending(facts: DataFrame, supports: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
     """Facts to review: best confidence, number of supports, up to three quotes in order of file, page and chunk."""
     rows = facts.where("status = 'pending'").join(supports, "fact_id").join(chunks.select("chunk_id", "source_file", "page"), "chunk_id")
-    # the three first quotes are found by min-heap aggregates, not by collecting all
     first = F.slice(F.array_sort(F.collect_set(F.struct("source_file", "page", "chunk_id", "quote"))), 1, 3)
-    from pyspark.sql import Window
-
     order = Window.partitionBy("fact_id").orderBy("source_file", "page", "chunk_id", "quote")
     few = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= 3).groupBy("fact_id").agg(first.alias("evidence"))
     sums = rows.groupBy("fact_id", "subject_concept_id", "predicate", "object_concept_id").agg(F.max("confidence").alias("confidence"), F.count("*").alias("evidence_count"))
@@ -85,8 +82,6 @@ def set_status(facts: DataFrame, changes: DataFrame) -> DataFrame:
 
 def approved(facts: DataFrame, supports: DataFrame, chunks: DataFrame, concept_ids: list[str], limit: int) -> DataFrame:
     """Approved facts on any of the concepts with up to three quotes."""
-    from pyspark.sql import Window
-
     kept = facts.where((F.col("status") == "approved") & (F.col("subject_concept_id").isin(concept_ids) | F.col("object_concept_id").isin(concept_ids))).orderBy("fact_id").limit(limit)
     rows = kept.join(supports, "fact_id", "left").join(chunks.select("chunk_id", "source_file", "page"), "chunk_id", "left")
     order = Window.partitionBy("fact_id").orderBy(F.desc("confidence"), "source_file", "page", "chunk_id")

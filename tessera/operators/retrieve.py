@@ -87,15 +87,21 @@ def _fuzzy(question: pd.Series, term: pd.Series) -> pd.Series:
     return pd.Series([fuzzy_similarity(q, t) for q, t in zip(question, term, strict=True)], dtype=float)
 
 
+def _grams(text: Column) -> Column:
+    """Pairs of signs of a text without blanks, the same of its Latin words alone, and Latin words of one sign."""
+    pairs = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
+    single = F.regexp_extract_all(text, F.lit("(?<![a-z0-9])([a-z0-9])(?![a-z0-9])"), 1)
+    return F.array_distinct(F.concat(pairs(F.replace(text, F.lit(" "), F.lit(""))), pairs(F.regexp_replace(text, "[^a-z0-9]", "")), single))
+
+
 def fuzzy_matches(questions: DataFrame, terms: DataFrame, least: float = FUZZY_LEAST) -> DataFrame:
-    """Terms nearly in a question. A ratio of 0.88 needs shared pairs of signs, so only pairs that share one are compared."""
-    gram = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
+    """Terms nearly in a question. At a ratio of 0.88 more than half of a term's pairs of signs are whole in the window,
+    so a pair of question and term that shares none cannot match and isn't compared."""
     asked = questions.select("question_id", normalize_question(F.col("question")).alias("q"))
     named = terms.select("term_id", "concept_id", F.col("text").alias("term_text"), normalize_question(F.col("text")).alias("t"))
     named = named.where(F.length(F.replace("t", F.lit(" "), F.lit(""))) >= 4)
-    shared = asked.select("question_id", F.explode(gram(F.col("q"))).alias("g")).join(named.select("term_id", F.explode(gram(F.col("t"))).alias("g")), "g")
-    # matching blocks of 88 % of both sides leave a quarter of a term's pairs whole at least
-    near = shared.groupBy("question_id", "term_id").agg(F.count("*").alias("n")).join(named, "term_id").where(F.col("n") >= (F.length("t") - 1) * 0.25).join(asked, "question_id")
+    shared = asked.select("question_id", F.explode(_grams(F.col("q"))).alias("g")).join(named.select("term_id", F.explode(_grams(F.col("t"))).alias("g")), "g").select("question_id", "term_id").distinct()
+    near = shared.join(named, "term_id").join(asked, "question_id")
     scored = near.withColumn("similarity", _fuzzy("q", "t")).where(F.col("similarity") >= least)
     return scored.select("question_id", "concept_id", "term_id", "term_text", F.length("t").alias("length"), F.round("similarity", 4).alias("confidence"), F.lit("fuzzy_term").alias("method"))
 
