@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows times dimensions of a matrix that may be broadcast (8 bytes each, so 64 MB).
 BROADCAST_NUMBERS = 8_000_000
@@ -41,6 +42,7 @@ def similarities(df: DataFrame, key: str, vec: str, matrix: DataFrame, name: str
 
     The matrix is collected after its size is checked; beyond the bound it is taken in blocks of rows, one pass each.
     """
+    name_type = to_arrow_type(matrix.schema[name].dataType)
     rows = matrix.where(usable(F.col(vector))).select(name, vector).distinct()
     size = rows.agg(F.count("*"), F.max(F.size(vector))).first()
     kind = df.schema[key].dataType.simpleString(), matrix.schema[name].dataType.simpleString()
@@ -65,7 +67,7 @@ def similarities(df: DataFrame, key: str, vec: str, matrix: DataFrame, name: str
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(float)
                 s = (x @ m.T) / np.linalg.norm(x, axis=1, keepdims=True)
                 at = pa.array(np.repeat(np.arange(len(x)), len(names)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(names * len(x)), pa.array(s.ravel())], names=[key, name, "similarity"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(names * len(x), name_type), pa.array(s.ravel())], names=[key, name, "similarity"])
 
         fitting = df.where(usable(F.col(vec)) & (F.size(vec) == size[1])).select(key, vec)
         block = fitting.mapInArrow(run, schema)

@@ -70,8 +70,11 @@ def _runs(texts: DataFrame, key: list[str], parts: Column, stop: Column, sizes:
 
 
 def _grams(words: Column, sizes: int, glue: str) -> Column:
-    grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1))), lambda i, k=k: F.when(F.size(words) >= k, F.array_join(F.slice(words, i, k), glue))) for k in range(1, sizes + 1)]
-    return F.array_compact(F.flatten(F.array(*grams)))
+    def of_size(k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.when(F.size(words) >= k, F.array_join(F.slice(words, i, F.lit(k)), glue)))
+
+    return F.array_compact(F.flatten(F.array(*map(of_size, range(1, sizes + 1)))))
 
 
 def bigram_segmenter(runs: pd.Series) -> pd.Series:

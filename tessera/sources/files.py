@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import squeeze
+from tessera.functions.text import SPACE
 
 
 def source_files(spark: SparkSession, folder: str, suffix: str = "pdf") -> DataFrame:
@@ -35,35 +35,40 @@ def cached_vectors(spark: SparkSession, folder: str, model: str, corpus_hash: st
 
 
 def safe_component(value: Column, fallback: str = "untitled") -> Column:
-    """A name that file systems take."""
-    plain = F.regexp_replace(F.regexp_replace(squeeze(F.coalesce(value, F.lit(""))), '[<>:"/\\\\|?*\\x00-\\x1f]+', "-"), "^[. -]+|[. -]+$", "")
-    return F.when(F.length(plain) > 0, F.substring(plain, 1, 120)).otherwise(F.lit(fallback))
+    """A readable name that file systems take."""
+    plain = F.regexp_replace(F.regexp_replace(value, '[<>:"/\\\\|?*\\x00-\\x1f]', "_"), f"[{SPACE}]+", " ")
+    return F.coalesce(F.nullif(F.regexp_replace(plain, "^[ .]+|[ .]+$", ""), F.lit("")), F.lit(fallback))
 
 
 def chunk_file_name(chunk: DataFrame) -> Column:
     """p0001_c001_section_part-02.md; the part only from the second on."""
-    section = F.when(F.col("section_id").isNotNull(), F.concat(F.lit("_"), safe_component(F.col("section_id"))))
-    part = F.when(F.col("split_part") > 1, F.format_string("_part-%02d", F.col("split_part")))
-    return F.concat(F.format_string("p%04d_c%03d", F.col("page"), F.col("chunk_index")), F.coalesce(section, F.lit("")), F.coalesce(part, F.lit("")), F.lit(".md"))
+    part = F.when(F.col("split_part") > 1, F.format_string("_part-%02d", F.col("split_part").cast("int"))).otherwise("")
+    return F.concat(F.format_string("p%04d_c%03d_", "page", "chunk_index"), safe_component(F.coalesce("section_id", F.lit("no-section"))), part, F.lit(".md"))
 
 
 def yaml_value(value: Column, kind: str) -> Column:
     """JSON strings are YAML strings; null, numbers and booleans as they are."""
-    if kind in ("int", "bigint", "double", "boolean"):
+    if kind != "string":
         return F.coalesce(value.cast("string"), F.lit("null"))
-    escaped = F.replace(F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
-    return F.coalesce(F.concat(F.lit('"'), escaped, F.lit('"')), F.lit("null"))
+    return F.coalesce(F.regexp_extract(F.to_json(F.struct(value.alias("v"))), '^\\{"v":(.*)\\}$', 1), F.lit("null"))
 
 
-FRONT = ("chunk_id", "source_file", "page", "chunk_index", "split_part", "section_id", "section_title", "section_path", "is_table_of_contents", "estimated_tokens", "text_length", "chunking_method")
+#: The keys of the front matter and the columns they show.
+FRONT = {k: k for k in ("chunk_id", "source_file", "document_sha256")} | {"pdf_page": "page", "chunk_index": "chunk_index"} | {k: k for k in ("section_id", "section_title", "section_path", "is_table_of_contents", "estimated_tokens")}
+FRONT |= {"source_start_line": "start_line", "source_end_line": "end_line", "split_part": "split_part", "chunking_method": "chunking_method"}
 
 
-def markdown(chunks: DataFrame) -> DataFrame:
-    """(document, file_name, content) of every chunk: front matter, a heading, the text."""
+def markdown(chunks: DataFrame, link: str = "../../") -> DataFrame:
+    """(document, file_name, content) of every chunk: front matter, a link to the page, both texts."""
     kinds = dict(chunks.dtypes)
-    front = [F.concat(F.lit(f"{c}: "), yaml_value(F.col(c), kinds[c])) for c in FRONT]
-    title = F.coalesce("section_path", "section_title", "chunk_id")
-    content = F.concat(F.lit("---\n"), F.array_join(F.array(*front), "\n"), F.lit("\n---\n\n# "), title, F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
+    front = [F.concat(F.lit(f"{k}: "), F.when(F.col(c).isNull(), "null").otherwise(yaml_value(F.col(c), kinds[c]))) for k, c in FRONT.items()]
+    page = F.col("page").cast("string")
+    # url_encode is for forms; a path keeps its slashes and writes a blank as %20
+    target = F.replace(F.replace(F.url_encode("source_file"), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+    content = F.concat(
+        F.lit("---\n"), F.array_join(F.array(*front), "\n"), F.lit("\n---\n\n# "), "chunk_id", F.lit("\n\n[Open source PDF at page "), page, F.lit("]("), F.lit(link), target, F.lit("#page="), page,
+        F.lit(")\n\n## Retrieval Context\n\n"), F.coalesce("retrieval_text", F.lit("")), F.lit("\n\n## Source Text\n\n"), F.coalesce("text", F.lit("")), F.lit("\n"),
+    )
     return chunks.select(safe_component(F.regexp_replace("source_file", "\\.[^.]*$", "")).alias("document"), chunk_file_name(chunks).alias("file_name"), content.alias("content"))
 
 

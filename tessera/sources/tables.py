@@ -11,7 +11,7 @@ from tessera.plans.runtime import read_table
 def latest(df: DataFrame, key: str) -> DataFrame:
     """One row per key, the last loaded; rows without a key are dropped. A node's key is unique hereafter."""
     rest = [c for c in df.columns if c not in (key, "updated_at") and not c.endswith("embedding")]
-    order = Window.partitionBy(key).orderBy(F.col("updated_at").desc_nulls_last(), F.xxhash64(*rest))
+    order = Window.partitionBy(key).orderBy(F.col("updated_at").desc_nulls_last(), F.xxhash64(key, *rest))
     return df.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
