@@ -129,6 +129,8 @@ def search(base: DataFrame, dimensions: int, k: int, probes: int, least: float,
     """base: id, vec, one row per distinct vector. (id, other, similarity): the k best of each query row with similarity of at least `least`."""
     spark = base.sparkSession
     total = base.count()
+    if not total:
+        return spark.createDataFrame([], "id string, other string, similarity double")
     parts = max(1, min(MOST_PARTITIONS, math.ceil(total / ROWS)))
     wanted = max(SAMPLE, SAMPLE_PER_PARTITION * parts)
     picked = base.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, wanted * 1.1 / max(total, 1)))).select("vec").limit(wanted)
@@ -157,13 +159,13 @@ def search(base: DataFrame, dimensions: int, k: int, probes: int, least: float,
     # sizes of the partitions, at most MOST_PARTITIONS rows; they set how a partition is cut into blocks
     held = {r[0]: r[1] for r in routed.groupBy(F.col("parts")[0]).count().collect()}
     asked = {r[0]: r[1] for r in routed.where("asks").select(F.explode("parts").alias("p")).groupBy("p").count().collect()}
-    blocks = F.create_map(*[F.lit(x) for p, n in held.items() for x in (p, math.ceil(n / INDEX_BLOCK))]) if held else F.create_map()
+    blocks = F.create_map(*[F.lit(x) for p, n in held.items() for x in (p, math.ceil(n / INDEX_BLOCK))])
     queries = F.create_map(*[F.lit(x) for p in range(parts) for x in (p, max(1, math.ceil(asked.get(p, 0) / QUERY_BLOCK)))])
     hashed = F.xxhash64("id")
     index = routed.select("id", "vec", F.col("parts")[0].alias("p"))
     index = index.select("id", "vec", "p", F.pmod(hashed, blocks[F.col("p")]).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), queries[F.col("p")] - 1)).alias("q"), F.lit(False).alias("asks"))
     asking = routed.where("asks").select("id", "vec", F.explode("parts").alias("p"))
-    asking = asking.where(blocks[F.col("p")].isNotNull())
+    asking = asking.where(blocks[F.col("p")].isNotNull())  # a partition may hold no row
     asking = asking.select("id", "vec", "p", F.explode(F.sequence(F.lit(0), blocks[F.col("p")] - 1)).alias("i"), F.pmod(hashed, queries[F.col("p")]).cast("int").alias("q"), F.lit(True).alias("asks"))
 
     def compare(table: pa.Table) -> pa.Table:
