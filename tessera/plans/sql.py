@@ -50,7 +50,7 @@ def folded(text: str) -> str:
     out = f"translate({text}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
     for x, y in several:
         out = f"replace({out}, '{x}', '{y}')"
-    return f"replace(lower(nfc_normalize({out})), 'ß', 'ss')"
+    return f"replace(replace(lower(nfc_normalize({out})), 'ß', 'ss'), 'ς', 'σ')"
 
 
 def unit_dot(a: str, b: str) -> str:
