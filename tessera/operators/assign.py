@@ -25,7 +25,6 @@ def primary(df: DataFrame, key: str, vec: str, clusters: DataFrame, name: str, v
     another gets the most similar cluster (0.8 of the similarity). Ties go to the lower name."""
     held = similarities(df, key, vec, clusters, name, vector)
     s = F.round("similarity", 6)
-    best = held.groupBy(key).agg(F.max_by(F.struct(name, "similarity"), F.struct(s, F.lit(0))).alias("b")) if label is None else None
     clip = lambda c: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), 6)
     if label is None:
         top = held.groupBy(key).agg(F.max(s).alias("top"))
@@ -43,10 +42,10 @@ def primary(df: DataFrame, key: str, vec: str, clusters: DataFrame, name: str, v
 def secondary(held: DataFrame, chosen: DataFrame, key: str, name: str) -> DataFrame:
     """held: (key, name, similarity) of all clusters. Further clusters of a row: similar enough, close to its best, not its primary."""
     s = F.round("similarity", 6)
-    ranked = held.withColumn("s", s).withColumn("top", F.max("s").over(Window.partitionBy(key)))
-    near = ranked.where((F.col("s") >= SECONDARY_LEAST) & (F.round(F.col("top") - F.col("s"), 6) <= SECONDARY_GAP)).join(chosen.select(key, name), [key, name], "left_anti")
-    order = Window.partitionBy(key).orderBy(F.desc("s"), name)
-    return near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= MOST_CONCEPTS - 1).select(key, name, F.col("s").alias("semantic_similarity"))
+    ranked = held.withColumn("_s", s).withColumn("_top", F.max("_s").over(Window.partitionBy(key)))
+    near = ranked.where((F.col("_s") >= SECONDARY_LEAST) & (F.round(F.col("_top") - F.col("_s"), 6) <= SECONDARY_GAP)).join(chosen.select(key, name), [key, name], "left_anti")
+    order = Window.partitionBy(key).orderBy(F.desc("_s"), name)
+    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= MOST_CONCEPTS - 1).select(key, name, F.col("_s").alias("semantic_similarity"))
 
 
 def representatives(df: DataFrame, key: str, vec: str, group: str, limit: int = 3) -> DataFrame:
