@@ -67,7 +67,7 @@ def coarse(skeleton: Column) -> Column:
 def same_looking(df: DataFrame) -> DataFrame:
     """df: kind, scope, id, text. The members of all classes with more than one stored text: kind, scope, id, text, canonical."""
     spark = df.sparkSession
-    rows = df.where(F.col("text").isNotNull() & F.col("id").isNotNull()).withColumn("form", skeleton(F.col("text")))
+    rows = df.select("kind", "scope", "id", "text").where(F.col("text").isNotNull() & F.col("id").isNotNull()).withColumn("form", skeleton(F.col("text")))
     rows = rows.where(F.trim(F.translate("form", "\n\r", "  ")) != "")
     rows = rows.withColumn("scope", F.coalesce("scope", F.lit("")))
     rows = rows.withColumn("h", F.xxhash64("kind", "scope", coarse(F.col("form")))).withColumn("t", F.xxhash64("text"))
