@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators import structure as S
 from tessera.plans import sql
-from tessera.plans.runtime import read_table
+from tessera.plans.runtime import read_table, spread
 from tessera.sources import files, tables
 
 
 def token_estimate(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "documents").select("doc_id", X.estimate_tokens(F.col("text")).alias("tokens"))
+    return spread(read_table(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.estimate_tokens(F.col("text")).alias("tokens"))
 
 
 def chunk_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +63,7 @@ def section_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def budget_split(spark: SparkSession, d: str) -> DataFrame:
-    parts = S.split_parts(read_table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text"), "text")
+    parts = S.split_parts(spread(read_table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")), "text")
     return parts.select("doc_id", "part", F.length("text").alias("length"), X.estimate_tokens(F.col("text")).alias("tokens"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators import terms as T
 from tessera.plans import sql
-from tessera.plans.runtime import cut_lineage, read_table
+from tessera.plans.runtime import cut_lineage, read_table, spread
 from tessera.sources import tables
 
 
@@ -54,7 +54,7 @@ def heading_candidates(spark: SparkSession, d: str) -> DataFrame:
 def cluster_terms(spark: SparkSession, d: str) -> DataFrame:
     """Scored terms by language of the documents as the given clusters."""
     rows = read_table(spark, d, "documents").where("text IS NOT NULL").select(F.coalesce("lang", F.lit("none")).alias("cluster"), "doc_id", "text")
-    counts = cut_lineage(T.candidates(rows, ["cluster", "doc_id"], "text"))
+    counts = cut_lineage(T.candidates(spread(rows), ["cluster", "doc_id"], "text"))
     return T.cluster_terms(counts, "cluster", "doc_id").select("cluster", "term", F.round("score", 6).alias("score"), "frequency", "chunk_frequency", "language")
 
 
