@@ -10,7 +10,7 @@ Only texts that can have a partner reach the collation: a coarser key (skeleton
 marks) is hashed, and hashes with one stored text are left out first, so two numbers per
 row are shuffled, not the texts.
 
-Defined cases: null and blank texts belong to no class; equal strings are no pair; line
+Defined cases: null and blank texts and those of a null scope (concept) belong to no class; equal strings are no pair; line
 breaks are not blanks; a text that repeats counts once for each id.
 """
 
@@ -67,9 +67,8 @@ def coarse(skeleton: Column) -> Column:
 def same_looking(df: DataFrame) -> DataFrame:
     """df: kind, scope, id, text. The members of all classes with more than one stored text: kind, scope, id, text, canonical."""
     spark = df.sparkSession
-    rows = df.select("kind", "scope", "id", "text").where(F.col("text").isNotNull() & F.col("id").isNotNull()).withColumn("form", skeleton(F.col("text")))
+    rows = df.select("kind", "scope", "id", "text").where(F.col("text").isNotNull() & F.col("id").isNotNull() & F.col("scope").isNotNull()).withColumn("form", skeleton(F.col("text")))
     rows = rows.where(F.trim(F.translate("form", "\n\r", "  ")) != "")
-    rows = rows.withColumn("scope", F.coalesce("scope", F.lit("")))
     rows = rows.withColumn("h", F.xxhash64("kind", "scope", coarse(F.col("form")))).withColumn("t", F.xxhash64("text"))
     several = cut_lineage(rows.groupBy("h").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("h"))
     hashes = F.broadcast(several) if several.count() <= BROADCAST_HASHES else several
