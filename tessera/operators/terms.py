@@ -77,13 +77,11 @@ def _grams(words: Column, sizes: int, glue: str) -> Column:
     return F.array_compact(F.flatten(F.array(*map(of_size, range(1, sizes + 1)))))
 
 
-def bigram_segmenter(runs: pd.Series) -> pd.Series:
-    """The default cut of ideograph runs into words: pairs, then what is left. A dictionary cut can be given instead."""
-    return runs.map(lambda r: None if r is None else [r[i : i + 2] for i in range(0, len(r), 2)], na_action="ignore")
-
-
 def candidates(texts: DataFrame, key: list[str], text: str, segmenter=None) -> DataFrame:
-    """(key, term, display, n): counted term candidates of each text, English and Chinese."""
+    """(key, term, display, n): counted term candidates of each text, English and Chinese.
+
+    segmenter: cuts a pandas Series of ideograph runs into lists of words; without it runs are cut into pairs in the JVM.
+    """
     value = F.coalesce(F.col(text), F.lit(""))
     segments = F.transform(F.split(value, SEGMENT_ENDS), lambda s: F.regexp_extract_all(s, F.lit(f"({ENGLISH_WORD})"), 1))
     english = _runs(texts, key, segments, lambda w: F.lower(w).isin(ENGLISH_STOPWORDS), ENGLISH_SIZES, " ")

@@ -86,15 +86,30 @@ def chunk_markdown(spark: SparkSession, d: str) -> DataFrame:
     return files.markdown(tables.chunks(spark, d, "source_file", "text", "retrieval_text", "document_sha256", "page", "chunk_index", "section_id", "section_title", "section_path", "is_table_of_contents", "estimated_tokens", "start_line", "end_line", "split_part", "chunking_method"))
 
 
+def sample_chunk(spark: SparkSession, d: str) -> DataFrame:
+    """The first chunk outside contents pages, with its citation."""
+    rows = tables.chunks(spark, d, "source_file", "page", "chunk_index", "text", "section_path", "is_table_of_contents").where("text IS NOT NULL AND NOT coalesce(is_table_of_contents, false)")
+    return rows.orderBy("source_file", "page", "chunk_index", "chunk_id").limit(1).select("chunk_id", "text", "section_path", F.format_string("[%s p.%d]", "source_file", "page").alias("citation"))
+
+
 def export_index(spark: SparkSession, d: str) -> DataFrame:
     return files.document_index(tables.chunks(spark, d, "source_file", "is_table_of_contents"))
 
 
 _C = sql
-QUERIES = {f.__name__: f for f in (token_estimate, chunk_tokens, clean_lines, repeated_margins, margin_removed_lines, contents_pages, structural_lines, line_joins, section_units, section_chunks, budget_split, chunk_statistics, file_hashes, chunk_files, chunk_markdown, export_index)}
+QUERIES = {f.__name__: f for f in (token_estimate, chunk_tokens, clean_lines, repeated_margins, margin_removed_lines, contents_pages, structural_lines, line_joins, section_units, section_chunks, budget_split, chunk_statistics, file_hashes, chunk_files, chunk_markdown, sample_chunk, export_index)}
 _REPEATED = f"""z AS (SELECT *, n <= 6 OR n > max(n) OVER (PARTITION BY doc, page) - 6 AS margin, {_C.KEY} AS key FROM l),
     rep AS (SELECT z.doc, key, count(DISTINCT page) AS pages FROM z JOIN (SELECT doc, count(DISTINCT page) AS k FROM p GROUP BY doc HAVING count(DISTINCT page) >= 3) q USING (doc)
         WHERE margin AND length(line) <= 140 AND key <> '' GROUP BY z.doc, key, k HAVING count(DISTINCT page) >= greatest(3, ceil(k * 0.25)))"""
+
+
+def _safe(x: str) -> str:
+    return rf"""coalesce(nullif(trim(regexp_replace(regexp_replace({x}, '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), '[{_C.SPACE}]+', ' ', 'g'), ' .'), ''), 'untitled')"""
+
+
+_FILE = f"printf('p%04d_c%03d_', page, chunk_index) || {_safe("coalesce(section_id, 'no-section')")} || CASE WHEN split_part > 1 THEN printf('_part-%02d', split_part::INT) ELSE '' END || '.md'"
+_TEXTS = ("chunk_id", "source_file", "document_sha256", "section_id", "section_title", "section_path", "chunking_method")
+_FRONT = " || '\n' || ".join(f"'{k}: ' || coalesce({f'to_json({c})::VARCHAR' if c in _TEXTS else f'{c}::VARCHAR'}, 'null')" for k, c in files.FRONT.items())
 ORACLE = {
     "token_estimate": f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN {_C.tokens('text')} END AS tokens FROM documents",
     "chunk_tokens": f"WITH {_C.CHUNKS}, e AS (SELECT *, CASE WHEN retrieval_text IS NOT NULL THEN {_C.tokens('retrieval_text')} END AS tokens FROM c) SELECT chunk_id, tokens, tokens = estimated_tokens AS as_stored FROM e",
@@ -117,7 +132,9 @@ ORACLE = {
     "chunk_statistics": f"""WITH {_C.CHUNKS}, e AS (SELECT {_C.tokens("coalesce(retrieval_text, text, '')")} AS t, is_table_of_contents AS toc, section_id FROM c), s AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM e)
         SELECT count(*) AS n_chunks, count(*) FILTER (toc) AS n_contents, count(section_id) AS n_with_section, round(avg(t), 1) AS mean_tokens, max(t) AS max_tokens,
             (SELECT t FROM s WHERE i = n // 2) AS median_tokens, (SELECT t FROM s WHERE i = least(n - 1, floor(n * 0.95)::INT)) AS p95_tokens FROM e""",
-    "chunk_files": rf"""WITH {_C.CHUNKS} SELECT chunk_id, printf('p%04d_c%03d_', page, chunk_index) ||
-        coalesce(nullif(trim(regexp_replace(regexp_replace(coalesce(section_id, 'no-section'), '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), '[{_C.SPACE}]+', ' ', 'g'), ' .'), ''), 'untitled') || CASE WHEN split_part > 1 THEN printf('_part-%02d', split_part::INT) ELSE '' END || '.md' AS file_name FROM c""",
+    "chunk_files": f"WITH {_C.CHUNKS} SELECT chunk_id, {_FILE} AS file_name FROM c",
+    "chunk_markdown": f"""WITH {_C.CHUNKS} SELECT {_safe("regexp_replace(source_file, '[.][^.]*$', '')")} AS document, {_FILE} AS file_name, '---\n' || {_FRONT} || '\n---\n\n# ' || chunk_id || '\n\n[Open source PDF at page ' || page || '](../../'
+        || replace(url_encode(source_file), '%2F', '/') || '#page=' || page || ')\n\n## Retrieval Context\n\n' || coalesce(retrieval_text, '') || '\n\n## Source Text\n\n' || coalesce(text, '') || '\n' AS content FROM c""",
+    "sample_chunk": f"WITH {_C.CHUNKS} SELECT chunk_id, text, section_path, '[' || source_file || ' p.' || page || ']' AS citation FROM c WHERE text IS NOT NULL AND NOT coalesce(is_table_of_contents, false) ORDER BY source_file, page, chunk_index, chunk_id LIMIT 1",
     "export_index": f"WITH {_C.CHUNKS} SELECT source_file, count(*) AS chunks, count(*) FILTER (is_table_of_contents) AS contents_chunks FROM c GROUP BY source_file",
 }

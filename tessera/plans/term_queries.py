@@ -100,6 +100,11 @@ def _valid(x: str) -> str:
         AND NOT ({_language(x)} = 'en' AND ((NOT contains({x}, ' ') AND length({x}) < 3) OR len(list_filter(string_split({x}, ' '), lambda w: w NOT IN {_EN})) = 0)) AND NOT ({_language(x)} = 'zh' AND {x} IN {_ZH}))"""
 
 
+def _normal(x: str) -> str:
+    kept = f"regexp_replace(regexp_replace(regexp_replace({sql.folded(x)}, '[^a-z0-9{sql.CJK}''\\- ]+', ' ', 'g'), ' +', ' ', 'g'), '^[-'' ]+|[-'' ]+$', '', 'g')"
+    return f"(SELECT CASE WHEN {_han('v')} AND NOT regexp_matches(v, '[a-z0-9]') THEN replace(v, ' ', '') ELSE v END FROM (SELECT {kept} AS v))"
+
+
 def _candidates(source: str, key: str, text: str) -> str:
     """CTEs that end in cand (key, term, n): the n-grams of the words between stop words."""
     return rf"""seg AS (SELECT {key}, row_number() OVER () AS sid, s FROM (SELECT {key}, unnest(regexp_split_to_array(coalesce({text}, ''), '[\n。！？!?；;：:]')) AS s FROM {source})),
@@ -124,8 +129,7 @@ _MENTIONS = f"""{sql.CHUNKS}, {sql.TERMS}, fc AS (SELECT chunk_id, {sql.folded('
         CASE WHEN match_type = 'word' THEN len(regexp_extract_all(s, '\\b' || regexp_escape(x) || '\\b')) ELSE (length(s) - length(replace(s, x, ''))) // length(x) END AS m FROM pr),
     mt AS (SELECT * FROM cnt WHERE n > 0)"""
 ORACLE = {
-    "normalized_terms": f"""WITH {sql.TERMS}, k AS (SELECT term_id, regexp_replace(regexp_replace(regexp_replace({sql.folded('text')}, '[^a-z0-9{sql.CJK}''\\- ]+', ' ', 'g'), ' +', ' ', 'g'), '^[-'' ]+|[-'' ]+$', '', 'g') AS x FROM t WHERE text IS NOT NULL)
-        SELECT term_id, CASE WHEN {_han('x')} AND NOT regexp_matches(x, '[a-z0-9]') THEN replace(x, ' ', '') ELSE x END AS normalized_text FROM k""",
+    "normalized_terms": f"WITH {sql.TERMS} SELECT term_id, {_normal('text')} AS normalized_text FROM t WHERE text IS NOT NULL",
     "term_languages": f"""WITH {sql.TERMS} SELECT term_id, {_language("coalesce(normalized_text, '')")} AS language, CASE WHEN {_language("coalesce(normalized_text, '')")} = 'en' AND NOT contains(normalized_text, ' ') THEN 'word' ELSE 'phrase' END AS match_type,
         substr(sha256(concept_id || chr(31) || normalized_text), 1, 14) AS hash14 FROM t""",
     "evidence_weights": f"""WITH {sql.TERMS}, n AS (SELECT count(DISTINCT chunk_id) AS n FROM chunks) SELECT term_id, round(round(ctfidf_score * least(1, CASE WHEN {_han('normalized_text')} THEN length(replace(normalized_text, ' ', '')) / 4.0::DOUBLE
@@ -134,6 +138,10 @@ ORACLE = {
     "valid_candidates": f"""WITH {sql.TERMS}, s AS (SELECT term_id, normalized_text AS x, regexp_replace(trim(text), '^[ .,:;()\\[\\]{{}}—–-]+|[ .,:;()\\[\\]{{}}—–-]+$', '', 'g') AS o FROM t WHERE normalized_text IS NOT NULL)
         SELECT term_id, {_valid('x')} AS valid, CASE WHEN regexp_matches(o, '^[A-Z][A-Z0-9-]{{1,10}}$') THEN o ELSE x END AS shown FROM s""",
     "term_candidates": f"WITH {sql.CHUNKS}, b AS (SELECT chunk_id, text FROM c WHERE text IS NOT NULL), {_candidates('b', 'chunk_id', 'text')} SELECT chunk_id, term, n FROM cand",
+    "heading_candidates": f"""WITH {sql.CHUNKS}, hd AS (SELECT chunk_id, unnest(list_distinct(list_filter(list_concat([section_title], coalesce(list_transform(string_split(section_path, '>'), lambda x: trim(x)), [])), lambda x: x IS NOT NULL))) AS h FROM c),
+        hp AS (SELECT row_number() OVER () AS k, chunk_id, regexp_replace(regexp_replace(trim(regexp_replace(h, '[{_SPACE}]+', ' ', 'g')), '{_NUMBER}', ''), '^[ —–:：-]+|[ —–:：-]+$', '', 'g') AS heading FROM hd),
+        hh AS (SELECT * FROM hp WHERE heading <> ''), wn AS (SELECT chunk_id, {_normal('heading')} AS term FROM hh), {_candidates('hh', 'k', 'heading')}
+        SELECT chunk_id, term, sum(n)::BIGINT AS n FROM (SELECT chunk_id, term, 8 AS n FROM wn WHERE {_valid('term')} UNION ALL SELECT chunk_id, term, 4 * n FROM cand JOIN hh USING (k)) GROUP BY ALL""",
     "cluster_terms": f"""WITH b AS (SELECT coalesce(lang, 'none') || chr(1) || doc_id AS k, text FROM documents WHERE text IS NOT NULL), {_candidates('b', 'k', 'text')}, kc AS (SELECT split_part(k, chr(1), 1) AS cluster, term, n FROM cand),
         g AS (SELECT cluster, term, sum(n) AS frequency, count(*) AS chunk_frequency FROM kc GROUP BY ALL), e AS (SELECT term, sum(frequency) AS everywhere FROM g GROUP BY term), tt AS (SELECT cluster, sum(frequency) AS total FROM g GROUP BY cluster), av AS (SELECT sum(total)::DOUBLE / count(*) AS mean FROM tt)
         SELECT cluster, term, round(round(frequency::DOUBLE / greatest(total, 1) * ln(1 + mean / greatest(everywhere, 1)) * (1 + 0.12::DOUBLE * ln(1 + chunk_frequency)), 8), 6) AS score, frequency::BIGINT AS frequency, chunk_frequency, {_language('term')} AS language
