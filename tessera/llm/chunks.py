@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,3 +19,10 @@ def latest(df: DataFrame, key: str, *columns: str) -> DataFrame:
     order = Window.partitionBy(key).orderBy(F.col("updated_at").desc_nulls_last(), *(F.xxhash64(c) for c in columns))
     kept = df.select(key, *columns, "updated_at").where(F.col(key).isNotNull())
     return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "updated_at")
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in smaller ones, so that what a worker makes of long texts is handed on before it grows."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.chunks import in_slices
 from tessera.llm.lookalike import skeleton
 from tessera.plans.runtime import read_table, spread
 
@@ -225,7 +226,7 @@ def leaks(documents: DataFrame, items: DataFrame, exact: bool = True) -> DataFra
             by_words = Index([(i, t) for i, lang, t in held.value if lang != "zh"], WORDS, words_of)
             by_chars = Index([(i, t) for i, lang, t in held.value if lang == "zh"], CHARACTERS, characters_of)
             vectors, others = Vectors(), Vectors()
-            for batch in batches:
+            for batch in in_slices(batches):
                 ids, texts = batch.column(0).to_pylist(), [folded(t) for t in batch.column(1).to_pylist()]
                 one = _matches([words_of(t) for t in texts], by_words, vectors, exact)
                 # a window of an item that must hold ideographs cannot match a text without any

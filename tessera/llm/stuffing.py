@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.chunks import in_slices
 from tessera.llm.lookalike import skeleton
 from tessera.plans.runtime import cut_lineage, read_table, spread
 
@@ -200,7 +201,7 @@ def page_features(df: DataFrame) -> DataFrame:
     """(doc_id, source, x, label) of every page that holds something."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = [features(t) for t in batch.column(2).to_pylist()]
             kept = [i for i, r in enumerate(rows) if r is not None]
             x = np.array([rows[i] for i in kept], dtype=float).reshape(-1, len(FEATURES))
@@ -226,7 +227,7 @@ def scores(df: DataFrame) -> DataFrame:
     trees = spark.sparkContext.broadcast(Trees(np.array([r[0] for r in sample]), np.array([r[1] for r in sample])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(trees.value.predict(x))], names=["doc_id", "source", "page_score"])
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tessera.llm.chunks import in_slices
 from tessera.plans.runtime import read_table, spread
 
 VOCABULARY_DIR = "/opt/tokenizers"
@@ -186,7 +187,7 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder_of(ranks.value).encode
-        for batch in batches:
+        for batch in in_slices(batches):
             lists = [encode(t) for t in batch.column(1).to_pylist()]
             offsets = np.zeros(len(lists) + 1, dtype=np.int32)
             np.cumsum([len(x) for x in lists], out=offsets[1:])
@@ -204,7 +205,7 @@ def decode_corpus(ids: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, start = encoder_of(ranks.value).decode_table()
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = []
             for row in batch.column(1).to_pylist():
                 if not row:
