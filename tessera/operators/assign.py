@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vector import centroids, similarities, usable
+from tessera.functions.vector import centroids, own_similarity, similarities, usable
 
 #: Points an exact quadratic clustering takes at most; larger sets are clustered from a table of summaries.
 EXACT_POINTS = 5000
@@ -22,42 +22,36 @@ def embedding_text(text: Column, model: str, role: str = "passage") -> Column:
 
 def primary(df: DataFrame, key: str, vec: str, clusters: DataFrame, name: str, vector: str, label: str | None = None, probability: str | None = None) -> DataFrame:
     """(key, name, semantic_similarity, confidence): a labelled row keeps its label (half similarity, half probability);
-    another gets the most similar cluster (0.8 of the similarity). Ties go to the lower name."""
-    held = similarities(df, key, vec, clusters, name, vector)
-    s = F.round("similarity", 6)
-    clip = lambda c: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), 6)
+    another gets the most similar cluster (0.8 of the similarity). Ties go to the lower name. Nothing is shuffled."""
+    clip = lambda c: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), 6).alias("confidence")
+    s = F.round("similarity", 6).alias("semantic_similarity")
+    free = df if label is None else df.where(F.col(label).isNull())
+    nearest = similarities(free, key, vec, clusters, name, vector, top=1).select(key, name, s, clip(F.col("similarity") * 0.8))
     if label is None:
-        top = held.groupBy(key).agg(F.max(s).alias("top"))
-        best = held.join(top, key).where(s == F.col("top")).groupBy(key).agg(F.min(name).alias(name), F.max("similarity").alias("similarity"))
-        return best.select(key, name, s.alias("semantic_similarity"), clip(F.col("similarity") * 0.8).alias("confidence"))
-    given = df.select(key, F.col(label).alias("_label"), (F.col(probability) if probability else F.lit(1.0)).alias("_p"))
-    rows = held.join(given, key)
-    own = rows.where(F.col("_label") == F.col(name)).select(key, name, s.alias("semantic_similarity"), clip(F.col("similarity") * 0.5 + F.col("_p") * 0.5).alias("confidence"))
-    free = rows.where(F.col("_label").isNull())
-    top = free.groupBy(key).agg(F.max(s).alias("top"))
-    other = free.join(top, key).where(s == F.col("top")).groupBy(key).agg(F.min(name).alias(name), F.max("similarity").alias("similarity"))
-    return own.unionByName(other.select(key, name, s.alias("semantic_similarity"), clip(F.col("similarity") * 0.8).alias("confidence")))
-
-
-def secondary(held: DataFrame, chosen: DataFrame, key: str, name: str) -> DataFrame:
-    """held: (key, name, similarity) of all clusters. Further clusters of a row: similar enough, close to its best, not its primary."""
-    s = F.round("similarity", 6)
-    ranked = held.withColumn("_s", s).withColumn("_top", F.max("_s").over(Window.partitionBy(key)))
-    near = ranked.where((F.col("_s") >= SECONDARY_LEAST) & (F.round(F.col("_top") - F.col("_s"), 6) <= SECONDARY_GAP)).join(chosen.select(key, name), [key, name], "left_anti")
+        return nearest
+    strength = F.col(probability) if probability else F.lit(1.0)
+    own = own_similarity(df.withColumn("_key", F.struct(F.col(key).alias("k"), strength.alias("p"))), "_key", vec, label, clusters, name, vector)
+    own = own.select(F.col("_key")["k"].alias(key), F.col(label).alias(name), s, clip(F.col("similarity") * 0.5 + F.col("_key")["p"] * 0.5))
+    return own.unionByName(nearest)
+
+
+def secondary(df: DataFrame, key: str, vec: str, clusters: DataFrame, name: str, vector: str, chosen: DataFrame, least: float = SECONDARY_LEAST, gap: float = SECONDARY_GAP) -> DataFrame:
+    """Further clusters of a row beside the chosen (key, name): similar enough, close to its most similar one, so many in all.
+
+    The most similar MOST_CONCEPTS clusters hold all that can be taken, as one of them at most is the chosen one.
+    """
+    held = similarities(df, key, vec, clusters, name, vector, top=MOST_CONCEPTS).withColumn("_s", F.round("similarity", 6))
+    near = held.withColumn("_top", F.max("_s").over(Window.partitionBy(key)))
+    near = near.where((F.col("_s") >= least) & (F.round(F.col("_top") - F.col("_s"), 6) <= gap)).join(chosen.select(key, name), [key, name], "left_anti")
     order = Window.partitionBy(key).orderBy(F.desc("_s"), name)
     return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= MOST_CONCEPTS - 1).select(key, name, F.col("_s").alias("semantic_similarity"))
 
 
 def representatives(df: DataFrame, key: str, vec: str, group: str, limit: int = 3) -> DataFrame:
-    """(group, rank, key, similarity): members most similar to the centroid of their group, ties to the larger key.
-
-    Each row is compared with its own centroid only, which is joined (a row per group).
-    """
+    """(group, rank, key, similarity): members most similar to the centroid of their group, ties to the larger key."""
     members = df.where(usable(F.col(vec))).select(group, key, vec)
     centre = centroids(members, group, vec)
-    length = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    inner = F.aggregate(F.zip_with(vec, "centroid", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    scored = members.join(F.broadcast(centre) if centre.count() <= 10_000 else centre, group).select(group, key, F.round(inner / length, 6).alias("similarity"))
+    scored = own_similarity(members, key, vec, group, centre, group, "centroid").withColumn("similarity", F.round("similarity", 6))
     order = Window.partitionBy(group).orderBy(F.desc("similarity"), F.desc(key))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 

@@ -26,8 +26,8 @@ def concept_edges(spark: SparkSession, d: str) -> DataFrame:
     own = about(spark, d).select("chunk_id", "concept_id", "confidence")
     leaves = tables.concepts(spark, d).where("level = 2 AND embedding IS NOT NULL").select("concept_id", F.col("embedding").alias("vector"))
     chunks = tables.chunks(spark, d, "embedding").where("embedding IS NOT NULL")
-    held = similarities(chunks, "chunk_id", "embedding", leaves, "concept_id", "vector").withColumn("s", F.round("similarity", 6))
-    second = held.withColumn("n", F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc("s"), "concept_id"))).where("n = 2 AND s >= 0.5")
+    two = similarities(chunks, "chunk_id", "embedding", leaves, "concept_id", "vector", top=2).where(F.round("similarity", 6) >= 0.5)
+    second = two.join(own.select("chunk_id", "concept_id"), ["chunk_id", "concept_id"], "left_anti")
     return own.unionByName(second.select("chunk_id", "concept_id", F.round(F.col("similarity") * 0.8, 6).alias("confidence")))
 
 

@@ -76,13 +76,20 @@ def term_mentions(spark: SparkSession, d: str) -> DataFrame:
     return _mentions(spark, d)[0].select("chunk_id", "term_id", "count", "source_count", "match_scope")
 
 
+def name_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Where the names of leaf concepts occur in chunks, each part of a bilingual name by itself."""
+    names = tables.concepts(spark, d).where("level = 2").select("concept_id", F.explode(F.split("name", " / ")).alias("text"))
+    own = names.select(F.concat_ws("|", "concept_id", "text").alias("term_id"), "text", X.match_type(F.lower("text"), X.detect_language(F.col("text"))).alias("match_type"))
+    return T.mentions(tables.chunks(spark, d, "text", "retrieval_text"), own).select("chunk_id", "term_id", "count", "source_count", "match_scope")
+
+
 def concept_mentions(spark: SparkSession, d: str) -> DataFrame:
     found, own = _mentions(spark, d)
     rows = T.concept_mentions(found, own)
     return rows.select("chunk_id", "concept_id", "count", "source_count", F.size("matched_terms").alias("n_terms"), F.round("confidence", 6).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (normalized_terms, term_languages, evidence_weights, document_languages, valid_candidates, term_candidates, heading_candidates, cluster_terms, diverse_terms, term_mentions, concept_mentions)}
+QUERIES = {f.__name__: f for f in (normalized_terms, term_languages, evidence_weights, document_languages, valid_candidates, term_candidates, heading_candidates, cluster_terms, diverse_terms, term_mentions, name_mentions, concept_mentions)}
 
 _EN, _ZH, _GENERIC = ("(" + ", ".join("'" + w + "'" for w in ws) + ")" for ws in (T.ENGLISH_STOPWORDS, T.CHINESE_STOPWORDS, T.GENERIC_TERMS))
 
@@ -147,6 +154,9 @@ ORACLE = {
         SELECT cluster, term, round(round(frequency::DOUBLE / greatest(total, 1) * ln(1 + mean / greatest(everywhere, 1)) * (1 + 0.12::DOUBLE * ln(1 + chunk_frequency)), 8), 6) AS score, frequency::BIGINT AS frequency, chunk_frequency, {_language('term')} AS language
         FROM g JOIN e USING (term) JOIN tt USING (cluster), av WHERE chunk_frequency >= 2""",
     "term_mentions": f"WITH {_MENTIONS} SELECT chunk_id, term_id, n AS count, m AS source_count, CASE WHEN m > 0 THEN 'source_text' ELSE 'section_context' END AS match_scope FROM mt",
+    "name_mentions": f"""WITH {sql.CHUNKS}, fc AS (SELECT chunk_id, {sql.folded('coalesce(retrieval_text, text)')} AS r, {sql.folded("coalesce(text, '')")} AS s FROM c), nm AS (SELECT DISTINCT concept_id || '|' || x AS term_id, {sql.folded('x')} AS x FROM (SELECT concept_id, unnest(string_split(name, ' / ')) AS x FROM concepts WHERE level = 2)),
+        o AS (SELECT chunk_id, term_id, (length(r) - length(replace(r, x, ''))) // length(x) AS n, (length(s) - length(replace(s, x, ''))) // length(x) AS m FROM fc JOIN nm ON contains(r, x))
+        SELECT chunk_id, term_id, n AS count, m AS source_count, CASE WHEN m > 0 THEN 'source_text' ELSE 'section_context' END AS match_scope FROM o""",
     "concept_mentions": f"""WITH {_MENTIONS}, top AS (SELECT concept_id, max(coalesce(evidence_weight, 0)) AS top FROM t GROUP BY concept_id), a AS (SELECT chunk_id, mt.concept_id, sum(n) AS count, sum(m) AS source_count, count(DISTINCT tx.text) AS n_terms, max(coalesce(mt.evidence_weight, 0)) AS w
         FROM mt JOIN (SELECT term_id, text FROM t) tx USING (term_id) GROUP BY ALL) SELECT chunk_id, concept_id, count::BIGINT AS count, source_count::BIGINT AS source_count, n_terms, round(CASE WHEN top > 0 THEN w / top ELSE 0 END, 6) AS confidence FROM a JOIN top USING (concept_id) WHERE CASE WHEN top > 0 THEN w / top ELSE 0 END >= 0.45""",
 }

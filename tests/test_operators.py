@@ -172,9 +172,13 @@ def test_vectors(spark):
     assert len(got) == 120 and got[5, "n1"] == pytest.approx(float(x[5] @ c[1] / np.linalg.norm(x[5])))
     own = {r.k: r for r in assign.primary(df, "k", "v", m, "n", "c").collect()}
     assert own[7].n == max((got[7, n], n) for n in ("n0", "n1", "n2"))[1]
-    near = spark.createDataFrame([("a", "n0", 0.9), ("a", "n1", 0.87), ("a", "n2", 0.86), ("b", "n0", 0.79), ("b", "n1", 0.7), ("c", "n0", 0.5)], "k string, n string, similarity double")
-    chosen = spark.createDataFrame([("a", "n0"), ("b", "n1"), ("c", "n0")], "k string, n string")
-    assert sorted((r.k, r.n) for r in assign.secondary(near, chosen, "k", "n").collect()) == [("a", "n1"), ("b", "n0")]
+    two = V.similarities(df, "k", "v", m, "n", "c", top=2).collect()
+    assert {(r.k, r.n) for r in two} == {(k, n) for k in range(40) for n in sorted(("n0", "n1", "n2"), key=lambda n: (-round(got[k, n], 6), n))[:2]}
+    angles = {"n0": 0.0, "n1": 0.3, "n2": 0.45, "n3": 2.0}
+    m = spark.createDataFrame([(n, [math.cos(a), math.sin(a)]) for n, a in angles.items()], "n string, c array<double>")
+    df = spark.createDataFrame([(k, [2 * math.cos(a), 2 * math.sin(a)]) for k, a in (("a", 0.1), ("b", 0.36), ("c", 1.2))], "k string, v array<double>")
+    chosen = spark.createDataFrame([("a", "n0"), ("b", "n3"), ("c", "n2")], "k string, n string")
+    assert sorted((r.k, r.n) for r in assign.secondary(df, "k", "v", m, "n", "c", chosen).collect()) == [("a", "n1"), ("b", "n1")]
 
 
 def test_clusterings():
