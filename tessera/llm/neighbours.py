@@ -16,11 +16,11 @@ similarities are ordered by id; a repeated id counts once; fewer than k others g
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.runtime import cut_lineage, read_table
@@ -29,7 +29,7 @@ from tessera.plans.runtime import cut_lineage, read_table
 ROWS, MOST_PARTITIONS, SAMPLE, SAMPLE_PER_PARTITION = 1500, 1024, 12_000, 32
 #: Partitions asked per query where only close pairs matter, and where all k neighbours do.
 CLOSE_PROBES, WIDE_PROBES = 4, 48
-INDEX_BLOCK, QUERY_BLOCK, AT_ONCE = 4096, 16384, 512
+INDEX_BLOCK, QUERY_BLOCK, AT_ONCE, EXACT_AT_ONCE = 4096, 16384, 512, 100_000
 
 
 def neighbour_graph(x: np.ndarray, k: int = 10) -> np.ndarray:
@@ -125,8 +125,8 @@ def distinct_vectors(df: DataFrame, k: int) -> DataFrame:
     return few.groupBy("h").agg(F.min("id").alias("id"), F.array_sort(F.collect_set("id")).alias("ids"), F.first("vec").alias("vec"))
 
 
-def search(base: DataFrame, dimensions: int, k: int, probes: int, least: float, query: str = "true") -> DataFrame:
-    """base: id, vec, one row per distinct vector. (id, other, similarity): the k best of each query row with similarity of at least `least`."""
+def search(base: DataFrame, dimensions: int, k: int, probes: int, least: float) -> DataFrame:
+    """base: id, vec, asks, one row per distinct vector. (id, other, similarity): the k best of each query row with similarity of at least `least`."""
     spark = base.sparkSession
     total = base.count()
     if not total:
@@ -152,10 +152,9 @@ def search(base: DataFrame, dimensions: int, k: int, probes: int, least: float,
             best = np.take_along_axis(best, np.argsort(-np.take_along_axis(z, best, axis=1), axis=1, kind="stable"), axis=1).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, best.size + 1, probes, dtype=np.int32)), pa.array(best.ravel()))
             vec = pa.array([r.tobytes() for r in x], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), vec, lists], names=["id", "vec", "parts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), vec, lists, batch.column(2)], names=["id", "vec", "parts", "asks"])
 
-    routed = base.select("id", "vec").mapInArrow(route, "id string, vec binary, parts array<int>")
-    routed = cut_lineage(routed.withColumn("asks", F.expr(query)))
+    routed = cut_lineage(base.select("id", "vec", "asks").mapInArrow(route, "id string, vec binary, parts array<int>, asks boolean"))
     # sizes of the partitions, at most MOST_PARTITIONS rows; they set how a partition is cut into blocks
     held = {r[0]: r[1] for r in routed.groupBy(F.col("parts")[0]).count().collect()}
     asked = {r[0]: r[1] for r in routed.where("asks").select(F.explode("parts").alias("p")).groupBy("p").count().collect()}
@@ -179,14 +178,18 @@ def search(base: DataFrame, dimensions: int, k: int, probes: int, least: float,
             for low in range(0, int(asks.sum()), AT_ONCE):
                 mine, q = ids[asks][low : low + AT_ONCE], x[asks][low : low + AT_ONCE]
                 s = q @ rows.T
-                if least <= -1 and s.shape[1] > k + 1:  # the (k + 1)-th best of each row, ties kept
-                    floor = np.partition(s, s.shape[1] - k - 1, axis=1)[:, s.shape[1] - k - 1]
-                    r, c = np.nonzero(s >= floor[:, None])
-                else:
-                    r, c = np.nonzero(s >= least - 1e-5)
+                floor = np.full(len(s), least - 1e-5)
+                # where more than k + 1 qualify (oneself among them), those below the (k + 1)-th best can't be among the k
+                many = np.flatnonzero((s >= floor[:, None]).sum(axis=1) > k + 1)
+                if len(many):
+                    floor[many] = np.maximum(floor[many], np.partition(s[many], s.shape[1] - k - 1, axis=1)[:, s.shape[1] - k - 1] - 2e-6)
+                r, c = np.nonzero(s >= floor[:, None])
                 other_than = mine[r] != names[c]
                 r, c = r[other_than], c[other_than]
-                exact = np.einsum("ij,ij->i", q[r].astype(np.float64), rows[c].astype(np.float64))
+                exact = np.empty(len(r))
+                for at in range(0, len(r), EXACT_AT_ONCE):  # many may be equal
+                    part = slice(at, at + EXACT_AT_ONCE)
+                    exact[part] = np.einsum("ij,ij->i", q[r[part]].astype(np.float64), rows[c[part]].astype(np.float64))
                 kept = exact >= least
                 r, c, exact = r[kept], c[kept], exact[kept]
                 by = np.lexsort((c, -exact, r))
@@ -204,14 +207,15 @@ def search(base: DataFrame, dimensions: int, k: int, probes: int, least: float,
     return found.withColumn("n", rank).where(F.col("n") <= k).drop("n")
 
 
-def most_similar(df: DataFrame, dimensions: int, k: int = 5, probes: int = WIDE_PROBES, least: float = -2.0, query: str = "true") -> DataFrame:
-    """df: id, vec. (id, other, similarity) for every id that the condition `query` names, copies included."""
+def most_similar(df: DataFrame, dimensions: int, k: int = 5, probes: int = WIDE_PROBES, least: float = -2.0, query: Callable[[Column], Column] = lambda c: F.lit(True)) -> DataFrame:
+    """df: id, vec. (id, other, similarity) for every id for which the condition `query` holds, copies included."""
     rows = usable(df, dimensions)
-    base = cut_lineage(distinct_vectors(rows, k))
-    found = search(base, dimensions, k, probes, least, query)
+    # a vector is asked for if one of its ids is; with more than k + 1 ids its own copies are the whole answer
+    base = cut_lineage(distinct_vectors(rows, k).withColumn("asks", F.exists("ids", query)))
+    found = search(base, dimensions, k, probes, least)
     copied = base.where(F.size("ids") > 1)
     if copied.isEmpty():
-        return found
+        return found  # one id per vector, so exactly the ids asked for
     # with copies: a vector's answer is its own copies (similarity 1) and the copies of its neighbours, k + 1 names at most
     found = cut_lineage(found)
     names = base.select(F.col("id").alias("other"), "ids")
@@ -219,7 +223,7 @@ def most_similar(df: DataFrame, dimensions: int, k: int = 5, probes: int = WIDE_
     wide = found.unionByName(own).join(names, "other").select("id", F.explode("ids").alias("other"), "similarity")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
     wide = wide.withColumn("n", rank).where(F.col("n") <= k + 1).drop("n").withColumnRenamed("id", "first")
-    members = rows.select("id", F.xxhash64("vec").alias("h")).distinct().join(base.select("h", F.col("id").alias("first")), "h").select("id", "first").where(F.expr(query))
+    members = rows.select("id", F.xxhash64("vec").alias("h")).distinct().join(base.select("h", F.col("id").alias("first")), "h").select("id", "first").where(query(F.col("id")))
     again = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
     out = members.join(wide, "first").where("id <> other").withColumn("n", F.row_number().over(again)).where(F.col("n") <= k)
     return out.select("id", "other", "similarity")
@@ -242,7 +246,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 most similar of every twentieth row (by hash of its id), among all rows."""
-    query = "pmod(xxhash64(id), 20) = 0"
+    query = lambda c: F.pmod(F.xxhash64(c), F.lit(20)) == 0
     chunks, terms = (most_similar(df, d, query=query).withColumn("kind", F.lit(kind)) for df, d, kind in ((chunk_vectors(spark, sf_dir), 64, "chunk"), (term_vectors(spark, sf_dir), 48, "term")))
     return chunks.unionByName(terms).select("kind", "id", "other", F.round("similarity", 6).alias("similarity"))
 

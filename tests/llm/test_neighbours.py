@@ -67,3 +67,11 @@ def test_unusable_rows(spark):
     got = sorted((r.id, r.other) for r in N.most_similar(df, 2).collect())
     assert got == [("a", "g"), ("g", "a")]
     assert N.most_similar(df.limit(0), 2).count() == 0
+
+
+def test_query_condition_with_copies(spark):
+    x = [[1.0, 0.0], [1.0, 0.0], [0.9, 0.2], [0.0, 1.0], [0.1, 1.0]]
+    got = {}
+    for r in N.most_similar(table(spark, ["a", "b", "c", "d", "e"], x), 2, k=2, query=lambda c: c.isin("b", "d")).collect():
+        got.setdefault(r.id, set()).add(r.other)
+    assert got == {"b": {"a", "c"}, "d": {"e", "c"}}
