@@ -115,7 +115,7 @@ ORACLE = {
     "chunk_tokens": f"WITH {_C.CHUNKS}, e AS (SELECT *, CASE WHEN retrieval_text IS NOT NULL THEN {_C.tokens('retrieval_text')} END AS tokens FROM c) SELECT chunk_id, tokens, tokens = estimated_tokens AS as_stored FROM e",
     "clean_lines": f"WITH {_C.LINES} SELECT doc, page, n, line FROM l",
     "repeated_margins": f"WITH {_C.LINES}, {_REPEATED} SELECT doc, key, pages FROM rep",
-    "margin_removed_lines": f"""WITH {_C.LINES}, {_REPEATED} SELECT doc, page, row_number() OVER (PARTITION BY doc, page ORDER BY n) AS n, line FROM z LEFT JOIN rep USING (doc, key)
+    "margin_removed_lines": f"""WITH {_C.LINES}, {_REPEATED} SELECT doc, page, (row_number() OVER (PARTITION BY doc, page ORDER BY n))::INT AS n, line FROM z LEFT JOIN rep USING (doc, key)
         WHERE NOT (margin AND (pages IS NOT NULL OR regexp_matches(line, '(?i)^(?:page[{_C.SPACE}]+)?[0-9]+$')))""",
     "contents_pages": f"""WITH RECURSIVE {_C.LINES}, f AS (SELECT doc, page, coalesce(bool_or(n <= 20 AND (contains(replace(lower(line), 'ß', 'ss'), '目錄') OR regexp_matches(replace(lower(line), 'ß', 'ss'), '\\bcontents\\b'))), false) OR count(*) FILTER (contains(line, '...') OR contains(line, '……')) >= 3 AS seed,
             count(*) FILTER (regexp_matches(line, '{_C.SECTION}')) >= 4 AND sum(length(line)) / count(*) <= 55 AS likely FROM l GROUP BY doc, page),
@@ -125,7 +125,7 @@ ORACLE = {
     "structural_lines": f"""WITH {_C.LINES}, k AS (SELECT *, regexp_matches(line, '{_C.CHAPTER}') AS chapter, regexp_matches(line, '{_C.SECTION}') AS sec FROM l),
         m AS (SELECT *, sec AND NOT chapter AS section FROM k WHERE sec OR chapter OR regexp_matches(line, '{_C.LIST_ITEM}')),
         o AS (SELECT *, CASE WHEN section THEN rtrim(regexp_extract(line, '{_C.SECTION}', 1), '.') END AS sid, CASE WHEN section THEN nullif(trim(regexp_extract(line, '{_C.SECTION}', 2)), '') END AS title FROM m)
-        SELECT doc, page, n, chapter, section, sid, title, len(sid) - len(replace(sid, '.', '')) + 1 AS level FROM o""",
+        SELECT doc, page, n, chapter, section, sid, title, (len(sid) - len(replace(sid, '.', '')) + 1)::INT AS level FROM o""",
     "line_joins": f"""WITH {_C.LINES}, b AS (SELECT *, lag(line) OVER (PARTITION BY doc, page ORDER BY n) AS before FROM l)
         SELECT doc, page, n, NOT (right(before, 1) = '-' OR (regexp_matches(right(before, 1), '[{_C.CJK}]') AND regexp_matches(left(line, 1), '[{_C.CJK}]')) OR right(before, 1) IN ('（', '(', '[', '/')
             OR left(line, 1) IN ('，', '。', '；', '：', '、', '！', '？', ',', '.', '!', '?', ';', ':', ')', ']', '）', '/')) AS blank FROM b WHERE before IS NOT NULL""",

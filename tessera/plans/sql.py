@@ -8,7 +8,7 @@ import unicodedata
 CHUNKS = "c AS (SELECT * FROM chunks WHERE chunk_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY updated_at DESC NULLS LAST) = 1)"
 TERMS = "t AS (SELECT * FROM terms WHERE term_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY term_id ORDER BY updated_at DESC NULLS LAST) = 1)"
 DOCUMENTS = "d AS (SELECT * FROM source_documents WHERE document_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY updated_at DESC NULLS LAST) = 1)"
-PAGES = "p AS (SELECT coalesce(source, 'none') AS doc, row_number() OVER (PARTITION BY coalesce(source, 'none') ORDER BY doc_id) AS page, doc_id, coalesce(text, '') AS text FROM documents)"
+PAGES = "p AS (SELECT coalesce(source, 'none') AS doc, (row_number() OVER (PARTITION BY coalesce(source, 'none') ORDER BY doc_id))::INT AS page, doc_id, coalesce(text, '') AS text FROM documents)"
 SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 CJK = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}"
 #: Clean lines of the pages: (doc, page, n, line).
@@ -16,7 +16,7 @@ LINES = (
     PAGES
     + rf""", raw AS (SELECT doc, page, unnest(regexp_split_to_array(translate(text, chr(0) || chr(160), '  '), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]')) AS s, generate_subscripts(regexp_split_to_array(translate(text, chr(0) || chr(160), '  '), '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), 1) AS i FROM p),
     clean AS (SELECT doc, page, i, regexp_replace(regexp_replace(s, '[ \t]+', ' ', 'g'), '^[{SPACE}]+|[{SPACE}]+$', '', 'g') AS line FROM raw),
-    l AS (SELECT doc, page, row_number() OVER (PARTITION BY doc, page ORDER BY i) AS n, CASE WHEN line IN (chr(61623), chr(8226), chr(9679), chr(9642)) THEN '•' ELSE line END AS line FROM clean WHERE line <> '')"""
+    l AS (SELECT doc, page, (row_number() OVER (PARTITION BY doc, page ORDER BY i))::INT AS n, CASE WHEN line IN (chr(61623), chr(8226), chr(9679), chr(9642)) THEN '•' ELSE line END AS line FROM clean WHERE line <> '')"""
 )
 KEY = rf"replace(lower(trim(regexp_replace(line, '[{SPACE}]+', ' ', 'g'))), 'ß', 'ss')"
 SECTION = rf"^((?:[0-9]+(?:\.[0-9]+){{1,5}})|(?:[0-9]+\.))[{SPACE}]*(.*)$"

@@ -153,10 +153,10 @@ ORACLE = {
         g AS (SELECT cluster, term, sum(n) AS frequency, count(*) AS chunk_frequency FROM kc GROUP BY ALL), e AS (SELECT term, sum(frequency) AS everywhere FROM g GROUP BY term), tt AS (SELECT cluster, sum(frequency) AS total FROM g GROUP BY cluster), av AS (SELECT sum(total)::DOUBLE / count(*) AS mean FROM tt)
         SELECT cluster, term, round(round(frequency::DOUBLE / greatest(total, 1) * ln(1 + mean / greatest(everywhere, 1)) * (1 + 0.12::DOUBLE * ln(1 + chunk_frequency)), 8), 6) AS score, frequency::BIGINT AS frequency, chunk_frequency, {_language('term')} AS language
         FROM g JOIN e USING (term) JOIN tt USING (cluster), av WHERE chunk_frequency >= 2""",
-    "term_mentions": f"WITH {_MENTIONS} SELECT chunk_id, term_id, n AS count, m AS source_count, CASE WHEN m > 0 THEN 'source_text' ELSE 'section_context' END AS match_scope FROM mt",
+    "term_mentions": f"WITH {_MENTIONS} SELECT chunk_id, term_id, n::INT AS count, m::INT AS source_count, CASE WHEN m > 0 THEN 'source_text' ELSE 'section_context' END AS match_scope FROM mt",
     "name_mentions": f"""WITH {sql.CHUNKS}, fc AS (SELECT chunk_id, {sql.folded('coalesce(retrieval_text, text)')} AS r, {sql.folded("coalesce(text, '')")} AS s FROM c), nm AS (SELECT DISTINCT concept_id || '|' || x AS term_id, {sql.folded('x')} AS x FROM (SELECT concept_id, unnest(string_split(name, ' / ')) AS x FROM concepts WHERE level = 2)),
         o AS (SELECT chunk_id, term_id, (length(r) - length(replace(r, x, ''))) // length(x) AS n, (length(s) - length(replace(s, x, ''))) // length(x) AS m FROM fc JOIN nm ON contains(r, x))
-        SELECT chunk_id, term_id, n AS count, m AS source_count, CASE WHEN m > 0 THEN 'source_text' ELSE 'section_context' END AS match_scope FROM o""",
+        SELECT chunk_id, term_id, n::INT AS count, m::INT AS source_count, CASE WHEN m > 0 THEN 'source_text' ELSE 'section_context' END AS match_scope FROM o""",
     "concept_mentions": f"""WITH {_MENTIONS}, top AS (SELECT concept_id, max(coalesce(evidence_weight, 0)) AS top FROM t GROUP BY concept_id), a AS (SELECT chunk_id, mt.concept_id, sum(n) AS count, sum(m) AS source_count, count(DISTINCT tx.text) AS n_terms, max(coalesce(mt.evidence_weight, 0)) AS w
-        FROM mt JOIN (SELECT term_id, text FROM t) tx USING (term_id) GROUP BY ALL) SELECT chunk_id, concept_id, count::BIGINT AS count, source_count::BIGINT AS source_count, n_terms, round(CASE WHEN top > 0 THEN w / top ELSE 0 END, 6) AS confidence FROM a JOIN top USING (concept_id) WHERE CASE WHEN top > 0 THEN w / top ELSE 0 END >= 0.45""",
+        FROM mt JOIN (SELECT term_id, text FROM t) tx USING (term_id) GROUP BY ALL) SELECT chunk_id, concept_id, count::BIGINT AS count, source_count::BIGINT AS source_count, n_terms::INT AS n_terms, round(CASE WHEN top > 0 THEN w / top ELSE 0 END, 6) AS confidence FROM a JOIN top USING (concept_id) WHERE CASE WHEN top > 0 THEN w / top ELSE 0 END >= 0.45""",
 }
