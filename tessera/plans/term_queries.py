@@ -83,13 +83,32 @@ def name_mentions(spark: SparkSession, d: str) -> DataFrame:
     return T.mentions(tables.chunks(spark, d, "text", "retrieval_text"), own).select("chunk_id", "term_id", "count", "source_count", "match_scope")
 
 
+def _mined(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Mentions of the 12 best terms of each language of the documents, and these terms as nodes."""
+    rows = read_table(spark, d, "documents").where("text IS NOT NULL").select(F.coalesce("lang", F.lit("none")).alias("cluster"), "doc_id", "text")
+    counts = cut_lineage(T.candidates(spread(rows), ["cluster", "doc_id"], "text"))
+    best = T.cluster_terms(counts, "cluster", "doc_id").where(F.col("rank") <= T.TERMS)
+    own = cut_lineage(best.select(F.concat_ws("|", "cluster", "term").alias("term_id"), F.col("cluster").alias("concept_id"), F.col("term").alias("text"), X.match_type(F.col("term"), F.col("language")).alias("match_type"), F.col("score").alias("evidence_weight")))
+    return T.mentions(tables.chunks(spark, d, "text", "retrieval_text"), own.select("term_id", "text", "match_type")), own
+
+
+def mined_mentions(spark: SparkSession, d: str) -> DataFrame:
+    return _mined(spark, d)[0].select("chunk_id", "term_id", "count", "source_count", "match_scope")
+
+
+def mined_concepts(spark: SparkSession, d: str) -> DataFrame:
+    """Languages (as concepts) that chunks mention by their terms."""
+    rows = T.concept_mentions(*_mined(spark, d))
+    return rows.select("chunk_id", "concept_id", "count", "source_count", F.size("matched_terms").alias("n_terms"), F.round("confidence", 5).alias("confidence"))
+
+
 def concept_mentions(spark: SparkSession, d: str) -> DataFrame:
     found, own = _mentions(spark, d)
     rows = T.concept_mentions(found, own)
     return rows.select("chunk_id", "concept_id", "count", "source_count", F.size("matched_terms").alias("n_terms"), F.round("confidence", 6).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (normalized_terms, term_languages, evidence_weights, document_languages, valid_candidates, term_candidates, heading_candidates, cluster_terms, diverse_terms, term_mentions, name_mentions, concept_mentions)}
+QUERIES = {f.__name__: f for f in (normalized_terms, term_languages, evidence_weights, document_languages, valid_candidates, term_candidates, heading_candidates, cluster_terms, diverse_terms, term_mentions, name_mentions, mined_mentions, mined_concepts, concept_mentions)}
 
 _EN, _ZH, _GENERIC = ("(" + ", ".join("'" + w + "'" for w in ws) + ")" for ws in (T.ENGLISH_STOPWORDS, T.CHINESE_STOPWORDS, T.GENERIC_TERMS))
 
@@ -135,6 +154,14 @@ _MENTIONS = f"""{sql.CHUNKS}, {sql.TERMS}, fc AS (SELECT chunk_id, {sql.folded('
     cnt AS (SELECT *, CASE WHEN match_type = 'word' THEN len(regexp_extract_all(r, '\\b' || regexp_escape(x) || '\\b')) ELSE (length(r) - length(replace(r, x, ''))) // length(x) END AS n,
         CASE WHEN match_type = 'word' THEN len(regexp_extract_all(s, '\\b' || regexp_escape(x) || '\\b')) ELSE (length(s) - length(replace(s, x, ''))) // length(x) END AS m FROM pr),
     mt AS (SELECT * FROM cnt WHERE n > 0)"""
+_CLUSTERS = f"""b AS (SELECT coalesce(lang, 'none') || chr(1) || doc_id AS k, text FROM documents WHERE text IS NOT NULL), {_candidates('b', 'k', 'text')}, kc AS (SELECT split_part(k, chr(1), 1) AS cluster, term, n FROM cand),
+        g AS (SELECT cluster, term, sum(n) AS frequency, count(*) AS chunk_frequency FROM kc GROUP BY ALL), e AS (SELECT term, sum(frequency) AS everywhere FROM g GROUP BY term), tt AS (SELECT cluster, sum(frequency) AS total FROM g GROUP BY cluster), av AS (SELECT sum(total)::DOUBLE / count(*) AS mean FROM tt), cterms AS (SELECT cluster, term, round(frequency::DOUBLE / greatest(total, 1) * ln(1 + mean / greatest(everywhere, 1)) * (1 + 0.12::DOUBLE * ln(1 + chunk_frequency)), 8) AS score, frequency::BIGINT AS frequency, chunk_frequency, {_language('term')} AS language
+        FROM g JOIN e USING (term) JOIN tt USING (cluster), av WHERE chunk_frequency >= 2)"""
+_MINED = f"""{_CLUSTERS}, {sql.CHUNKS}, rk AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, chunk_frequency DESC, term) AS rank FROM cterms),
+    mn AS (SELECT cluster || '|' || term AS term_id, cluster AS concept_id, term AS x, CASE WHEN language = 'en' AND NOT contains(term, ' ') THEN 'word' ELSE 'phrase' END AS match_type, score AS w FROM rk WHERE rank <= 12),
+    fd AS (SELECT chunk_id, {sql.folded('coalesce(retrieval_text, text)')} AS r, {sql.folded("coalesce(text, '')")} AS s FROM c), mq AS (SELECT * FROM fd JOIN mn ON contains(r, x)),
+    mx AS (SELECT *, CASE WHEN match_type = 'word' THEN len(regexp_extract_all(r, '\\b' || regexp_escape(x) || '\\b')) ELSE (length(r) - length(replace(r, x, ''))) // length(x) END AS n,
+        CASE WHEN match_type = 'word' THEN len(regexp_extract_all(s, '\\b' || regexp_escape(x) || '\\b')) ELSE (length(s) - length(replace(s, x, ''))) // length(x) END AS m FROM mq), mm AS (SELECT * FROM mx WHERE n > 0)"""
 ORACLE = {
     "normalized_terms": f"WITH {sql.TERMS} SELECT term_id, {_normal('text')} AS normalized_text FROM t WHERE text IS NOT NULL",
     "term_languages": f"""WITH {sql.TERMS} SELECT term_id, {_language("coalesce(normalized_text, '')")} AS language, CASE WHEN {_language("coalesce(normalized_text, '')")} = 'en' AND NOT contains(normalized_text, ' ') THEN 'word' ELSE 'phrase' END AS match_type,
@@ -149,10 +176,10 @@ ORACLE = {
         hp AS (SELECT row_number() OVER () AS k, chunk_id, regexp_replace(regexp_replace(trim(regexp_replace(h, '[{_SPACE}]+', ' ', 'g')), '{_NUMBER}', ''), '^[ —–:：-]+|[ —–:：-]+$', '', 'g') AS heading FROM hd),
         hh AS (SELECT * FROM hp WHERE heading <> ''), wn AS (SELECT chunk_id, {_normal('heading')} AS term FROM hh), {_candidates('hh', 'k', 'heading')}
         SELECT chunk_id, term, sum(n)::BIGINT AS n FROM (SELECT chunk_id, term, 8 AS n FROM wn WHERE {_valid('term')} UNION ALL SELECT chunk_id, term, 4 * n FROM cand JOIN hh USING (k)) GROUP BY ALL""",
-    "cluster_terms": f"""WITH b AS (SELECT coalesce(lang, 'none') || chr(1) || doc_id AS k, text FROM documents WHERE text IS NOT NULL), {_candidates('b', 'k', 'text')}, kc AS (SELECT split_part(k, chr(1), 1) AS cluster, term, n FROM cand),
-        g AS (SELECT cluster, term, sum(n) AS frequency, count(*) AS chunk_frequency FROM kc GROUP BY ALL), e AS (SELECT term, sum(frequency) AS everywhere FROM g GROUP BY term), tt AS (SELECT cluster, sum(frequency) AS total FROM g GROUP BY cluster), av AS (SELECT sum(total)::DOUBLE / count(*) AS mean FROM tt)
-        SELECT cluster, term, round(round(frequency::DOUBLE / greatest(total, 1) * ln(1 + mean / greatest(everywhere, 1)) * (1 + 0.12::DOUBLE * ln(1 + chunk_frequency)), 8), 6) AS score, frequency::BIGINT AS frequency, chunk_frequency, {_language('term')} AS language
-        FROM g JOIN e USING (term) JOIN tt USING (cluster), av WHERE chunk_frequency >= 2""",
+    "cluster_terms": f"WITH {_CLUSTERS} SELECT cluster, term, round(score, 6) AS score, frequency, chunk_frequency, language FROM cterms",
+    "mined_mentions": f"WITH {_MINED} SELECT chunk_id, term_id, n::INT AS count, m::INT AS source_count, CASE WHEN m > 0 THEN 'source_text' ELSE 'section_context' END AS match_scope FROM mm",
+    "mined_concepts": f"""WITH {_MINED}, tp AS (SELECT concept_id, max(w) AS top FROM mn GROUP BY concept_id), ag AS (SELECT chunk_id, concept_id, sum(n)::BIGINT AS count, sum(m)::BIGINT AS source_count, count(DISTINCT x)::INT AS n_terms, max(w) AS w FROM mm GROUP BY ALL)
+        SELECT chunk_id, concept_id, count, source_count, n_terms, round(CASE WHEN top > 0 THEN w / top ELSE 0 END, 5) AS confidence FROM ag JOIN tp USING (concept_id) WHERE CASE WHEN top > 0 THEN w / top ELSE 0 END >= 0.45""",
     "term_mentions": f"WITH {_MENTIONS} SELECT chunk_id, term_id, n::INT AS count, m::INT AS source_count, CASE WHEN m > 0 THEN 'source_text' ELSE 'section_context' END AS match_scope FROM mt",
     "name_mentions": f"""WITH {sql.CHUNKS}, fc AS (SELECT chunk_id, {sql.folded('coalesce(retrieval_text, text)')} AS r, {sql.folded("coalesce(text, '')")} AS s FROM c), nm AS (SELECT DISTINCT concept_id || '|' || x AS term_id, {sql.folded('x')} AS x FROM (SELECT concept_id, unnest(string_split(name, ' / ')) AS x FROM concepts WHERE level = 2)),
         o AS (SELECT chunk_id, term_id, (length(r) - length(replace(r, x, ''))) // length(x) AS n, (length(s) - length(replace(s, x, ''))) // length(x) AS m FROM fc JOIN nm ON contains(r, x))
