@@ -15,7 +15,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     named = sc.getConf().get("spark.checkpoint.dir", "")
     if named:
         sc.setCheckpointDir(named)
-    elif sc.master.startswith("local"):
+    elif sc.master == "local" or sc.master.startswith("local["):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     else:
         raise ValueError("spark.checkpoint.dir is not set; name a folder that all executors share")
