@@ -19,9 +19,10 @@ SPACE = "\\s\\x0b\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202
 
 def estimate_tokens(text: Column) -> Column:
     """max(1, ceil(ideographs + 1.3 words + 0.35 other signs)); null for null."""
-    cjk = F.regexp_count(text, F.lit(f"[{CJK}]")).cast("double")
+    # single signs are counted as what is left when runs of all others are taken out: a few long matches, not one per sign
+    cjk = F.length(F.regexp_replace(text, f"[^{CJK}]+", "")).cast("double")
     words = F.regexp_count(text, F.lit(WORD)).cast("double")
-    other = F.regexp_count(text, F.lit(f"[^{SPACE}A-Za-z0-9{CJK}]")).cast("double")
+    other = F.length(F.regexp_replace(text, f"[{SPACE}A-Za-z0-9{CJK}]+", "")).cast("double")
     raw = F.ceil(cjk + words * F.lit(WORD_WEIGHT) + other * F.lit(OTHER_WEIGHT)).cast("int")
     return F.when(text.isNotNull(), F.greatest(F.lit(1), raw))
 
