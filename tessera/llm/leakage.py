@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.chunks import in_slices
-from tessera.llm.lookalike import skeleton
+from tessera.llm.lookalike import expansions, removed, single_map, skeleton
+from tessera.plans import sql
 from tessera.plans.runtime import read_table, spread
 
 WORDS, CHARACTERS, SHINGLE, SIMILARITY, RADIUS = 12, 24, 5, 0.8, 3
@@ -253,4 +254,24 @@ def p7_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_similar": p7_similar}
-ORACLE: dict[str, str] = {}
+
+
+def _sql() -> str:
+    """All windows of all texts joined on equality, for the small tables of the check."""
+    quote = lambda x: x.replace("'", "''")
+    table = single_map()
+    same = f"translate(text, '{quote(''.join(table))}' || '{removed()}', '{quote(''.join(table.values()))}')"
+    for one, several in expansions().items():
+        same = f"replace({same}, '{one}', '{several}')"
+    fold = sql.folded(same)
+    han = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{3040}-\x{30ff}"
+    words = rf"[{han}]|(?:\p{{N}}|[^\P{{L}}{han}])+"
+    return rf"""WITH i AS (SELECT DISTINCT item_id AS id, lang, {fold} AS f FROM eval_items WHERE text IS NOT NULL), d AS (SELECT doc_id AS id, {fold} AS f FROM documents WHERE text IS NOT NULL),
+        iw AS (SELECT id, regexp_extract_all(f, '{words}') AS w FROM i WHERE lang IS DISTINCT FROM 'zh'), dw AS (SELECT id, regexp_extract_all(f, '{words}') AS w FROM d),
+        ic AS (SELECT id, array_to_string(regexp_extract_all(f, '[\p{{L}}\p{{N}}]'), '') AS s FROM i WHERE lang = 'zh'), dc AS (SELECT id, array_to_string(regexp_extract_all(f, '[\p{{L}}\p{{N}}]'), '') AS s FROM d),
+        a AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - {WORDS - 2}), lambda k: array_to_string(w[k : k + {WORDS - 1}], ' '))) AS k FROM iw), b AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - {WORDS - 2}), lambda k: array_to_string(w[k : k + {WORDS - 1}], ' '))) AS k FROM dw),
+        x AS (SELECT DISTINCT id, unnest(list_transform(range(1, length(s) - {CHARACTERS - 2}), lambda k: substr(s, k, {CHARACTERS}))) AS k FROM ic), y AS (SELECT DISTINCT id, unnest(list_transform(range(1, length(s) - {CHARACTERS - 2}), lambda k: substr(s, k, {CHARACTERS}))) AS k FROM dc)
+        SELECT DISTINCT b.id AS doc_id, a.id AS item_id FROM a JOIN b USING (k) UNION SELECT DISTINCT y.id, x.id FROM x JOIN y USING (k)"""
+
+
+ORACLE = {"p7_found": _sql()}

@@ -252,4 +252,13 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_neighbours": p4_neighbours}
-ORACLE: dict[str, str] = {}
+
+
+def _brute(table: str, key: str, vec: str, condition: str) -> str:
+    """All pairs of a table, for the small tables of the check."""
+    usable = f"SELECT {key} AS id, any_value({vec})::DOUBLE[] AS v FROM {table} WHERE {key} IS NOT NULL AND {vec} IS NOT NULL AND {condition} AND list_max(list_transform({vec}, lambda x: abs(x))) > 0 GROUP BY {key}"
+    return f"""(WITH u AS ({usable}), s AS (SELECT a.id, b.id AS other, list_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.id <> b.id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS n FROM s WHERE s >= 0.95) SELECT DISTINCT least(id, other) AS left_id, greatest(id, other) AS right_id FROM r WHERE n <= 5)"""
+
+
+ORACLE = {"p4_found": _brute("chunks", "chunk_id", "embedding", "embedding_model = 'lumen-multi-64' AND len(embedding) = 64") + " UNION ALL " + _brute("terms", "term_id", "resolver_embedding", "len(resolver_embedding) = 48")}
