@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vector import centroids, own_similarity, similarities, usable
 
-#: Points an exact quadratic clustering takes at most; larger sets are clustered from a table of summaries.
+#: Points the driver clusters at most; density.clusters does the same to larger sets on the executors.
 EXACT_POINTS = 5000
 SECONDARY_LEAST, SECONDARY_GAP, MOST_CONCEPTS = 0.78, 0.035, 2
 
@@ -62,6 +62,11 @@ def automatic_settings(n: int) -> tuple[int, int]:
     return size, max(2, round(size * 0.3))
 
 
+def leading_axes(v: np.ndarray) -> np.ndarray:
+    """The axes with their largest component positive."""
+    return v * np.sign(v[np.arange(len(v)), np.abs(v).argmax(axis=1)])[:, None]
+
+
 def reduce_dimensions(x: np.ndarray, most: int = 50) -> np.ndarray:
     """Centred principal components, rows of unit length; as they are where that would not make them fewer."""
     k = min(most, len(x) - 1, x.shape[1])
@@ -69,8 +74,7 @@ def reduce_dimensions(x: np.ndarray, most: int = 50) -> np.ndarray:
         return x
     y = x - x.mean(axis=0)
     _, _, v = np.linalg.svd(y, full_matrices=False)
-    v *= np.sign(v[np.arange(len(v)), np.abs(v).argmax(axis=1)])[:, None]
-    z = y @ v[:k].T
+    z = y @ leading_axes(v[:k]).T
     return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
 
@@ -93,6 +97,42 @@ def average_linkage(x: np.ndarray, clusters: int) -> np.ndarray:
     return np.array([first.setdefault(v, len(first)) for v in label])
 
 
+def chained_linkage(x: np.ndarray, clusters: int) -> np.ndarray:
+    """average_linkage without a matrix of distances: the mean cosine of two clusters is that of their sums, and clusters
+    nearest to each other are merged wherever a chain of nearest ones ends, which gives the same tree."""
+    n = len(x)
+    total = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    size, gone, merges, chain, start = np.ones(n), np.zeros(n), [], [], 0
+    while len(merges) < n - 1:
+        if not chain:
+            while gone[start]:
+                start += 1
+            chain = [start]
+        a = chain[-1]
+        d = 1.0 - (total @ total[a]) / (size * size[a]) + gone
+        d[a] = np.inf
+        b = int(d.argmin())
+        if len(chain) > 1 and d[chain[-2]] <= d[b]:
+            b = chain[-2]
+            chain = chain[:-2]
+            merges.append((float(d[b]), len(merges), min(a, b), max(a, b)))
+            a, b = merges[-1][2:]
+            total[a] += total[b]
+            size[a] += size[b]
+            gone[b] = np.inf
+        else:
+            chain.append(b)
+    up = list(range(n))
+    for _, _, a, b in sorted(merges)[: n - clusters]:
+        up[b] = a
+    first: dict[int, int] = {}
+    out = np.zeros(n, int)
+    for i in range(n):  # a cluster keeps its first member as its name, so up[i] <= i is settled already
+        up[i] = up[up[i]]
+        out[i] = first.setdefault(up[i], len(first))
+    return out
+
+
 def silhouette(x: np.ndarray, label: np.ndarray) -> float:
     """Mean silhouette by cosine distance; a member of a cluster of one counts 0."""
     u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
@@ -121,7 +161,7 @@ def density_clusters(x: np.ndarray, least: int, neighbours: int) -> tuple[np.nda
     """
     n = len(x)
     if n > EXACT_POINTS:
-        raise ValueError(f"at most {EXACT_POINTS} points; cluster summaries of larger sets")
+        raise ValueError(f"at most {EXACT_POINTS} points; density.clusters takes larger sets")
     if n < 2:
         return np.full(n, -1), np.zeros(n)
     sq = (x**2).sum(axis=1)
@@ -139,8 +179,15 @@ def density_clusters(x: np.ndarray, least: int, neighbours: int) -> tuple[np.nda
         closer = ~inside & (reach[j] < near)
         near[closer], via[closer] = reach[j][closer], j
     edges.sort()
+    w, u, v = (np.array(z) for z in zip(*edges, strict=True))
+    return tree_clusters(n, u, v, w, least)
+
+
+def tree_clusters(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and strengths of density_clusters from the edges of the minimum spanning tree."""
+    edges = sorted(zip(w.tolist(), u.tolist(), v.tolist(), strict=True))
     # single linkage as a binary tree: nodes n.. with children, distance, size
-    root, left, right, height, size = list(range(n)), {}, {}, {}, dict.fromkeys(range(n), 1)
+    left, right, height, size = {}, {}, {}, dict.fromkeys(range(n), 1)
     find_up: dict[int, int] = {}
 
     def find(a: int) -> int:
@@ -154,7 +201,6 @@ def density_clusters(x: np.ndarray, least: int, neighbours: int) -> tuple[np.nda
         a, b, new = find(a), find(b), n + k
         left[new], right[new], height[new], size[new] = a, b, h, size[a] + size[b]
         find_up[a] = find_up[b] = new
-    del root
 
     def points(node: int) -> list[int]:
         out, todo = [], [node]
@@ -225,8 +271,13 @@ def cluster_points(x: np.ndarray, least: int | None = None, neighbours: int | No
     label, strength = density_clusters(reduce_dimensions(x), least or auto[0], neighbours or auto[1])
     if label.max(initial=-1) >= 1:
         return label, strength, "hdbscan"
-    k = max(2, min(24, round(math.sqrt(len(x)) / 2)))
-    return average_linkage(x, min(k, len(x))), np.ones(len(x)), "agglomerative_fallback"
+    return linked_points(x)
+
+
+def linked_points(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, str]:
+    k = min(max(2, min(24, round(math.sqrt(len(x)) / 2))), len(x))
+    label = average_linkage(x, k) if len(x) <= EXACT_POINTS else chained_linkage(x, k)
+    return label, np.ones(len(x)), "agglomerative_fallback"
 
 
 def parent_partition(x: np.ndarray) -> tuple[np.ndarray | None, float | None]:
