@@ -4,10 +4,14 @@ Every item is cut into windows of its own measure (12 words; 24 characters for i
 lang zh) and every document into windows of the same size. A window's fingerprint is a
 64-bit SimHash of its words. The fingerprints of the items are indexed by 4 blocks of 16
 bits: two fingerprints within radius 3 agree in one block at least, so no pair within the
-radius is missed, and equal windows have distance 0. Candidates are verified by weighted
-similarity of their five-word shingles (0.8 or more); p7_found keeps those whose words
+radius is missed, and equal windows have distance 0. p7_found keeps those whose words
 also follow each other exactly.
 
+A window of weighted shingle similarity 0.8 may lie far outside any useful radius, so
+p7_similar takes its candidates from an index of the shingles (five tokens). A window that
+similar leaves at most a known number of its shingles unmatched, so one of its rarest,
+one more than that number, leads to it: no pair is missed. Each candidate is verified.
+
 Case, punctuation, spacing, line breaks and characters that look the same are disregarded.
 Defined cases: null or empty texts and items shorter than a window match nothing; repeated
 rows of an item count once; each copy of a document counts.
@@ -37,6 +41,8 @@ WORDS, CHARACTERS, SHINGLE, SIMILARITY, RADIUS = 12, 24, 5, 0.8, 3
 BLOCKS, BLOCK_BITS = 4, 16
 #: Items are sent to the executors in blocks of at most about this many characters each.
 ITEM_BLOCK_CHARS = 20_000_000
+#: Places of shingles that candidates of similar windows are taken from at once.
+MOST_CANDIDATES = 1 << 20
 #: Tokens of documents handled at once (a longer document is handled in overlapping slices).
 SLICE = 1 << 16
 #: CJK ideographs and kana, each of which counts as a word.
@@ -102,12 +108,23 @@ def fingerprints(signs: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(total > 0, axis=1).view(np.uint64).ravel()
 
 
+def shingles(hashes: np.ndarray) -> np.ndarray:
+    """A hash of each run of SHINGLE tokens, from the hashes of the tokens."""
+    n = max(len(hashes) - SHINGLE + 1, 0)
+    out = np.zeros(n, dtype=np.uint64)
+    for i in range(SHINGLE):
+        out = (out ^ hashes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 class Index:
     """Fingerprints, token hashes and owners of the windows of one measure, by Hamming block."""
 
-    def __init__(self, items: list[tuple[int, str]], size: int, tokens_of):
+    def __init__(self, items: list[tuple[int, str]], size: int, tokens_of, similar: bool = False):
         vectors = Vectors()
         prints, owners, hashes, letters = [], [], [], []
+        runs, weights, wide = [], [], []
         self.size, self.least_cjk = size, size
         for item, text in items:
             tokens = tokens_of(text)
@@ -123,6 +140,10 @@ class Index:
             letters.append(np.lib.stride_tricks.sliding_window_view(lengths, size))
             cjk = np.array([bool(_CJK.match(t)) for t in tokens])
             self.least_cjk = min(self.least_cjk, int(np.lib.stride_tricks.sliding_window_view(cjk, size).sum(axis=1).min()))
+            if similar:
+                runs.append(shingles(h))
+                weights.append(np.lib.stride_tricks.sliding_window_view(lengths, SHINGLE).sum(axis=1))
+                wide.append(np.lib.stride_tricks.sliding_window_view(cjk, SHINGLE).any(axis=1))
         empty = not prints
         self.prints = np.zeros(0, np.uint64) if empty else np.concatenate(prints)
         self.owners = np.zeros(0, np.int64) if empty else np.concatenate(owners)
@@ -133,6 +154,65 @@ class Index:
             key = self._block(self.prints, b)
             self.order.append(np.argsort(key, kind="stable"))
             self.start.append(np.searchsorted(key[self.order[-1]], np.arange((1 << BLOCK_BITS) + 1)))
+        if similar and not empty:
+            self._index_shingles(runs, np.concatenate(weights), np.concatenate(wide))
+
+    def _index_shingles(self, runs: list[np.ndarray], weights: np.ndarray, wide: np.ndarray) -> None:
+        """Shingles of all items one after another, their order by hash, and how many may be missing of each window."""
+        n = self.size - SHINGLE + 1
+        self.runs = np.concatenate(runs)
+        firsts = np.cumsum([0] + [len(r) for r in runs])
+        self.at = np.concatenate([np.arange(f, f + len(r) - n + 1) for f, r in zip(firsts, runs)])  # first shingle of a window
+        self.window_at = np.full(len(self.runs), -1)
+        self.window_at[self.at] = np.arange(len(self.at))
+        self.by_run = np.argsort(self.runs, kind="stable")
+        self.sorted_runs = self.runs[self.by_run]
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[(self.runs & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+        self.missing, self.least_wide = np.zeros(len(self.at), np.int64), n
+        for low in range(0, len(self.at), 1 << 16):
+            span = self.at[low : low + (1 << 16), None] + np.arange(n)
+            w, r = np.sort(weights[span], axis=1).astype(float), np.sort(self.runs[span], axis=1)
+            whole, repeats = w.sum(axis=1), (r[:, 1:] == r[:, :-1]).any(axis=1)
+            # m foreign shingles take the place of m others, the lightest at best, and weigh the mean of the distinct ones each
+            mean = np.where(repeats, w[:, 0], whole / n)[:, None] * np.arange(1, n + 1)
+            fits = whole[:, None] - np.cumsum(w, axis=1) >= SIMILARITY * (whole[:, None] + mean) - 1e-6
+            self.missing[low : low + (1 << 16)] = fits.sum(axis=1)
+            self.least_wide = min(self.least_wide, int(wide[span].sum(axis=1).min()))
+
+    def similar_candidates(self, hashes: np.ndarray, whole: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (window of the document, window of an item) of which few enough shingles differ; whole: windows to look at."""
+        n, most = self.size - SHINGLE + 1, int(self.missing.max())
+        run = shingles(hashes)
+        hit = self.maybe[(run & np.uint64((1 << 22) - 1)).astype(np.int64)]
+        at = np.flatnonzero(hit)
+        low, count = np.zeros(len(run), np.int64), np.zeros(len(run), np.int64)
+        low[at] = np.searchsorted(self.sorted_runs, run[at], side="left")
+        count[at] = np.searchsorted(self.sorted_runs, run[at], side="right") - low[at]
+        none = np.concatenate([[0], np.cumsum(count == 0)])
+        windows = np.flatnonzero(whole & (none[n:] - none[:-n] <= most))
+        # the rarest shingles of a window, one more than may be missing
+        span = windows[:, None] + np.arange(n)
+        rare = np.take_along_axis(span, np.argsort(count[span], axis=1, kind="stable")[:, : most + 1], axis=1) if len(windows) else span
+        load = count[rare].sum(axis=1) * n if len(windows) else np.zeros(0, np.int64)
+        start = 0
+        while start < len(windows):
+            stop = start + max(1, int(np.searchsorted(np.cumsum(load[start:]), MOST_CANDIDATES, side="right")))
+            keys, reps = rare[start:stop].ravel(), count[rare[start:stop]].ravel()
+            doc = np.repeat(np.repeat(windows[start:stop], rare.shape[1]), reps)
+            ends = np.cumsum(reps)
+            place = self.by_run[np.repeat(low[keys] - (ends - reps), reps) + np.arange(ends[-1])]
+            first = place[:, None] - np.arange(n)
+            item = np.where(first >= 0, self.window_at[np.maximum(first, 0)], -1).ravel()
+            doc = np.repeat(doc, n)[item >= 0]
+            pairs = np.unique(doc * len(self.at) + item[item >= 0])
+            doc, item = pairs // len(self.at), pairs % len(self.at)
+            for k in range(0, len(doc), 1 << 15):
+                d, i = doc[k : k + (1 << 15)], item[k : k + (1 << 15)]
+                mine, theirs = run[d[:, None] + np.arange(n)], self.runs[self.at[i][:, None] + np.arange(n)]
+                near = n - (mine[:, :, None] == theirs[:, None, :]).any(axis=2).sum(axis=1) <= self.missing[i]
+                yield d[near], i[near]
+            start = stop
 
     @staticmethod
     def _block(prints: np.ndarray, b: int) -> np.ndarray:
@@ -181,6 +261,13 @@ def _matches(streams: list[list[str]], index: Index, vectors: Vectors, exact: bo
         at = vectors.of(tokens)
         who = np.array(owner)
         whole = who[: len(who) - size + 1] == who[size - 1 :]
+        if not exact:
+            for doc, item in index.similar_candidates(vectors.hashes[at], whole):
+                for d, i in zip(doc.tolist(), item.tolist(), strict=True):
+                    leak = int(index.owners[i])
+                    if leak not in out[who[d]] and index.similarity(vectors.hashes[at[d : d + size]], i) >= SIMILARITY:
+                        out[who[d]].add(leak)
+            return
         if index.least_cjk:
             cjk = np.concatenate([[0], np.cumsum([bool(_CJK.match(t)) for t in tokens])])
             whole &= cjk[size:] - cjk[:-size] >= index.least_cjk
@@ -192,10 +279,8 @@ def _matches(streams: list[list[str]], index: Index, vectors: Vectors, exact: bo
             return
         runs = np.lib.stride_tricks.sliding_window_view(vectors.hashes[at], size)[kept[position]]
         same = (runs == index.hashes[window]).all(axis=1)
-        for k in range(len(position)):
-            # an equal run has similarity 1; the rest is verified shingle by shingle
-            if same[k] or not exact and index.similarity(runs[k], int(window[k])) >= SIMILARITY:
-                out[who[kept[position[k]]]].add(int(index.owners[window[k]]))
+        for k in np.flatnonzero(same):
+            out[who[kept[position[k]]]].add(int(index.owners[window[k]]))
 
     tokens, owner = [], []
     for i, stream in enumerate(streams):
@@ -224,14 +309,14 @@ def leaks(documents: DataFrame, items: DataFrame, exact: bool = True) -> DataFra
         held = spark.sparkContext.broadcast([(r[0], r[1], folded(r[2])) for r in rows])
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            by_words = Index([(i, t) for i, lang, t in held.value if lang != "zh"], WORDS, words_of)
-            by_chars = Index([(i, t) for i, lang, t in held.value if lang == "zh"], CHARACTERS, characters_of)
+            by_words = Index([(i, t) for i, lang, t in held.value if lang != "zh"], WORDS, words_of, not exact)
+            by_chars = Index([(i, t) for i, lang, t in held.value if lang == "zh"], CHARACTERS, characters_of, not exact)
             vectors, others = Vectors(), Vectors()
             for batch in in_slices(batches):
                 ids, texts = batch.column(0).to_pylist(), [folded(t) for t in batch.column(1).to_pylist()]
                 one = _matches([words_of(t) for t in texts], by_words, vectors, exact)
-                # a window of an item that must hold ideographs cannot match a text without any
-                plain = by_chars.least_cjk > 0
+                # a window of an item that must hold ideographs cannot match a text without any (if similar, in more shingles than may be missing)
+                plain = by_chars.least_cjk > 0 if exact else bool(len(by_chars.prints)) and by_chars.least_wide > int(by_chars.missing.max())
                 two = _matches([[] if plain and not _CJK.search(t) else characters_of(t) for t in texts], by_chars, others, exact)
                 pairs = [(d, i) for d, x, y in zip(ids, one, two, strict=True) for i in sorted(x | y)]
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], batch.column(0).type), pa.array([p[1] for p in pairs], pa.int64())], names=["doc_id", "item_id"])

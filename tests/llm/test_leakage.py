@@ -55,6 +55,42 @@ def test_near_windows_by_shingles(spark):
     assert (2, 1) in found and (3, 1) not in found
 
 
+def test_similar_equal_to_brute_force(spark):
+    """Every window against every window by shingle similarity; the radius of the fingerprints finds few of those that differ."""
+    rng = random.Random(4)
+    vocabulary = ["a", "of", "the", "in", "it"] + [f"long{i}word" for i in range(60)]
+    signs = [chr(0x4E00 + i) for i in range(200)]
+    items = [(i, "en", " ".join(rng.choices(vocabulary, k=20))) for i in range(6)] + [(10 + i, "zh", "".join(rng.choices(signs, k=30)) + ("abc" if i == 0 else "")) for i in range(4)]
+    docs = []
+    for d in range(120):
+        _, lang, text = items[rng.randrange(10)]
+        tokens, size = (text.split(), 12) if lang == "en" else (list(text), 24)
+        a = rng.randrange(len(tokens) - size + 1)
+        part = tokens[a : a + size]
+        for _ in range(rng.choice([1, 1, 2])):
+            part[rng.choice([0, 0, 1, -1, -2, rng.randrange(size)])] = rng.choice(vocabulary[:8] if lang == "en" else [*signs[:5], "x"])
+        docs.append((d, (" " if lang == "en" else "").join(part)))
+    want, near = set(), set()
+    for size, tokens_of, lang in ((L.WORDS, L.words_of, "en"), (L.CHARACTERS, L.characters_of, "zh")):
+        index, vectors = L.Index([(i, L.folded(t)) for i, g, t in items if g == lang], size, tokens_of), L.Vectors()
+        for d, text in docs:
+            at = vectors.of(tokens_of(L.folded(text)))
+            for p, fp in enumerate(L.fingerprints(vectors.signs[at], size)):
+                for w in range(len(index.prints)):
+                    if index.similarity(vectors.hashes[at[p : p + size]], w) >= L.SIMILARITY:
+                        want.add((d, int(index.owners[w])))
+                        if int(fp ^ index.prints[w]).bit_count() <= L.RADIUS:
+                            near.add((d, int(index.owners[w])))
+    assert len(want) > 30 and len(near) < len(want)
+    assert set(run(spark, docs, exact=False, items=items)) == want
+
+
+def test_near_window_with_one_ideograph_less(spark):
+    changed = "x" + ZH[1:24]
+    assert run(spark, [(1, changed), (2, "xyz" + ZH[3:24])], exact=False) == [(1, 2)]
+    assert run(spark, [(1, changed)]) == []
+
+
 def test_empty_tables(spark):
     assert run(spark, [(1, ITEM)], items=[(4, "en", None)]) == []
     documents = spark.createDataFrame([], "doc_id long, text string")
