@@ -1,159 +1,224 @@
 """Problem 8: pages of repeated keywords, links or tags instead of sentences.
 
-Each page gives content and link features in one pass. Pages whose features leave no doubt
-are weak labels; bagged decision trees are fitted on a bounded sample of them and predict
-every page. The predictions are then smoothed with the share of such pages at the page's
-source: a prediction's log odds move by part of the source's log odds against the corpus.
+A page is cut into blocks of some lines. Each block gives content and link features (how it
+compresses, how its words and word pairs repeat, shares of kinds of characters, lengths of
+words and lines, addresses) and, from signals that are none of the features, a weak label:
+clauses held together by function words, and numbered or priced entries, are text; blocks
+with next to none of either are not. Bagged decision trees are fitted on a bounded sample of
+labelled blocks and predict every block. A page's prediction is the share of its characters
+in such blocks. It is then smoothed with the share of such pages at the page's source: its
+log odds move by part of the source's log odds against the corpus.
 
 Defined cases: null, empty and blank texts are no such pages; a null source is a source of
-its own; each copy of a page counts; character forms that look the same count as one.
+its own; each copy of a page counts; character forms that look the same count as one; where
+weak labels of one kind only are seen there is nothing to learn, and no page is found.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+import sys
+import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.chunks import in_slices
 from tessera.llm.lookalike import skeleton
 from tessera.plans.runtime import cut_lineage, read_table, spread
 
-#: Labelled pages of either kind the trees are fitted on at most; trees and their depth.
-SAMPLE, TREES, DEPTH, LEAST_LEAF, CANDIDATES = 5000, 25, 6, 5, 24
+#: Labelled blocks of either kind the trees are fitted on at most (one a page); trees and their depth.
+SAMPLE, TREES, DEPTH, LEAST_LEAF = 5000, 40, 12, 3
+#: Difference of prediction and label from which on a block is taken into the second sample.
+DOUBT = 0.25
+#: Bytes a block holds at least, and those of a line that is cut in two.
+BLOCK, LONG_LINE = 400, 900
 #: Weight of the source's log odds, and pages a source's rate is shrunk by towards the corpus.
 SOURCE_WEIGHT, SOURCE_PSEUDO = 0.25, 50.0
+#: A page's share is kept this far from 0 and 1 before its log odds are taken.
+SHARE_EDGE = 0.02
 #: Sources up to this many (two numbers and a name each) are broadcast; beyond it the join shuffles.
 BROADCAST_SOURCES = 100_000
 
-#: Common function words, by which sentences of these languages are known.
-FUNCTION_WORDS = frozenset(
-    """the of to and a an in that is are be by for or as on with at any its which may must shall should will has have if than from under unless where when
-    whenever before after within during not no this these their it was were into upon other each every all der die das den dem des und ist in von zu nach vor auf
-    soll darf muss kann bis im mit für gemäß oder ein eine einer über le la les l de du d et à un une par est au aux dans sur avec pour ne pas sans en que qui doit
-    devra peut को की के का से में है होगी होगा चाहिए और पर हर""".split()
-)
-_HAN_FUNCTION = re.compile("[的須並應以及而其不將為於是在所或但且由與至如則向仍必乃之若時]|按(?!揭)|は|を|の|に|が|と|で|も")
-_THAI_FUNCTION = re.compile("ต้อง|ควร|อาจ|จะ|ภายใน|โดย|ก่อน|ทุก|อย่าง|ตาม|และ|ของ|ที่")
-_LINK = re.compile(r"</?a\b[^>]*>|\]\([^)\s]+\)|(?:https?://|www\.)[^\s,;|·]+|\b[\w-]+(?:\.[\w-]+)*\.(?:com|org|net|info|io|example|test|invalid|localhost)\b(?:/[^\s,;|·]*)?", re.I)
-_TAG = re.compile(r"(?<!\S)[#+@][^\s#+]+|\btags?:\s?\S+|\b[A-Z]{2,5}-?\d{3,}\b(?:\s[a-z]{1,5}\b)?|\b[a-z]+(?:-[a-z]+)+-\d{2,4}\b")
+#: Closed-class words, by which clauses of these languages are known.
+FUNCTION_WORDS = frozenset((
+    "the", "of", "to", "and", "a", "an", "in", "that", "is", "are", "be", "by", "for", "or", "as", "on", "with", "at", "any", "its", "which", "may", "must", "shall", "should", "will", "has", "have", "if",
+    "than", "from", "under", "unless", "where", "when", "before", "after", "within", "during", "not", "no", "this", "these", "their", "it", "was", "were", "into", "upon", "other", "each", "every", "all",
+    "der", "die", "das", "den", "dem", "des", "und", "ist", "von", "zu", "nach", "vor", "auf", "soll", "darf", "muss", "kann", "bis", "im", "mit", "für", "oder", "ein", "eine", "einer", "über",
+    "le", "la", "les", "l", "de", "du", "d", "et", "à", "un", "une", "par", "est", "au", "aux", "dans", "sur", "avec", "pour", "ne", "pas", "sans", "en", "que", "qui", "doit", "peut",
+    "को", "की", "के", "का", "से", "में", "है", "और", "पर", "हर",
+))
+#: Function characters of Chinese and Japanese, function words of Thai.
+_SIGNS = re.compile("[的須應以及而其不將為於是在所或但且由與至如則向仍乃之若はをのにがとでも]|ต้อง|ควร|อาจ|จะ|ภายใน|โดย|ก่อน|ทุก|ตาม|และ|ของ|ที่")
+#: Letters of scripts whose function words are not stated: no label says that such a block is no text.
+_UNKNOWN = re.compile("[\u0370-\u08ff\u0980-\u0dff\u0e80-\u1dff\uac00-\ud7a3]")
+_CLAUSE = re.compile(r"[.!?;:。！？；：।\n]+")
+_ADDRESS = re.compile(r"<a\b|href|\]\(|://|www\.|[^\W\d_](?:[\w-]*[\w])?\.[^\W\d_]{2,}")
 #: Letters and digits with the vowel signs and marks that Python holds for no word characters.
-_TOKEN = re.compile(r"(?:[^\W_]|[\u0300-\u036f\u0900-\u0963\u0e31-\u0e4e])+")
-_MARKER = re.compile(r"\s*(?:[•●▪◦*]|\(?(?:\d{1,3}|[ivxlc]{1,5}|[a-z])[.)]\s|[（(][一二三四五六七八九十]+[）)]|\d+(?:\.\d+)+\.?\s|\[\d+\])", re.I)
-_LEADER = re.compile(r"\.{3,}\s*\d+\s*$|…{2,}\s*\d+\s*$")
-_AMOUNT = re.compile(r"\d[\d.,]*\s?(?:%|bn\b|million|basis)|(?:USD|EUR|HK\$|\$|£|€)\s?\d")
-_ENDS = re.compile(r"[.!?。！？।…][”\"'」’»）)]*\s*$")
-_HAN = re.compile("[㐀-䶿一-鿿豈-﫿぀-ヿ]")
-_THAI = re.compile("[฀-๿]")
-
-FEATURES = ("link_lines", "tag_lines", "repeat_lines", "all_lines", "link_chars", "tag_chars", "function_share", "distinct_share", "top_share", "marker_lines", "amount_lines", "ended_lines", "links_per_100", "letters")
-
-
-def _units(token: str) -> list[str]:
-    """A word; of a run of ideographs, its pairs, since the script does not part words."""
-    if len(token) > 2 and _HAN.match(token):
-        return [token[i : i + 2] for i in range(len(token) - 1)]
-    return [token]
-
-
-def _function_share(line: str, tokens: list[str]) -> float:
-    """How much of a line holds a sentence together, in the measure of its script (about 0.2 or more in prose)."""
-    parts = []  # (signs of the script, share)
-    han, thai = len(_HAN.findall(line)), len(_THAI.findall(line))
-    if han:
-        parts.append((han, 3.0 * len(_HAN_FUNCTION.findall(line)) / han))
-    if thai > 10:
-        parts.append((thai, 8.0 * len(_THAI_FUNCTION.findall(line)) / thai))
-    words = [t for t in tokens if not t.isdigit() and not _HAN.match(t) and not (thai > 10 and _THAI.match(t))]
-    if words:
-        parts.append((sum(map(len, words)), sum(t in FUNCTION_WORDS for t in words) / len(words)))
-    return sum(n * share for n, share in parts) / sum(n for n, _ in parts) if parts else 0.0
-
-
-def features(text: str | None) -> list[float] | None:
-    """The features of one page; None where there is nothing to read."""
-    if text is None or not text.strip():
-        return None
-    lines = [line for line in skeleton(text).splitlines() if line.strip()]
-    if not lines:
-        return None
-    held, counts = [], Counter()
-    for line in lines:
-        links = sum(len(m.group()) for m in _LINK.finditer(line))
-        bare = _LINK.sub(" ", line) if links else line
-        tags = sum(len(m.group()) for m in _TAG.finditer(bare))
-        tokens = [u for t in _TOKEN.findall(bare) for u in _units(t.casefold())]
-        share = _function_share(bare, tokens)
-        held.append((line, bare, links, tags, tokens, share))
-        if share < 0.15 or len(tokens) <= 6:
-            counts.update(t for t in tokens if t not in FUNCTION_WORDS)
-    total = sum(len(line) for line in lines)
-    sums = dict.fromkeys(FEATURES, 0.0)
-    tokens_all, functions, link_count = 0, 0.0, 0
-    for line, bare, links, tags, tokens, share in held:
-        n = len(line)
-        marked = bool(_MARKER.match(line)) or bool(_LEADER.search(line))
-        amount = bool(_AMOUNT.search(bare)) and not tags
-        ended = bool(_ENDS.search(line))
-        content = [t for t in tokens if t not in FUNCTION_WORDS]
-        function_words = len(tokens) - len(content)
-        # a sentence has function words in proportion; a short line with one of them and no end is none yet
-        sentence = share >= 0.15 and not (function_words <= 1 and len(tokens) <= 6 and not ended)
-        plain = not marked and not amount
-        linked = links > 0.25 * n and share < 0.15 and not marked
-        tagged = not linked and tags > 0.4 * len(bare.strip() or "x") and share < 0.15
-        repeated = sum(counts[t] >= 4 for t in content) / len(content) if content else 0.0
-        again = not linked and not tagged and plain and not sentence and len(content) > 0 and repeated >= 0.6
-        sums["link_lines"] += n * linked
-        sums["tag_lines"] += n * tagged
-        sums["repeat_lines"] += n * again
-        sums["all_lines"] += n * (linked or tagged or again)
-        sums["link_chars"] += links
-        sums["tag_chars"] += tags
-        sums["marker_lines"] += n * marked
-        sums["amount_lines"] += n * amount
-        sums["ended_lines"] += n * ended
-        functions += share * n
-        tokens_all += len(tokens)
-        link_count += len(_LINK.findall(line)) if links else 0
-    every = Counter(t for _, _, _, _, tokens, _ in held for t in tokens if t not in FUNCTION_WORDS)
-    count = sum(every.values())
-    for k in ("link_lines", "tag_lines", "repeat_lines", "all_lines", "link_chars", "tag_chars", "marker_lines", "amount_lines", "ended_lines"):
-        sums[k] /= total
-    sums["function_share"] = functions / total
-    sums["distinct_share"] = len(every) / count if count else 1.0
-    sums["top_share"] = max(every.values()) / count if count else 0.0
-    sums["links_per_100"] = 100.0 * link_count / max(tokens_all + link_count, 1)
-    sums["letters"] = sum(map(str.isalpha, text)) / len(text)
-    return [sums[k] for k in FEATURES]
-
-
-def weak_label(x: np.ndarray) -> np.ndarray:
-    """1 where most lines are beyond doubt, 0 where next to none are, -1 elsewhere."""
-    f = {k: x[:, i] for i, k in enumerate(FEATURES)}
-    out = np.full(len(x), -1)
-    out[(f["all_lines"] <= 0.25) & (f["link_chars"] < 0.3) & (f["tag_chars"] < 0.3)] = 0
-    out[(f["all_lines"] >= 0.75) & (f["function_share"] < 0.12)] = 1
+_TOKEN = re.compile(r"(?:[^\W_]|[̀-ͯऀ-ॣั-๎])+")
+_ENTRY = re.compile(r"\s*(?:[•●▪◦*]|\(?(?:\d{1,3}|[ivxlc]{1,5}|[a-z])[.)]\s|[（(][一二三四五六七八九十]+[）)]|\d+(?:\.\d+)+\.?\s|\[\d+\])|.*(?:\.{3,}|…{2,}|\t|\s{3,})\s*\S*\d\S*(?:\s\w+){0,2}\s*$", re.I)
+_WIDE = re.compile("[㐀-䶿一-鿿豈-﫿぀-ヿ]")
+
+FEATURES = (
+    "compression", "entropy", "distinct", "distinct_pairs", "top_share", "word_length", "word_spread", "short_words", "long_words", "line_length", "line_spread", "same_starts", "same_ends",
+    "length_by_count", "common_length", "digits", "capitals", "marks", "stops", "blanks", "wide", "joined_words", "digit_words", "addresses",
+)
+(OTHER, SMALL, CAPITAL, WIDE, DIGIT, STOP, BLANK, MARK) = range(8)
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """The kind of every code point."""
+    of = {"Ll": SMALL, "Lm": SMALL, "Mn": SMALL, "Mc": SMALL, "Lu": CAPITAL, "Lt": CAPITAL, "Nd": DIGIT, "Zs": BLANK, "Cc": BLANK}
+    kinds = np.fromiter((of.get(c := unicodedata.category(chr(i)), MARK if c[0] in "PS" else WIDE if c == "Lo" else OTHER) for i in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+    kinds[[ord(c) for c in ".,;:!?。，、；：！？।"]] = STOP
+    return kinds
+
+
+def blocks_of(text: str) -> list[str]:
+    """The page in blocks of whole lines; a line that is long by itself is cut at its blanks or stops."""
+    pieces = []
+    for line in text.splitlines():
+        if not line.strip():
+            continue
+        size = len(line.encode("utf-8", "replace"))
+        if size <= LONG_LINE:
+            pieces.append((line, size))
+            continue
+        step = max(1, len(line) * BLOCK // size)
+        low = 0
+        while low < len(line):
+            high = low + step
+            if len(line) - high < step:
+                high = len(line)
+            else:
+                cut = max(line.rfind(c, low + step // 2, high) for c in " 。、，|")
+                high = cut + 1 if cut >= 0 else high
+            pieces.append((line[low:high], BLOCK))
+            low = high
+    out, held, width = [], [], 0
+    for piece, size in pieces:
+        held.append(piece)
+        width += size
+        if width >= BLOCK:
+            out.append("\n".join(held))
+            held, width = [], 0
+    if held:
+        rest = "\n".join(held)
+        if out and width < BLOCK // 2:
+            out[-1] += "\n" + rest
+        else:
+            out.append(rest)
     return out
 
 
+def _words(block: str) -> list[str]:
+    """Words in one case; of a run of ideographs, its pairs, since the script does not part words."""
+    out = []
+    for t in _TOKEN.findall(block.casefold()):
+        if len(t) > 2 and _WIDE.match(t):
+            out += [t[i : i + 2] for i in range(len(t) - 1)]
+        else:
+            out.append(t)
+    return out
+
+
+def _spread(x: np.ndarray) -> float:
+    return float(x.std() / (x.mean() + 1e-9))
+
+
+def _tie(a: np.ndarray, b: np.ndarray) -> float:
+    """Correlation; 0 where one of them does not vary. (Words that prose uses often are short ones.)"""
+    u, v = a - a.mean(), b - b.mean()
+    return float((u @ v) / (math.sqrt((u @ u) * (v @ v)) + 1e-9))
+
+
+def features(block: str) -> list[float]:
+    """Content and link features of one block."""
+    code = np.frombuffer(block.encode("utf-32-le", "replace"), np.uint32)
+    share = np.bincount(_kinds()[code], minlength=8) / len(code)
+    raw = block.encode("utf-8", "replace")
+    words = _words(block)
+    n = max(len(words), 1)
+    held = Counter(words)
+    counts = np.array(list(held.values()) or [1], float)
+    size = np.array([len(w) for w in held] or [0], float)
+    p = counts / counts.sum()
+    common = np.argsort(-counts, kind="stable")[:5]
+    lengths = np.array([len(w) for w in words] or [0], float)
+    lines = [s for line in block.split("\n") if (s := line.strip())]
+    widths = np.array([len(s) for s in lines] or [0], float)
+    parts = block.split()
+    pairs = len(set(zip(words, words[1:], strict=False)))
+    return [
+        len(zlib.compress(raw, 1)) / len(raw) * (1 + 12 / len(raw)) ** -1,
+        float(-(p * np.log2(p)).sum()) / max(math.log2(n), 1.0),
+        len(counts) / n,
+        pairs / max(n - 1, 1),
+        float(p.max()),
+        float(lengths.mean()),
+        _spread(lengths),
+        float((lengths <= 3).mean()),
+        float((lengths >= 9).mean()),
+        math.log1p(float(widths.mean())),
+        _spread(widths),
+        1 - len({s[:6] for s in lines}) / max(len(lines), 1),
+        1 - len({s[-6:] for s in lines}) / max(len(lines), 1),
+        _tie(size, np.log(counts)),
+        float(size[common].mean() / (size.mean() + 1e-9)),
+        float(share[DIGIT]),
+        float(share[CAPITAL]),
+        float(share[MARK]),
+        float(share[STOP]),
+        float(share[BLANK]),
+        float(share[WIDE]),
+        sum("-" in w or "_" in w or "/" in w for w in parts) / max(len(parts), 1),
+        sum(any(map(str.isdigit, w)) and any(map(str.isalpha, w)) for w in parts) / max(len(parts), 1),
+        len(_ADDRESS.findall(block)) / n,
+    ]
+
+
+def weak_label(block: str) -> int:
+    """0: most of it is clauses or entries; 1: next to none of it is either; -1: in doubt. A clause has two function words at least."""
+    total = clauses = entries = 0
+    for line in block.split("\n"):
+        total += len(line)
+        if _ENTRY.match(line):
+            entries += len(line)
+            continue
+        for part in _CLAUSE.split(line):
+            words = part.casefold().split()
+            held = len(FUNCTION_WORDS.intersection(words)) + len(set(_SIGNS.findall(part)))
+            if held >= 2 and len(part) <= 90 * held:
+                clauses += len(part)
+    known = (clauses + entries) / max(total, 1)
+    return 0 if known >= 0.7 else 1 if known <= 0.1 and total >= 80 and not _UNKNOWN.search(block) else -1
+
+
 class Trees:
-    """Bagged classification trees as flat arrays: feature, threshold, left, right, value."""
+    """Bagged classification trees as flat arrays: feature, threshold, left, right, value; how often rows are told right by the trees that have not seen them."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.trees = []
+        votes, seen = np.zeros(len(x)), np.zeros(len(x))
         for _ in range(TREES):
             rows = rng.integers(0, len(x), len(x))
             nodes: list[list[float]] = []
             self._grow(x[rows], y[rows].astype(float), rng, nodes, 0)
             self.trees.append(np.array(nodes))
+            out = np.setdiff1d(np.arange(len(x)), rows)
+            votes[out] += self._values(self.trees[-1], x[out])
+            seen[out] += 1
+        left = seen > 0
+        self.out_of_bag = float(((votes[left] / seen[left] > 0.5) == (y[left] > 0.5)).mean()) if left.any() else float("nan")
 
     def _grow(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator, nodes: list, depth: int) -> int:
         at = len(nodes)
@@ -183,66 +248,125 @@ class Trees:
         nodes[at][3] = self._grow(x[right], y[right], rng, nodes, depth + 1)
         return at
 
+    @staticmethod
+    def _values(t: np.ndarray, x: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(x), dtype=np.int64)
+        for _ in range(DEPTH):
+            inner = t[at, 0] >= 0
+            if not inner.any():
+                break
+            right = x[np.arange(len(x)), np.maximum(t[at, 0], 0).astype(np.int64)] > t[at, 1]
+            at = np.where(inner, np.where(right, t[at, 3], t[at, 2]).astype(np.int64), at)
+        return t[at, 4]
+
     def predict(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x))
-        for t in self.trees:
-            at = np.zeros(len(x), dtype=np.int64)
-            for _ in range(DEPTH):
-                inner = t[at, 0] >= 0
-                if not inner.any():
-                    break
-                right = x[np.arange(len(x)), np.maximum(t[at, 0], 0).astype(np.int64)] > t[at, 1]
-                at = np.where(inner, np.where(right, t[at, 3], t[at, 2]).astype(np.int64), at)
-            total += t[at, 4]
-        return total / len(self.trees)
-
-
-def page_features(df: DataFrame) -> DataFrame:
-    """(doc_id, source, x, label) of every page that holds something."""
+        return sum(self._values(t, x) for t in self.trees) / len(self.trees)
+
+
+def _lists(values: np.ndarray, sizes: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)), pa.array(values))
+
+
+def page_blocks(df: DataFrame) -> DataFrame:
+    """(doc_id, source, sizes, labels, x) of every page that holds something: of each block its characters, weak label and features (one after another)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
-            rows = [features(t) for t in batch.column(2).to_pylist()]
-            kept = [i for i, r in enumerate(rows) if r is not None]
-            x = np.array([rows[i] for i in kept], dtype=float).reshape(-1, len(FEATURES))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32)), pa.array(x.ravel()))
+            kept, counts, sizes, labels, x = [], [], [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                blocks = blocks_of(skeleton(text)) if text and text.strip() else []
+                if blocks:
+                    kept.append(i)
+                    counts.append(len(blocks))
+                    sizes += map(len, blocks)
+                    labels += map(weak_label, blocks)
+                    x += map(features, blocks)
             take = pa.array(kept, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), lists, pa.array(weak_label(x).astype(np.int32))], names=["doc_id", "source", "x", "label"])
+            x = np.array(x, dtype=np.float32).ravel()
+            lists = [_lists(np.array(sizes, np.int32), counts), _lists(np.array(labels, np.int32), counts), _lists(x, [n * len(FEATURES) for n in counts])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *lists], names=["doc_id", "source", "sizes", "labels", "x"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return spread(df.select("doc_id", "source", "text")).mapInArrow(run, f"doc_id {kind}, source string, x array<double>, label int")
+    return spread(df.select("doc_id", "source", "text")).mapInArrow(run, f"doc_id {kind}, source string, sizes array<int>, labels array<int>, x array<float>")
 
 
-def scores(df: DataFrame) -> DataFrame:
-    """(doc_id, source, page_score, score) of every page: the trees' prediction and the smoothed one."""
-    spark = df.sparkSession
-    pages = cut_lineage(page_features(df))
-    # a bounded sample of either label, in the order of a hash
-    sample = [r for label in (0, 1) for r in pages.where(F.col("label") == label).orderBy(F.xxhash64("doc_id")).limit(SAMPLE).select("x", "label").collect()]
-    kind = df.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, source string, page_score double"
-    if len({r[1] for r in sample}) < 2:  # nothing to learn from: no page is such a page, or all are
-        known = float(sample[0][1]) if sample else 0.0
-        return pages.select("doc_id", "source", F.lit(known).alias("page_score"), F.lit(known).alias("score"))
-    trees = spark.sparkContext.broadcast(Trees(np.array([r[0] for r in sample]), np.array([r[1] for r in sample])))
+def _labelled(label: Column, i: Column) -> Column:
+    return F.element_at("labels", i) == label
+
+
+def fit(pages: DataFrame) -> Trees | None:
+    """Trees fitted on labelled blocks (one a page, SAMPLE of either label), then again with up to SAMPLE of the blocks they tell wrong or doubtfully."""
+    width = len(FEATURES)
+    sample = []
+    for label in (0, 1):
+        places = F.filter(F.sequence(F.lit(1), F.size("labels")), functools.partial(_labelled, F.lit(label)))
+        at = F.element_at(places, (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.size(places)) + 1).cast("int"))
+        rows = pages.where(F.array_contains("labels", label)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select(F.slice("x", (at - 1) * width + 1, width))
+        sample += [(r[0], label) for r in rows.collect()]
+    if len({label for _, label in sample}) < 2:
+        return None
+    learnt = Trees(np.array([r[0] for r in sample]), np.array([r[1] for r in sample]))
+    first = pages.sparkSession.sparkContext.broadcast(learnt)
+
+    def doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            labels = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            known = labels >= 0
+            labels, x = labels[known], x[known]
+            hard = np.abs(first.value.predict(x) - labels) > DOUBT
+            n = int(hard.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(labels[hard]), _lists(x[hard].ravel(), [width] * n)], names=["label", "x"])
+
+    rows = pages.select("labels", "x").mapInArrow(doubtful, "label int, x array<float>")
+    more = rows.orderBy(F.xxhash64("x", "label")).limit(SAMPLE).collect()
+    if more:
+        sample += [(r[1], r[0]) for r in more]
+        learnt = Trees(np.array([r[0] for r in sample]), np.array([r[1] for r in sample]))
+    return learnt
+
+
+def predicted(pages: DataFrame, trees: Trees) -> DataFrame:
+    """(doc_id, source, page_score): the share of a page's characters in blocks that are no text, by the trees."""
+    held = pages.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(trees.value.predict(x))], names=["doc_id", "source", "page_score"])
+            if not batch.num_rows:
+                continue
+            counts = np.diff(batch.column(2).offsets.to_numpy())
+            sizes = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(float)
+            p = held.value.predict(batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)))
+            first = np.concatenate([[0], np.cumsum(counts)[:-1]])
+            share = np.add.reduceat(p * sizes, first) / np.add.reduceat(sizes, first)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], names=["doc_id", "source", "page_score"])
+
+    kind = pages.schema["doc_id"].dataType.simpleString()
+    return pages.select("doc_id", "source", "sizes", "x").mapInArrow(run, f"doc_id {kind}, source string, page_score double")
+
 
-    predicted = pages.select("doc_id", "source", "x").mapInArrow(run, schema)
-    predicted = cut_lineage(predicted)
-    rates = cut_lineage(predicted.groupBy("source").agg(F.sum("page_score").alias("s"), F.count("*").alias("n")))
-    total = rates.agg(F.sum("s"), F.sum("n")).first()
+def smoothed(pages: DataFrame) -> DataFrame:
+    """pages: doc_id, source, page_score. Adds score: the log odds moved by what the source holds against the corpus."""
+    rates = cut_lineage(pages.groupBy("source").agg(F.sum("page_score").alias("s"), F.count("*").alias("n")))
+    total = rates.agg(F.sum("s"), F.sum("n"), F.count("*")).first()
     overall = min(max((total[0] or 0.0) / max(total[1] or 1, 1), 1e-4), 1 - 1e-4)
     rate = (F.col("s") + F.lit(SOURCE_PSEUDO * overall)) / (F.col("n") + F.lit(SOURCE_PSEUDO))
     odds = lambda p: F.log(p / (F.lit(1.0) - p))
     shift = rates.select(F.col("source").alias("at"), (F.lit(SOURCE_WEIGHT) * (odds(rate) - F.lit(math.log(overall / (1 - overall))))).alias("shift"))
-    if rates.count() <= BROADCAST_SOURCES:
+    if total[2] <= BROADCAST_SOURCES:
         shift = F.broadcast(shift)
-    near = F.least(F.greatest(F.col("page_score"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    return predicted.join(shift, F.col("source").eqNullSafe(F.col("at"))).select("doc_id", "source", "page_score", (F.lit(1.0) / (F.lit(1.0) + F.exp(-(odds(near) + F.col("shift"))))).alias("score"))
+    near = F.least(F.greatest(F.col("page_score"), F.lit(SHARE_EDGE)), F.lit(1 - SHARE_EDGE))
+    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(odds(near) + F.col("shift"))))
+    return pages.join(shift, F.col("source").eqNullSafe(F.col("at"))).select("doc_id", "source", "page_score", score.alias("score"))
+
+
+def scores(df: DataFrame) -> DataFrame:
+    """(doc_id, source, page_score, score) of every page that holds something: the trees' prediction and the smoothed one."""
+    pages = cut_lineage(page_blocks(df))
+    trees = fit(pages)
+    if trees is None:
+        return pages.select("doc_id", "source", F.lit(0.0).alias("page_score"), F.lit(0.0).alias("score"))
+    return smoothed(cut_lineage(predicted(pages, trees)))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

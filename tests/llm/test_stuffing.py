@@ -63,12 +63,61 @@ def test_pages(spark):
     assert not got & {1000 + k for k in range(len(OTHER))} and not got & {4000, 4001, 4002}
 
 
+UNSEEN = ["rebate", "voucher", "outlet", "stake", "jackpot", "casino", "loans", "visa"]
+
+
+def unseen(rng, kind, n):
+    """Pages in forms that no page of the corpus above has: other tags, domains, markup and scripts."""
+    w = lambda: rng.choice(UNSEEN)
+    if kind == 0:
+        return " ".join(f"tag:{w()}_{w()}" for _ in range(n))
+    if kind == 1:
+        return "\n".join(f'<a href="http://{w()}{rng.randrange(99)}.shop/{w()}">{w()} {w()}</a>' for _ in range(n // 3))
+    if kind == 2:
+        return "\n".join(f"* [{w()}](https://{w()}-{w()}.xyz/{rng.randrange(9999)})" for _ in range(n // 3))
+    if kind == 3:
+        return " / ".join(f"{w()}{rng.randrange(100)} {w()}" for _ in range(n))
+    if kind == 4:
+        return "｜".join(rng.choice(["優惠券", "娛樂城", "貸款", "折扣", "禮券"]) + rng.choice(["免費", "線上", "特價"]) for _ in range(n))
+    return " ".join(rng.choice(["ऋण", "छूट", "वीज़ा", "कैसीनो", "सस्ता"]) for _ in range(2 * n))
+
+
+def test_unseen_forms(spark):
+    rng = random.Random(3)
+    rows, _ = corpus()
+    learnt = P.fit(P.cut_lineage(P.page_blocks(spark.createDataFrame(rows, "doc_id long, source string, text string"))))
+    assert learnt.out_of_bag > 0.97
+    pages = [(k, "new", unseen(rng, k % 6, 120)) for k in range(120)] + [(1000 + k, "new", prose(rng, 9) + "\n" + (unseen(rng, k % 6, 6) if k % 2 else "")) for k in range(300)]
+    blocks = P.cut_lineage(P.page_blocks(spark.createDataFrame(pages, "doc_id long, source string, text string")))
+    found = {r[0] for r in P.predicted(blocks, learnt).where("page_score > 0.5").collect()}
+    right = {k for k in found if k < 1000}
+    assert len(right) >= 0.9 * 120 and len(right) >= 0.9 * len(found)
+    x = np.array([r[0][: len(P.FEATURES)] for r in blocks.orderBy("doc_id").select("x").collect()])
+    y = np.array(["text"] * 420) == "x"
+    y[:120] = True
+    assert not any((x[y, j].min() > x[~y, j].max()) or (x[y, j].max() < x[~y, j].min()) for j in range(x.shape[1]))  # no single feature parts them
+
+
+def test_source_rate_decides(spark):
+    rows = [(i, "spam", 0.95) for i in range(300)] + [(1000 + i, "good", 0.03) for i in range(5000)] + [(9000, "spam", 0.4), (9001, "good", 0.4), (9002, None, 0.4), (9003, "good", 0.55)]
+    got = {r.doc_id: r.score for r in P.smoothed(spark.createDataFrame(rows, "doc_id long, source string, page_score double")).collect()}
+    assert len(got) == len(rows) and got[9000] > 0.5 > got[9001] and got[9001] < 0.4 and abs(got[9002] - 0.4) < 0.01 and 0.5 < got[0]
+    assert got[9003] < 0.55
+
+
 def test_no_labels_of_one_kind(spark):
     df = spark.createDataFrame([(1, "a", PROSE[0]), (2, None, PROSE[1]), (3, "a", None)], "doc_id long, source string, text string")
     assert P.scores(df).where("score > 0.5").count() == 0
     assert P.scores(df.limit(0)).count() == 0
 
 
+def test_only_pages_without_text(spark):
+    """With weak labels of one kind there is nothing to learn from, and no page is found."""
+    rng = random.Random(1)
+    df = spark.createDataFrame([(i, "a", stuffed(rng, 90)) for i in range(6)], "doc_id long, source string, text string")
+    assert P.scores(df).where("score > 0.5").count() == 0 and P.scores(df).count() == 6
+
+
 def test_trees_learn():
     rng = np.random.default_rng(1)
     x = rng.random((600, 4))
@@ -78,4 +127,7 @@ def test_trees_learn():
 
 
 def test_very_long_text():
-    assert P.features("word " * 200000) is not None and P.features("x" * 500000) is not None
+    for text in ("word " * 200000, "x" * 500000, "a\n" * 100000):
+        blocks = P.blocks_of(text)
+        assert sum(len(b.replace("\n", "")) for b in blocks) == len(text.replace("\n", "")) and max(map(len, blocks)) < 2000
+        assert len(P.features(blocks[0])) == len(P.FEATURES)
