@@ -24,6 +24,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -60,17 +61,16 @@ _SIGNS = re.compile("[的須應以及而其不將為於是在所或但且由與
 #: Letters of scripts whose function words are not stated: no label says that such a block is no text.
 _UNKNOWN = re.compile("[\u0370-\u08ff\u0980-\u0dff\u0e80-\u1dff\uac00-\ud7a3]")
 _CLAUSE = re.compile(r"[.!?;:。！？；：।\n]+")
-_ADDRESS = re.compile(r"<a\b|href|\]\(|://|www\.|[^\W\d_](?:[\w-]*[\w])?\.[^\W\d_]{2,}")
 #: Letters and digits with the vowel signs and marks that Python holds for no word characters.
-_TOKEN = re.compile(r"(?:[^\W_]|[̀-ͯऀ-ॣั-๎])+")
-_ENTRY = re.compile(r"\s*(?:[•●▪◦*]|\(?(?:\d{1,3}|[ivxlc]{1,5}|[a-z])[.)]\s|[（(][一二三四五六七八九十]+[）)]|\d+(?:\.\d+)+\.?\s|\[\d+\])|.*(?:\.{3,}|…{2,}|\t|\s{3,})\s*\S*\d\S*(?:\s\w+){0,2}\s*$", re.I)
+_TOKEN = re.compile(r"[\w\u0300-\u036f\u0900-\u0963\u0e31-\u0e4e]+")
+_ENTRY = re.compile(r"\s*(?:[•●▪◦*](?!.*://)|\(?(?:\d{1,3}|[ivxlc]{1,5}|[a-z])[.)]\s|[（(][一二三四五六七八九十]+[）)]|\d+(?:\.\d+)+\.?\s|\[\d+\])|.*(?:\.{3,}|…{2,}|\t|\s{3,})\s*\S*\d\S*(?:\s\w+){0,2}\s*$", re.I)
 _WIDE = re.compile("[㐀-䶿一-鿿豈-﫿぀-ヿ]")
 
 FEATURES = (
     "compression", "entropy", "distinct", "distinct_pairs", "top_share", "word_length", "word_spread", "short_words", "long_words", "line_length", "line_spread", "same_starts", "same_ends",
-    "length_by_count", "common_length", "digits", "capitals", "marks", "stops", "blanks", "wide", "joined_words", "digit_words", "addresses",
+    "length_by_count", "common_length", "digits", "capitals", "marks", "stops", "blanks", "wide", "joined", "mixed", "addresses",
 )
-(OTHER, SMALL, CAPITAL, WIDE, DIGIT, STOP, BLANK, MARK) = range(8)
+OTHER, SMALL, CAPITAL, WIDE, DIGIT, STOP, BLANK, MARK = range(8)
 
 
 @functools.cache
@@ -121,68 +121,83 @@ def blocks_of(text: str) -> list[str]:
 
 def _words(block: str) -> list[str]:
     """Words in one case; of a run of ideographs, its pairs, since the script does not part words."""
+    words = _TOKEN.findall(block.lower())
+    if not _WIDE.search(block):
+        return words
     out = []
-    for t in _TOKEN.findall(block.casefold()):
+    for t in words:
         if len(t) > 2 and _WIDE.match(t):
-            out += [t[i : i + 2] for i in range(len(t) - 1)]
+            out += map(str.__add__, t, t[1:])
         else:
             out.append(t)
     return out
 
 
-def _spread(x: np.ndarray) -> float:
-    return float(x.std() / (x.mean() + 1e-9))
-
-
-def _tie(a: np.ndarray, b: np.ndarray) -> float:
-    """Correlation; 0 where one of them does not vary. (Words that prose uses often are short ones.)"""
-    u, v = a - a.mean(), b - b.mean()
-    return float((u @ v) / (math.sqrt((u @ u) * (v @ v)) + 1e-9))
-
-
-def features(block: str) -> list[float]:
-    """Content and link features of one block."""
-    code = np.frombuffer(block.encode("utf-32-le", "replace"), np.uint32)
-    share = np.bincount(_kinds()[code], minlength=8) / len(code)
-    raw = block.encode("utf-8", "replace")
-    words = _words(block)
-    n = max(len(words), 1)
-    held = Counter(words)
-    counts = np.array(list(held.values()) or [1], float)
-    size = np.array([len(w) for w in held] or [0], float)
-    p = counts / counts.sum()
-    common = np.argsort(-counts, kind="stable")[:5]
-    lengths = np.array([len(w) for w in words] or [0], float)
-    lines = [s for line in block.split("\n") if (s := line.strip())]
-    widths = np.array([len(s) for s in lines] or [0], float)
-    parts = block.split()
-    pairs = len(set(zip(words, words[1:], strict=False)))
-    return [
-        len(zlib.compress(raw, 1)) / len(raw) * (1 + 12 / len(raw)) ** -1,
-        float(-(p * np.log2(p)).sum()) / max(math.log2(n), 1.0),
-        len(counts) / n,
-        pairs / max(n - 1, 1),
-        float(p.max()),
-        float(lengths.mean()),
-        _spread(lengths),
-        float((lengths <= 3).mean()),
-        float((lengths >= 9).mean()),
-        math.log1p(float(widths.mean())),
-        _spread(widths),
-        1 - len({s[:6] for s in lines}) / max(len(lines), 1),
-        1 - len({s[-6:] for s in lines}) / max(len(lines), 1),
-        _tie(size, np.log(counts)),
-        float(size[common].mean() / (size.mean() + 1e-9)),
-        float(share[DIGIT]),
-        float(share[CAPITAL]),
-        float(share[MARK]),
-        float(share[STOP]),
-        float(share[BLANK]),
-        float(share[WIDE]),
-        sum("-" in w or "_" in w or "/" in w for w in parts) / max(len(parts), 1),
-        sum(any(map(str.isdigit, w)) and any(map(str.isalpha, w)) for w in parts) / max(len(parts), 1),
-        len(_ADDRESS.findall(block)) / n,
-    ]
+def _means(of: np.ndarray, values: np.ndarray, blocks: int) -> np.ndarray:
+    """The mean of the values of each block; 0 where it has none."""
+    return np.bincount(of, values, blocks) / np.maximum(np.bincount(of, minlength=blocks), 1)
+
+
+def _relative_spread(of: np.ndarray, values: np.ndarray, blocks: int) -> np.ndarray:
+    mean = _means(of, values, blocks)
+    return np.sqrt(np.maximum(_means(of, values * values, blocks) - mean * mean, 0)) / (mean + 1e-9)
+
+
+def features(blocks: list[str]) -> np.ndarray:
+    """Content and link features of each block; what is counted per character or word is counted for all blocks at once."""
+    k = len(blocks)
+    if not k:
+        return np.zeros((0, len(FEATURES)), np.float32)
+    sizes, lengths, counts, pairs, top, widths, same, packed = [], [], [], [], [], [], [], []
+    for block in blocks:
+        words = _words(block)
+        held = Counter(words)
+        lengths.append(list(map(len, held)))
+        counts.append(list(held.values()))
+        pairs.append(len(set(zip(words, words[1:], strict=False))))
+        common = [len(w) for w, _ in held.most_common(5)]
+        top.append(sum(common) / max(len(common), 1))
+        lines = [line for s in block.split("\n") if (line := s.strip())]
+        widths.append(list(map(len, lines)))
+        same.append((1 - len({s[:6] for s in lines}) / max(len(lines), 1), 1 - len({s[-6:] for s in lines}) / max(len(lines), 1)))
+        raw = block.encode("utf-8", "replace")
+        packed.append(len(zlib.compress(raw, 1)) / (len(raw) + 12))
+        sizes.append(len(block))
+    # characters; a block ends in a line break of its own
+    code = np.frombuffer(("\n".join(blocks) + "\n").encode("utf-32-le", "replace"), np.uint32)
+    kind = _kinds()[code]
+    at = np.repeat(np.arange(k), np.array(sizes) + 1)
+    size = np.array(sizes, float)
+    share = np.bincount(at * 8 + kind, minlength=8 * k).reshape(k, 8) / size[:, None]
+    letter, digit = (kind == SMALL) | (kind == CAPITAL) | (kind == WIDE), kind == DIGIT
+    part = letter | digit
+    of = lambda where, shift: np.bincount(at[: len(at) - shift][where], minlength=k)
+    joins = (code == 45) | (code == 95) | (code == 47)
+    joined = of(part[:-2] & joins[1:-1] & part[2:], 2)
+    mixed = of((letter[:-1] & digit[1:]) | (digit[:-1] & letter[1:]), 1)
+    address = of(part[:-3] & (code[1:-2] == 46) & (kind[2:-1] == SMALL) & (kind[3:] == SMALL), 3) + of((code[:-2] == 58) & (code[1:-1] == 47) & (code[2:] == 47), 2)
+    address = address + of(((code[:-1] == 60) & ((kind[1:] == SMALL) | (code[1:] == 47))) | ((code[:-1] == 93) & (code[1:] == 40)), 1)
+    # distinct words with their counts, and lines
+    flat = lambda v: np.array(list(chain.from_iterable(v)), float)
+    own = np.repeat(np.arange(k), list(map(len, counts)))
+    n, w = flat(counts), flat(lengths)
+    words = np.maximum(np.bincount(own, n, k), 1)
+    p = n / words[own]
+    mean = np.bincount(own, n * w, k) / words
+    spread = np.sqrt(np.maximum(np.bincount(own, n * w * w, k) / words - mean * mean, 0)) / (mean + 1e-9)
+    most = np.zeros(k)
+    np.maximum.at(most, own, p)
+    log = np.log(n)
+    u, v = w - _means(own, w, k)[own], log - _means(own, log, k)[own]
+    tie = np.bincount(own, u * v, k) / (np.sqrt(np.bincount(own, u * u, k) * np.bincount(own, v * v, k)) + 1e-9)
+    line, width = np.repeat(np.arange(k), list(map(len, widths))), flat(widths)
+    same = np.array(same)
+    columns = (
+        packed, -np.bincount(own, p * np.log2(p), k) / np.maximum(np.log2(words), 1), np.bincount(own, minlength=k) / words, np.array(pairs) / np.maximum(words - 1, 1), most,
+        mean, spread, np.bincount(own, n * (w <= 3), k) / words, np.bincount(own, n * (w >= 9), k) / words, np.log1p(_means(line, width, k)), _relative_spread(line, width, k), same[:, 0], same[:, 1],
+        tie, np.array(top) / (_means(own, w, k) + 1e-9), share[:, DIGIT], share[:, CAPITAL], share[:, MARK], share[:, STOP], share[:, BLANK], share[:, WIDE], joined / words, mixed / words, address / words,
+    )
+    return np.column_stack(columns).astype(np.float32)
 
 
 def weak_label(block: str) -> int:
@@ -193,9 +208,11 @@ def weak_label(block: str) -> int:
         if _ENTRY.match(line):
             entries += len(line)
             continue
+        ascii_only = line.isascii()
         for part in _CLAUSE.split(line):
-            words = part.casefold().split()
-            held = len(FUNCTION_WORDS.intersection(words)) + len(set(_SIGNS.findall(part)))
+            held = len(FUNCTION_WORDS.intersection(part.lower().split()))
+            if not ascii_only:
+                held += len(set(_SIGNS.findall(part)))
             if held >= 2 and len(part) <= 90 * held:
                 clauses += len(part)
     known = (clauses + entries) / max(total, 1)
@@ -271,8 +288,8 @@ def page_blocks(df: DataFrame) -> DataFrame:
     """(doc_id, source, sizes, labels, x) of every page that holds something: of each block its characters, weak label and features (one after another)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches):
-            kept, counts, sizes, labels, x = [], [], [], [], []
+        for batch in in_slices(batches, 250):
+            kept, counts, sizes, labels, held = [], [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 blocks = blocks_of(skeleton(text)) if text and text.strip() else []
                 if blocks:
@@ -280,9 +297,9 @@ def page_blocks(df: DataFrame) -> DataFrame:
                     counts.append(len(blocks))
                     sizes += map(len, blocks)
                     labels += map(weak_label, blocks)
-                    x += map(features, blocks)
+                    held += blocks
             take = pa.array(kept, pa.int32())
-            x = np.array(x, dtype=np.float32).ravel()
+            x = features(held).ravel()
             lists = [_lists(np.array(sizes, np.int32), counts), _lists(np.array(labels, np.int32), counts), _lists(x, [n * len(FEATURES) for n in counts])]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *lists], names=["doc_id", "source", "sizes", "labels", "x"])
 

@@ -83,19 +83,21 @@ def unseen(rng, kind, n):
 
 
 def test_unseen_forms(spark):
+    """Forms that nothing in the operator states are found, since the trees learn them from the corpus itself; no single feature parts the pages."""
     rng = random.Random(3)
-    rows, _ = corpus()
-    learnt = P.fit(P.cut_lineage(P.page_blocks(spark.createDataFrame(rows, "doc_id long, source string, text string"))))
+    rows = [(k, "new", unseen(rng, k % 6, 120)) for k in range(120)] + [(1000 + k, "new", prose(rng, 9) + "\n" + (unseen(rng, k % 6, 6) if k % 2 else "")) for k in range(600)]
+    rows += [(5000 + k, "old", text) for k, text in enumerate(OTHER)]
+    pages = P.cut_lineage(P.page_blocks(spark.createDataFrame(rows, "doc_id long, source string, text string")))
+    learnt = P.fit(pages)
     assert learnt.out_of_bag > 0.97
-    pages = [(k, "new", unseen(rng, k % 6, 120)) for k in range(120)] + [(1000 + k, "new", prose(rng, 9) + "\n" + (unseen(rng, k % 6, 6) if k % 2 else "")) for k in range(300)]
-    blocks = P.cut_lineage(P.page_blocks(spark.createDataFrame(pages, "doc_id long, source string, text string")))
-    found = {r[0] for r in P.predicted(blocks, learnt).where("page_score > 0.5").collect()}
+    found = {r[0] for r in P.predicted(pages, learnt).where("page_score > 0.5").collect()}
     right = {k for k in found if k < 1000}
-    assert len(right) >= 0.9 * 120 and len(right) >= 0.9 * len(found)
-    x = np.array([r[0][: len(P.FEATURES)] for r in blocks.orderBy("doc_id").select("x").collect()])
-    y = np.array(["text"] * 420) == "x"
-    y[:120] = True
-    assert not any((x[y, j].min() > x[~y, j].max()) or (x[y, j].max() < x[~y, j].min()) for j in range(x.shape[1]))  # no single feature parts them
+    assert len(right) >= 0.95 * 120 and len(right) >= 0.95 * len(found)
+    held = pages.orderBy("doc_id").select("doc_id", "x").collect()
+    x, y = np.array([r[1][: len(P.FEATURES)] for r in held]), np.array([r[0] < 1000 for r in held])
+    for j in range(x.shape[1]):
+        best = max(max(((x[:, j] > v) == y).mean(), ((x[:, j] <= v) == y).mean()) for v in np.unique(x[:, j]))
+        assert best < 1.0, P.FEATURES[j]
 
 
 def test_source_rate_decides(spark):
@@ -130,4 +132,4 @@ def test_very_long_text():
     for text in ("word " * 200000, "x" * 500000, "a\n" * 100000):
         blocks = P.blocks_of(text)
         assert sum(len(b.replace("\n", "")) for b in blocks) == len(text.replace("\n", "")) and max(map(len, blocks)) < 2000
-        assert len(P.features(blocks[0])) == len(P.FEATURES)
+        assert np.isfinite(P.features(blocks)).all() and P.features(blocks).shape == (len(blocks), len(P.FEATURES))
