@@ -93,12 +93,31 @@ def two_hops(edges: DataFrame, seeds: DataFrame, parent: str = "parent_concept_i
 def fingerprint(chunks: DataFrame) -> DataFrame:
     """(chunks, corpus_hash): sha256 over the digests of all chunks in document order.
 
-    A digest per chunk, then one per page, then one per document, then one over the documents:
-    only digests are gathered, a page's or a document's at a time.
+    A tree of digests: per chunk, per page, per block of 256 pages, per document, per block of documents (the first three
+    digits of their names' hashes), then over at most 4,096 blocks. Only digests are gathered, a node's children at a time.
     """
     one = F.sha2(F.concat_ws("\x00", "chunk_id", F.coalesce("retrieval_text", "text", F.lit(""))), 256)
-    joined = lambda key, value: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*key, value))), lambda s: s[value]), "\x1e"), 256)
-    rows = chunks.select("source_file", "page", "chunk_index", "chunk_id", one.alias("d"))
-    pages = rows.groupBy("source_file", "page").agg(joined(("chunk_index", "chunk_id"), "d").alias("d"), F.count("*").alias("n"))
-    docs = pages.groupBy("source_file").agg(joined(("page",), "d").alias("d"), F.sum("n").alias("n"))
-    return docs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"), joined(("source_file",), "d").alias("corpus_hash"))
+
+    def level(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+        joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "d"))), lambda s: s["d"]), "\x1e"), 256)
+        return rows.groupBy(*key).agg(joined.alias("d"), F.sum("n").alias("n"))
+
+    rows = chunks.select("source_file", "page", "chunk_index", "chunk_id", one.alias("d"), F.lit(1).cast("long").alias("n"))
+    pages = level(rows, ["source_file", "page"], ["chunk_index", "chunk_id"]).withColumn("b", F.floor(F.col("page") / 256))
+    docs = level(level(pages, ["source_file", "b"], ["page"]), ["source_file"], ["b"]).withColumn("b", F.left(F.sha2("source_file", 256), F.lit(3)))
+    return level(level(docs, ["b"], ["source_file"]), [], ["b"]).select(F.coalesce("n", F.lit(0)).alias("chunks"), F.col("d").alias("corpus_hash"))
+
+
+def latest_run(rows: DataFrame, run: str, written: str) -> DataFrame:
+    """(run_id): the run that was written last; equal times are ordered by id. None where no row has a run."""
+    last = rows.where(F.col(run).isNotNull()).groupBy(run).agg(F.max(written).alias("t"))
+    return last.orderBy(F.desc_nulls_last("t"), run).limit(1).select(run)
+
+
+def cleared(layers: dict[str, tuple[str, DataFrame]], layer: str) -> DataFrame:
+    """(label, stored, removed): what clearing a layer removes of each table: all of its own, nothing of another's.
+
+    A load over an existing layer first checks refuse_existing, then writes its tables anew (sources.store.clear).
+    """
+    counts = [df.select(F.lit(name).alias("label")).groupBy("label").count().withColumn("removed", F.col("count") if own == layer else F.lit(0).cast("long")) for name, (own, df) in layers.items()]
+    return reduce(DataFrame.unionByName, counts).withColumnRenamed("count", "stored")

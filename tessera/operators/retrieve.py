@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tessera.functions.text import CJK, casefold, normalize_question, squeeze
+from tessera.operators.matching import occurrences
 
 #: What words tell the intent of a question, in the order they are tried.
 INTENTS = {
     "control_requirements": ("control", "controls", "requirement", "requirements", "required", "must", "should", "控制", "措施", "要求", "規定", "必須", "應當", "須要"),
-    "comparison": ("compare", "comparison", "difference", "versus", "vs", "比較", "分別", "差異", "區別"),
+    "comparison": ("compare", "comparison", "difference", "versus", " vs ", "比較", "分別", "差異", "區別"),
     "definition": ("what is", "define", "definition", "meaning", "甚麼是", "什麼是", "定義", "意思"),
     "procedure": ("how to", "process", "procedure", "steps", "如何", "程序", "流程", "步驟"),
 }
 #: Words of a question that are no keywords.
-LATIN_STOPWORDS = "a an and are control controls for how is must of required requirement requirements should the to what which".split()
+LATIN_STOPWORDS = ("a", "an", "and", "are", "control", "controls", "for", "how", "is", "must", "of", "required", "requirement", "requirements", "should", "the", "to", "what", "which")
 CHINESE_STOP = ("有哪些", "如何", "甚麼", "什麼", "控制", "措施", "要求", "規定")
 #: What raises a chunk for a question about requirements.
 CONTROL_WORDS = ("control", "requirement", "required", "must", "should", "控制", "措施", "要求", "規定", "必須")
@@ -30,18 +31,21 @@ FUZZY_LEAST, FUZZY_GAP, SEMANTIC_LEAST, SEMANTIC_GAP, TERM_PENALTY = 0.88, 0.05,
 
 
 def intent(question: Column) -> Column:
-    """The first intent one of whose words occurs in the normalised question."""
+    """The first intent one of whose words occurs, as a part, in the normalised question.
+
+    The words are normalised as the question is, which takes the blanks from " vs ": a word that holds "vs" counts too.
+    """
     text = F.concat(F.lit(" "), normalize_question(question), F.lit(" "))
     out = None
     for name, words in INTENTS.items():
-        hit = reduce(lambda a, b: a | b, (text.contains(w) for w in words))
+        hit = reduce(lambda a, b: a | b, (text.contains(w.strip()) for w in words))
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("general_information")
 
 
 def keywords(question: Column) -> Column:
     """Words of a question without stop words, and the pairs of signs of long Chinese ones; each once, in order."""
-    words = F.filter(F.split(normalize_question(question), " "), lambda w: (w != "") & ~w.isin(LATIN_STOPWORDS))
+    words = F.filter(F.split(normalize_question(question), " "), lambda w: (w != "") & ~w.isin(*LATIN_STOPWORDS))
 
     def cut(word: Column) -> Column:
         for phrase in sorted(CHINESE_STOP, key=len, reverse=True):
@@ -58,16 +62,14 @@ def keywords(question: Column) -> Column:
 def exact_matches(questions: DataFrame, terms: DataFrame) -> DataFrame:
     """questions: question_id, question. terms: term_id, concept_id, text, match_type. Terms that occur in a question.
 
-    Terms are joined to questions on their first word or first two ideographs, so no pair without one is made.
+    The questions are scanned once for all terms; only what is found is joined with the rest of a term.
     """
-    gram = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
-    asked = questions.select("question_id", normalize_question(F.col("question")).alias("q"))
+    asked = questions.select(F.col("question_id").alias("id"), normalize_question(F.col("question")).alias("body")).withColumn("source", F.lit(None).cast("string"))
     named = terms.select("term_id", "concept_id", F.col("text").alias("term_text"), "match_type", normalize_question(F.col("text")).alias("t")).where("t <> ''")
-    pairs = asked.select("question_id", "q", F.explode(gram(F.col("q"))).alias("g")).join(named.withColumn("g", F.substring("t", 1, 2)), "g")
-    literal = F.concat(F.lit("(?<![a-z0-9_])\\Q"), "t", F.lit("\\E(?![a-z0-9_])"))
-    hit = F.col("q").contains(F.col("t")) & ((F.col("match_type") != "word") | (F.regexp_count("q", literal) > 0))
+    found = occurrences(asked, named.select("term_id", F.col("t").alias("body"), (F.col("match_type") == "word").alias("word")).distinct(), folded=True)
     confidence = F.when(F.col("match_type") == "word", 0.98).otherwise(1.0)
-    return pairs.where(hit).select("question_id", "concept_id", "term_id", "term_text", F.length("t").alias("length"), confidence.alias("confidence"), F.lit("exact_term").alias("method"))
+    held = found.select(F.col("id").alias("question_id"), "term_id").join(named, "term_id")
+    return held.select("question_id", "concept_id", "term_id", "term_text", F.length("t").alias("length"), confidence.alias("confidence"), F.lit("exact_term").alias("method"))
 
 
 def fuzzy_similarity(question: str, term: str) -> float:
@@ -236,13 +238,26 @@ def search_graph(query: str, concepts: DataFrame, terms: DataFrame, reach: DataF
     return with_citation(found)
 
 
+#: Folders of a stored text index.
+INDEX_FOLDERS = 64
+
+
+def index_folder(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(INDEX_FOLDERS)).cast("int")
+
+
 def postings(chunks: DataFrame) -> DataFrame:
-    """(word, chunk_id, n, length): an inverted index over words and pairs of ideographs."""
+    """(word, chunk_id, n, length): an inverted index over words and pairs of ideographs. A chunk's words are counted in its own task."""
     text = F.lower(F.coalesce("retrieval_text", "text", F.lit("")))
     words = F.regexp_extract_all(text, F.lit("([a-z0-9]+)"), 1)
     pairs = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(f"([{CJK}]{{2,}})"), 1), lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
-    held = chunks.select("chunk_id", F.concat(words, pairs).alias("words")).withColumn("length", F.size("words"))
-    return held.select("chunk_id", "length", F.explode("words").alias("word")).groupBy("word", "chunk_id", "length").agg(F.count("*").alias("n"))
+    held = chunks.select("chunk_id", F.array_sort(F.concat(words, pairs)).alias("words")).where(F.size("words") > 0).withColumn("length", F.size("words"))
+    # in a sorted array a word's count is the distance of the places where it begins and the next one does
+    starts = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: (i == 1) | (F.element_at("words", i) != F.element_at("words", F.greatest(i - 1, F.lit(1)))))
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("words") + 1))
+    counted = held.withColumn("starts", starts).withColumn("ends", ends)
+    counted = counted.select("chunk_id", "length", F.explode(F.transform("starts", lambda s, k: F.struct(F.element_at("words", s).alias("word"), (F.get("ends", k) - s).cast("long").alias("n")))).alias("p"))
+    return counted.select("p.word", "chunk_id", "length", "p.n")
 
 
 def full_text(index: DataFrame, words: list[str], total: Column | int, mean: float, limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:

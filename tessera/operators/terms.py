@@ -7,31 +7,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from tessera.functions.text import CJK, SPACE, count_occurrences, detect_language, folded, match_type, normalize_term
+from tessera.functions.text import CJK, SPACE, detect_language, match_type, normalize_term
+from tessera.operators.matching import occurrences
 from tessera.plans.runtime import cut_lineage
 
 #: Words that end a run of candidate words.
 ENGLISH_STOPWORDS = (
-    "a about above after again against all also an and any are as at be because been before being below between both but by can could do does doing during each for from "
-    "further had has have having he her here hers him his how if in into is it its may more most must no nor not of on once only or other our out over same shall should so "
-    "some such than that the their them then there these they this those through to under until up very was we were what when where which while who will with would you your"
-).split()
+    "a", "about", "above", "after", "again", "against", "all", "also", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before", "being", "below", "between",
+    "both", "but", "by", "can", "could", "do", "does", "doing", "during", "each", "for", "from", "further", "had", "has", "have", "having", "he", "her", "here", "hers", "him",
+    "his", "how", "if", "in", "into", "is", "it", "its", "may", "more", "most", "must", "no", "nor", "not", "of", "on", "once", "only", "or", "other", "our", "out", "over", "same",
+    "shall", "should", "so", "some", "such", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "through", "to", "under", "until", "up",
+    "very", "was", "we", "were", "what", "when", "where", "which", "while", "who", "will", "with", "would", "you", "your",
+)
 CHINESE_STOPWORDS = (
-    "之 了 其 及 於 與 和 一個 一些 一般 不得 以及 任何 但 例如 依據 倘若 其他 其中 則 包括 可以 可能 各 同時 因此 如 如果 就 應 應當 應該 或 所有 所述 按照 根據 此外 然而 為 由 的 等 而 該 該等 這些 這個 進行 須"
-).split()
+    "之", "了", "其", "及", "於", "與", "和", "一個", "一些", "一般", "不得", "以及", "任何", "但", "例如", "依據", "倘若", "其他", "其中", "則", "包括", "可以", "可能", "各", "同時", "因此", "如", "如果", "就", "應", "應當",
+    "應該", "或", "所有", "所述", "按照", "根據", "此外", "然而", "為", "由", "的", "等", "而", "該", "該等", "這些", "這個", "進行", "須",
+)
 #: Terms that name nothing.
 GENERIC_TERMS = (
-    "applicable requirements|authorized institution|general requirements|introduction|overview|purpose|relevant requirements|the authority|the institution|"
-    "引言|目的|概覽|範圍|上述規定|下列各項|以下各項|有關規定|本章|本節|本部分|本段|本指引|該機構|該認可機構"
-).split("|")
+    "applicable requirements", "authorized institution", "general requirements", "introduction", "overview", "purpose", "relevant requirements", "the authority", "the institution",
+    "引言", "目的", "概覽", "範圍", "上述規定", "下列各項", "以下各項", "有關規定", "本章", "本節", "本部分", "本段", "本指引", "該機構", "該認可機構",
+)
 #: Where English segments end, what an English word is, what numbers a heading.
 SEGMENT_ENDS = "[\\n。！？!?；;：:]"
 ENGLISH_WORD = "[A-Za-z][A-Za-z0-9]*(?:[-'][A-Za-z0-9]+)*"
 HEADING_NUMBER = f"(?i)^(?:第[{SPACE}]*[一二三四五六七八九十百0-9]+[{SPACE}]*章[{SPACE}]*[-—–:：]*[{SPACE}]*|chapter[{SPACE}]+[0-9]+[{SPACE}]*[-—–:：]*[{SPACE}]*|[0-9]+(?:\\.[0-9]+){{0,6}}\\.?[{SPACE}]*)"
 ENGLISH_SIZES, CHINESE_SIZES = 4, 3
 SIMILAR, TERMS, MENTION_SHARE = 0.88, 12, 0.45
-#: Beginnings of terms up to this many (three signs each) are broadcast; beyond it the join shuffles.
-BROADCAST_STARTS = 500_000
 
 
 def valid_candidate(term: Column) -> Column:
@@ -39,9 +41,9 @@ def valid_candidate(term: Column) -> Column:
     language = detect_language(term)
     words = F.split(term, " ")
     one_short = (F.size(words) == 1) & (F.length(term) < 3)
-    only_stop = F.forall(words, lambda w: w.isin(ENGLISH_STOPWORDS))
-    bad = (F.length(F.replace(term, F.lit(" "), F.lit(""))) < 2) | (F.length(term) > 80) | term.rlike("^[0-9.\\-]+$") | term.isin(GENERIC_TERMS)
-    return (term != "") & ~bad & ~((language == "en") & (one_short | only_stop)) & ~((language == "zh") & term.isin(CHINESE_STOPWORDS))
+    only_stop = F.forall(words, lambda w: w.isin(*ENGLISH_STOPWORDS))
+    bad = (F.length(F.replace(term, F.lit(" "), F.lit(""))) < 2) | (F.length(term) > 80) | term.rlike("^[0-9.\\-]+$") | term.isin(*GENERIC_TERMS)
+    return (term != "") & ~bad & ~((language == "en") & (one_short | only_stop)) & ~((language == "zh") & term.isin(*CHINESE_STOPWORDS))
 
 
 def display_form(original: Column, normalized: Column) -> Column:
@@ -84,14 +86,14 @@ def candidates(texts: DataFrame, key: list[str], text: str, segmenter=None) -> D
     """
     value = F.coalesce(F.col(text), F.lit(""))
     segments = F.transform(F.split(value, SEGMENT_ENDS), lambda s: F.regexp_extract_all(s, F.lit(f"({ENGLISH_WORD})"), 1))
-    english = _runs(texts, key, segments, lambda w: F.lower(w).isin(ENGLISH_STOPWORDS), ENGLISH_SIZES, " ")
+    english = _runs(texts, key, segments, lambda w: F.lower(w).isin(*ENGLISH_STOPWORDS), ENGLISH_SIZES, " ")
     runs = F.regexp_extract_all(value, F.lit(f"([{CJK}]{{2,}})"), 1)
     if segmenter is None:  # pairs, in the JVM
         words = F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r), F.lit(2)), lambda i: F.substring(r, i, F.lit(2))))
     else:
         cut = F.pandas_udf(lambda s: s.map(lambda rs: [list(w) for w in segmenter(pd.Series(list(rs)))]), ArrayType(ArrayType(StringType())))
         words = cut(runs)
-    chinese = _runs(texts, key, words, lambda w: w.isin(CHINESE_STOPWORDS), CHINESE_SIZES, "")
+    chinese = _runs(texts, key, words, lambda w: w.isin(*CHINESE_STOPWORDS), CHINESE_SIZES, "")
     # equal spellings are counted before they are normalised
     counted = english.unionByName(chinese).groupBy(*key, "original").agg(F.count("*").alias("n"))
     # words and ideographs only, so normalising is lower case
@@ -200,29 +202,13 @@ def term_rows(selected: DataFrame, group: str) -> DataFrame:
 def mentions(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     """chunks: chunk_id, text, retrieval_text. terms: term_id, text, match_type. MENTIONS_TERM edges.
 
-    Every text is cut once into the grams that a term can begin with (the first three signs of a term, anywhere in the
-    text); terms are joined on theirs and verified by counting. So no pair without a shared gram is made.
+    One scan of the texts for all terms; the joined part is what was found only.
     """
-    folded_chunks = cut_lineage(chunks.select("chunk_id", folded(F.coalesce("retrieval_text", "text")).alias("r"), folded(F.coalesce("text", F.lit(""))).alias("s")).where("r IS NOT NULL"))
-    named = terms.where("text <> ''").select("term_id", F.col("text").alias("matched_text"), "match_type", folded(F.col("text")).alias("t"))
-    size = 3
-    keyed = named.withColumn("g", F.substring("t", 1, size))
-    starts = cut_lineage(keyed.where(F.length("t") >= size).select("g").distinct())
-    if starts.count() <= BROADCAST_STARTS:
-        starts = F.broadcast(starts)
-    n = F.length("r") - (size - 1)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col("r"), i, F.lit(size))))
-    spread = folded_chunks.where(n >= 1).select("chunk_id", F.explode(grams).alias("g")).join(starts, "g", "left_semi")
-    pairs = spread.join(keyed.where(F.length("t") >= size), "g").select("chunk_id", "term_id", "matched_text", "match_type", "t")
-    short = named.where(F.length("t") < size)  # one or two signs: found by containment, few in number
-    if not short.isEmpty():
-        near = folded_chunks.join(short, F.col("r").contains(F.col("t"))).select("chunk_id", "term_id", "matched_text", "match_type", "t")
-        pairs = pairs.unionByName(near)
-    found = pairs.join(folded_chunks, "chunk_id").where(F.col("r").contains(F.col("t")))
-    found = found.withColumn("count", count_occurrences(F.col("r"), F.col("t"), F.col("match_type"))).where("count > 0")
-    found = found.withColumn("source_count", count_occurrences(F.col("s"), F.col("t"), F.col("match_type")))
+    bodies = chunks.select(F.col("chunk_id").alias("id"), F.coalesce("retrieval_text", "text").alias("body"), F.coalesce("text", F.lit("")).alias("source"))
+    named = terms.where("text <> ''").select("term_id", F.col("text").alias("body"), (F.col("match_type") == "word").alias("word"))
+    found = occurrences(bodies, named)
     scope = F.when(F.col("source_count") > 0, "source_text").otherwise("section_context")
-    return found.select("chunk_id", "term_id", "matched_text", "match_type", "count", "source_count", scope.alias("match_scope"))
+    return found.join(terms.select("term_id", F.col("text").alias("matched_text"), "match_type"), "term_id").select(F.col("id").alias("chunk_id"), "term_id", "matched_text", "match_type", "count", "source_count", scope.alias("match_scope"))
 
 
 def concept_mentions(mentions: DataFrame, terms: DataFrame, least: float = MENTION_SHARE) -> DataFrame:

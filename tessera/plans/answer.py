@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import normalize_question
 from tessera.functions.vector import similarities
+from tessera.operators import facts
 from tessera.operators import retrieve as R
-from tessera.plans.graph_queries import about
+from tessera.plans.graph_queries import _facts, evidence_edges
 from tessera.plans.runtime import cut_lineage
 from tessera.sources import tables
 
 
-def answer(spark: SparkSession, sf_dir: str, question: str, chunk_limit: int = 8, encode=None) -> DataFrame:
+def answer(spark: SparkSession, sf_dir: str, question: str, chunk_limit: int = 8, fact_limit: int = 8, encode=None) -> DataFrame:
     """One row (question, intent, answer): a JSON with how the question was resolved and the cited chunks.
 
     encode: question -> vector in the space of resolver_embedding; without it the vector step is passed over.
@@ -26,7 +27,7 @@ def answer(spark: SparkSession, sf_dir: str, question: str, chunk_limit: int = 8
     intent, normalized, words = first[0], first[1], list(first[2])
     own = tables.terms(spark, sf_dir)
     named = own.select("term_id", "concept_id", "text", "match_type")
-    status, method, found, shown = "resolved", "exact_term", R.grouped(R.exact_matches(asked, named)).collect(), []
+    status, method, found, shown = "resolved", "exact_term", R.grouped(R.exact_matches(asked, named)).orderBy("concept_id").collect(), []
     if not found:
         near = R.fuzzy_decision(R.grouped(R.fuzzy_matches(asked, named))).collect()
         method, found, status = "fuzzy_term", near, near[0]["status"] if near else "unresolved"
@@ -41,7 +42,7 @@ def answer(spark: SparkSession, sf_dir: str, question: str, chunk_limit: int = 8
     concepts = [{"concept_id": r["concept_id"], "confidence": r["confidence"], "terms": list(r["matched_terms"]) if "matched_terms" in r else [r["matched_text"]]} for r in found]
     terms = [t for c in concepts for t in c["terms"]]
     chunks = tables.chunks(spark, sf_dir, "text", "retrieval_text", "source_file", "page", "section_id", "is_table_of_contents")
-    edges = about(spark, sf_dir).select("chunk_id", "concept_id", "confidence")
+    edges = evidence_edges(spark, sf_dir)
     over = max(25 * chunk_limit, 100)
     votes = []
     if status == "resolved" and concepts:
@@ -49,9 +50,13 @@ def answer(spark: SparkSession, sf_dir: str, question: str, chunk_limit: int = 8
     else:
         candidates, way = cut_lineage(R.lexical_chunks(chunks, words, over)), "lexical_chunk_fallback"
         votes = [r.asDict() for r in R.concept_votes(candidates, edges).collect()]
+    known = []
+    if way == "concept_graph":
+        _, nodes, supports, texts = _facts(spark, sf_dir)
+        known = [r.asDict(recursive=True) for r in facts.approved(nodes, supports, texts, [c["concept_id"] for c in concepts], fact_limit).collect()]
     best = R.ranked(candidates, terms or words, intent, chunk_limit).select("chunk_id", "relevance", "citation").collect()
     result = {
         "normalized_question": normalized, "status": status, "method": method, "concepts": concepts, "candidates": [{"concept_id": r["concept_id"], "confidence": r["confidence"]} for r in shown] or votes,
-        "retrieval_method": way, "keywords": words, "chunks": [r.asDict() for r in best],
+        "retrieval_method": way, "keywords": words, "chunks": [r.asDict() for r in best], "facts": known,
     }
     return spark.createDataFrame([(question, intent, json.dumps(result, ensure_ascii=False, sort_keys=True))], "question string, intent string, answer string")

@@ -6,29 +6,50 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vector import similarities
-from tessera.operators import assign, facts, graph
+from tessera.operators import assign, facts, graph, terms
 from tessera.plans import sql
 from tessera.plans.runtime import cut_lineage, read_table
 from tessera.sources import tables
+from tessera.sources.store import stored
 
 QUERY_WORD = "limit"
 
 
 def about(spark: SparkSession, d: str) -> DataFrame:
     """(chunk_id, concept_id, semantic_similarity, confidence): each chunk with a usable vector and its most similar leaf concept."""
-    leaves = tables.concepts(spark, d).where("level = 2").select("concept_id", F.col("embedding").alias("vector"))
-    chunks = tables.chunks(spark, d, "embedding").where("embedding IS NOT NULL")
-    return assign.primary(chunks, "chunk_id", "embedding", leaves, "concept_id", "vector")
+
+    def make() -> DataFrame:
+        leaves = tables.concepts(spark, d).where("level = 2").select("concept_id", F.col("embedding").alias("vector"))
+        chunks = tables.chunks(spark, d, "embedding").where("embedding IS NOT NULL")
+        return assign.primary(chunks, "chunk_id", "embedding", leaves, "concept_id", "vector")
+
+    return stored(spark, d, "about", make)
 
 
 def concept_edges(spark: SparkSession, d: str) -> DataFrame:
     """(chunk_id, concept_id, confidence): the most similar leaf concept of each chunk, and the second where it is near (0.5 or more)."""
-    own = about(spark, d).select("chunk_id", "concept_id", "confidence")
-    leaves = tables.concepts(spark, d).where("level = 2 AND embedding IS NOT NULL").select("concept_id", F.col("embedding").alias("vector"))
-    chunks = tables.chunks(spark, d, "embedding").where("embedding IS NOT NULL")
-    two = similarities(chunks, "chunk_id", "embedding", leaves, "concept_id", "vector", top=2).where(F.round("similarity", 6) >= 0.5)
-    second = two.join(own.select("chunk_id", "concept_id"), ["chunk_id", "concept_id"], "left_anti")
-    return own.unionByName(second.select("chunk_id", "concept_id", F.round(F.col("similarity") * 0.8, 6).alias("confidence")))
+
+    def make() -> DataFrame:
+        own = about(spark, d).select("chunk_id", "concept_id", "confidence")
+        leaves = tables.concepts(spark, d).where("level = 2 AND embedding IS NOT NULL").select("concept_id", F.col("embedding").alias("vector"))
+        chunks = tables.chunks(spark, d, "embedding").where("embedding IS NOT NULL")
+        two = similarities(chunks, "chunk_id", "embedding", leaves, "concept_id", "vector", top=2).where(F.round("similarity", 6) >= 0.5)
+        second = two.join(own.select("chunk_id", "concept_id"), ["chunk_id", "concept_id"], "left_anti")
+        return own.unionByName(second.select("chunk_id", "concept_id", F.round(F.col("similarity") * 0.8, 6).alias("confidence")))
+
+    return stored(spark, d, "concept_edges", make)
+
+
+def evidence_edges(spark: SparkSession, d: str) -> DataFrame:
+    """(chunk_id, concept_id, confidence) of either edge type: by vector or by mentions, the surer one where there are both."""
+
+    def make() -> DataFrame:
+        own = tables.terms(spark, d)
+        found = terms.mentions(tables.chunks(spark, d, "text", "retrieval_text"), own.select("term_id", "text", "match_type"))
+        mentioned = terms.concept_mentions(found, own).select("chunk_id", "concept_id", F.round("confidence", 6).alias("confidence"))
+        return concept_edges(spark, d).unionByName(mentioned).groupBy("chunk_id", "concept_id").agg(F.max("confidence").alias("confidence"))
+
+    return stored(spark, d, "evidence_edges", make)
 
 
 def document_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -65,12 +86,12 @@ def upserted_documents(spark: SparkSession, d: str) -> DataFrame:
 
 def graph_verification(spark: SparkSession, d: str) -> DataFrame:
     chunks = cut_lineage(tables.chunks(spark, d, "source_file", "page_id", "page", "chunk_index", "is_table_of_contents", "section_id"))
-    documents, terms, concepts = tables.documents(spark, d), tables.terms(spark, d), tables.concepts(spark, d)
+    documents, named, concepts = tables.documents(spark, d), tables.terms(spark, d), tables.concepts(spark, d)
     count = F.count("*")
     return graph.metrics(
         documents=(documents, count), chunks=(chunks, count), pages=(chunks, F.countDistinct("page_id")), contents_chunks=(chunks, F.count_if("is_table_of_contents")), section_chunks=(chunks, F.count("section_id")),
-        next_edges=(graph.next_edges(chunks), count), concepts=(concepts, count), leaf_concepts=(concepts, F.count_if(F.col("level") == 2)), terms=(terms, count),
-        normalized_to=(terms.join(concepts, "concept_id", "left_semi"), count), taxonomy_edges=(tables.taxonomy(spark, d), count),
+        next_edges=(graph.next_edges(chunks), count), concepts=(concepts, count), leaf_concepts=(concepts, F.count_if(F.col("level") == 2)), terms=(named, count),
+        normalized_to=(named.join(concepts, "concept_id", "left_semi"), count), taxonomy_edges=(tables.taxonomy(spark, d), count),
     )
 
 
@@ -92,13 +113,37 @@ def registered_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def latest_concepts(spark: SparkSession, d: str) -> DataFrame:
-    """Leaf concepts with their 12 best terms in order."""
+    """Leaf concepts of the latest run of terms, with their 12 best terms of that run in order."""
+    own = tables.terms(spark, d).where("text IS NOT NULL")
+    last = graph.latest_run(own, "run_id", "updated_at")
     order = Window.partitionBy("concept_id").orderBy(F.desc("ctfidf_score"), "term_id")
-    top = tables.terms(spark, d).where("text IS NOT NULL").withColumn("n", F.row_number().over(order)).where("n <= 12")
+    top = own.join(F.broadcast(last), "run_id", "left_semi").withColumn("n", F.row_number().over(order)).where("n <= 12")
     listed = top.groupBy("concept_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda s: s["text"]), "|").alias("term_fields"))
     return tables.concepts(spark, d).where("level = 2").join(listed, "concept_id", "left").select("concept_id", "name", "description", "term_fields").orderBy("concept_id")
 
 
+def latest_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The run that was written last among the terms, and among the concepts' edges none has a time, so of the terms only."""
+    return graph.latest_run(tables.terms(spark, d), "run_id", "updated_at")
+
+
+def cleared_provenance(spark: SparkSession, d: str) -> DataFrame:
+    """What a load that replaces the provenance layer removes and what it leaves: every table by its layer."""
+    return graph.cleared(_layers(spark, d), "provenance")
+
+
+def cleared_semantics(spark: SparkSession, d: str) -> DataFrame:
+    return graph.cleared(_layers(spark, d), "semantic")
+
+
+def _layers(spark: SparkSession, d: str) -> dict[str, tuple[str, DataFrame]]:
+    chunks = tables.chunks(spark, d, "source_file", "page_id")
+    return {
+        "Document": ("provenance", tables.documents(spark, d)), "Page": ("provenance", chunks.select("page_id").distinct()), "Chunk": ("provenance", chunks),
+        "Concept": ("semantic", tables.concepts(spark, d)), "Term": ("semantic", tables.terms(spark, d)), "HAS_SUBCONCEPT": ("semantic", tables.taxonomy(spark, d)), "ABOUT_CONCEPT": ("semantic", about(spark, d)),
+    }
+
+
 def leaf_concepts(spark: SparkSession, d: str) -> DataFrame:
     return tables.concepts(spark, d).where("level = 2").select("concept_id", "name", "category").orderBy("concept_id")
 
@@ -177,12 +222,17 @@ def corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        about, document_nodes, page_nodes, containment_edges, bound_document_edges, next_edges, upserted_documents, graph_verification, semantic_counts, induction_chunks, registered_terms, latest_concepts, leaf_concepts, two_hops,
+        about, document_nodes, page_nodes, containment_edges, bound_document_edges, next_edges, upserted_documents, graph_verification, semantic_counts, cleared_provenance, cleared_semantics, induction_chunks, registered_terms, latest_concepts, latest_runs, evidence_edges, leaf_concepts, two_hops,
         named_concepts, cooccurrence_facts, reviewed_facts, pending_review, stored_again, unsupported_chunks, approved_facts, fact_search, corpus_fingerprint,
     )
 }
 _NEXT = "nx AS (SELECT chunk_id, lead(chunk_id) OVER (PARTITION BY source_file ORDER BY page, chunk_index, chunk_id) AS next_id FROM c QUALIFY next_id IS NOT NULL)"
-_EDGES = sql.ABOUT + ", ce AS (SELECT chunk_id, concept_id, confidence FROM about UNION ALL SELECT chunk_id, concept_id, round(raw * 0.8, 6) FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY s DESC, concept_id) AS n FROM sims) WHERE n = 2 AND s >= 0.5)"
+_EDGES_ONLY = sql.ABOUT.partition(", sims AS")[1][2:] + sql.ABOUT.partition(", sims AS")[2] + ", ce AS (SELECT chunk_id, concept_id, confidence FROM about UNION ALL SELECT chunk_id, concept_id, round(raw * 0.8, 6) FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY s DESC, concept_id) AS n FROM sims) WHERE n = 2 AND s >= 0.5)"
+_EDGES = sql.CHUNKS + ", " + _EDGES_ONLY
+_LAYERS = """ly AS (SELECT 'Document' AS label, 'provenance' AS layer, count(DISTINCT document_id) AS n FROM source_documents UNION ALL SELECT 'Page', 'provenance', count(DISTINCT page_id) + count(DISTINCT CASE WHEN page_id IS NULL THEN 1 END) FROM c
+    UNION ALL SELECT 'Chunk', 'provenance', count(*) FROM c UNION ALL SELECT 'Concept', 'semantic', count(DISTINCT concept_id) FROM concepts UNION ALL SELECT 'Term', 'semantic', count(DISTINCT term_id) FROM terms
+    UNION ALL SELECT 'HAS_SUBCONCEPT', 'semantic', count(*) FROM (SELECT DISTINCT parent_concept_id, child_concept_id FROM taxonomy_edges)
+    UNION ALL SELECT 'ABOUT_CONCEPT', 'semantic', count(*) FROM c WHERE len(embedding) = 64 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0)"""
 _FACTS = (
     _EDGES
     + """, q AS (SELECT chunk_id, source_file, page, substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 500) AS quote FROM c WHERE regexp_matches(coalesce(text, ''), '\\S')),
@@ -207,7 +257,11 @@ ORACLE = {
     "semantic_counts": "SELECT 'Concept' AS label, count(DISTINCT concept_id) AS n FROM concepts UNION ALL SELECT 'Term', count(DISTINCT term_id) FROM terms",
     "induction_chunks": f"WITH {sql.CHUNKS} SELECT chunk_id, sha256(coalesce(retrieval_text, text)) AS body_hash, source_file, page, chunk_index FROM c WHERE text IS NOT NULL AND NOT coalesce(is_table_of_contents, false)",
     "registered_terms": f"WITH {sql.TERMS} SELECT term_id, text AS term_text, match_type, concept_id, k.name AS concept_name FROM t JOIN (SELECT DISTINCT concept_id, name FROM concepts) k USING (concept_id)",
-    "latest_concepts": f"""WITH {sql.TERMS}, top AS (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY ctfidf_score DESC, term_id) AS n FROM t WHERE text IS NOT NULL)
+    "latest_runs": f"WITH {sql.TERMS} SELECT run_id FROM t WHERE run_id IS NOT NULL GROUP BY run_id ORDER BY max(updated_at) DESC NULLS LAST, run_id LIMIT 1",
+    "evidence_edges": f"WITH {sql.MENTIONED}, {_EDGES_ONLY} SELECT chunk_id, concept_id, max(confidence) AS confidence FROM (SELECT * FROM ce UNION ALL SELECT * FROM cm) GROUP BY ALL",
+    "cleared_provenance": f"WITH {sql.CHUNKS}, {_LAYERS} SELECT label, n AS stored, CASE WHEN layer = 'provenance' THEN n ELSE 0 END AS removed FROM ly",
+    "cleared_semantics": f"WITH {sql.CHUNKS}, {_LAYERS} SELECT label, n AS stored, CASE WHEN layer = 'semantic' THEN n ELSE 0 END AS removed FROM ly",
+    "latest_concepts": f"""WITH {sql.TERMS}, lr AS (SELECT run_id FROM t WHERE text IS NOT NULL AND run_id IS NOT NULL GROUP BY run_id ORDER BY max(updated_at) DESC NULLS LAST, run_id LIMIT 1), top AS (SELECT *, row_number() OVER (PARTITION BY concept_id ORDER BY ctfidf_score DESC, term_id) AS n FROM t WHERE text IS NOT NULL AND run_id IN (SELECT run_id FROM lr))
         SELECT k.concept_id, name, description, term_fields FROM (SELECT DISTINCT concept_id, name, description FROM concepts WHERE level = 2) k LEFT JOIN (SELECT concept_id, string_agg(text, '|' ORDER BY n) AS term_fields FROM top WHERE n <= 12 GROUP BY concept_id) USING (concept_id)""",
     "leaf_concepts": "SELECT DISTINCT concept_id, name, category FROM concepts WHERE level = 2",
     "two_hops": """WITH RECURSIVE e AS (SELECT DISTINCT parent_concept_id AS a, child_concept_id AS b FROM taxonomy_edges), r AS (SELECT DISTINCT concept_id AS seed, concept_id AS node, 0 AS depth FROM concepts UNION ALL SELECT seed, b, depth + 1 FROM r JOIN e ON node = a WHERE depth < 2)
@@ -225,5 +279,6 @@ ORACLE = {
         WHERE status = 'approved' AND (contains(lower(a.name), '{QUERY_WORD}') OR contains(lower(b.name), '{QUERY_WORD}') OR contains(lower(predicate), '{QUERY_WORD}')) ORDER BY fact_id, chunk_id, quote LIMIT 8""",
     "corpus_fingerprint": f"""WITH {sql.CHUNKS}, one AS (SELECT source_file, page, chunk_index, chunk_id, sha256(chunk_id || chr(0) || coalesce(retrieval_text, text, '')) AS h FROM c),
         pg AS (SELECT source_file, page, sha256(string_agg(h, chr(30) ORDER BY chunk_index, chunk_id)) AS h, count(*) AS n FROM one GROUP BY source_file, page),
-        dc AS (SELECT source_file, sha256(string_agg(h, chr(30) ORDER BY page)) AS h, sum(n) AS n FROM pg GROUP BY source_file) SELECT sum(n)::BIGINT AS chunks, sha256(string_agg(h, chr(30) ORDER BY source_file)) AS corpus_hash FROM dc""",
+        pb AS (SELECT source_file, page // 256 AS b, sha256(string_agg(h, chr(30) ORDER BY page)) AS h, sum(n) AS n FROM pg GROUP BY ALL), dc AS (SELECT source_file, sha256(string_agg(h, chr(30) ORDER BY b)) AS h, sum(n) AS n FROM pb GROUP BY source_file),
+        db AS (SELECT left(sha256(source_file), 3) AS b, sha256(string_agg(h, chr(30) ORDER BY source_file)) AS h, sum(n) AS n FROM dc GROUP BY ALL) SELECT sum(n)::BIGINT AS chunks, sha256(string_agg(h, chr(30) ORDER BY b)) AS corpus_hash FROM db""",
 }

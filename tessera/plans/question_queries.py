@@ -10,9 +10,10 @@ from tessera.functions.vector import similarities
 from tessera.operators import graph
 from tessera.operators import retrieve as R
 from tessera.plans import sql
-from tessera.plans.graph_queries import QUERY_WORD, about
+from tessera.plans.graph_queries import _EDGES_ONLY, QUERY_WORD, evidence_edges
 from tessera.plans.runtime import cut_lineage, read_table
 from tessera.sources import tables
+from tessera.sources.store import stored
 
 QUESTION = "What are the requirements for monitoring the liquidity coverage data?"
 WORDS = ("monitoring", "liquidity", "coverage", "data")  # the keywords of the question
@@ -20,8 +21,8 @@ CHUNK_LIMIT = 8
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
-    """A question for every term of the first run (exact), and the same with a letter doubled (nearly exact)."""
-    own = tables.terms(spark, d).where("length(text) >= 8").select("term_id", "text")
+    """A question for every term."""
+    own = tables.terms(spark, d).where("text IS NOT NULL").select("term_id", "text")
     return own.select(F.concat(F.lit("exact_"), "term_id").alias("question_id"), F.concat(F.lit("What is the control of "), "text", F.lit("?")).alias("question"))
 
 
@@ -43,10 +44,9 @@ def exact_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuzzy_terms(spark: SparkSession, d: str) -> DataFrame:
-    """A question for each concept with a spelling mistake in its best long term (a letter doubled), resolved by the ratio of matching blocks."""
+    """A question for every term with a spelling mistake in it (its fifth sign doubled), resolved by the ratio of matching blocks."""
     own = tables.terms(spark, d)
-    best = own.where("length(text) >= 12").groupBy("concept_id").agg(F.max_by("text", F.struct("ctfidf_score", "term_id")).alias("text"))
-    asked = best.select(F.col("concept_id").alias("question_id"), F.concat(F.lit("Where is "), F.substring("text", 1, 5), F.substring("text", 5, 1000)).alias("question"))
+    asked = own.where("text IS NOT NULL").select(F.col("term_id").alias("question_id"), F.concat(F.lit("Where is "), F.substring("text", 1, 5), F.substring("text", 5, 1000)).alias("question"))
     found = R.fuzzy_matches(asked, own.select("term_id", "concept_id", "text", "match_type"))
     return R.fuzzy_decision(R.grouped(found)).select("question_id", "concept_id", "confidence", "status")
 
@@ -67,7 +67,7 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def concept_chunks(spark: SparkSession, d: str) -> DataFrame:
     ids = [r[0] for r in tables.concepts(spark, d).where("level = 2").select("concept_id").orderBy("concept_id").limit(2).collect()]
-    rows = R.concept_chunks(about(spark, d).select("chunk_id", "concept_id", "confidence"), _chunks(spark, d), ids, 200)
+    rows = R.concept_chunks(evidence_edges(spark, d), _chunks(spark, d), ids, 200)
     return rows.select("chunk_id", "source_file", "page", "concept_score")
 
 
@@ -83,22 +83,32 @@ def ranked_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 def concept_votes(spark: SparkSession, d: str) -> DataFrame:
     found = R.lexical_chunks(_chunks(spark, d), list(WORDS), 200)
-    return R.concept_votes(found, about(spark, d).select("chunk_id", "concept_id"))
+    return R.concept_votes(found, evidence_edges(spark, d))
 
 
 def graph_search(spark: SparkSession, d: str) -> DataFrame:
     concepts = tables.concepts(spark, d)
     reach = graph.two_hops(tables.taxonomy(spark, d), concepts.select("concept_id")).select("seed", "node")
-    rows = R.search_graph(QUERY_WORD, concepts, tables.terms(spark, d), reach, about(spark, d), _chunks(spark, d))
+    rows = R.search_graph(QUERY_WORD, concepts, tables.terms(spark, d), reach, evidence_edges(spark, d), _chunks(spark, d))
     return rows.select("chunk_id", F.array_join("concepts", "|").alias("concepts"), "citation")
 
 
+def text_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The stored postings of chunks outside contents pages, in folders by hash of the word, and (chunks, mean) of the indexed chunks."""
+    chunks = lambda: tables.chunks(spark, d, "text", "retrieval_text", "is_table_of_contents").where(~F.coalesce("is_table_of_contents", F.lit(False)))
+    # one task a folder and a sort inside, so a lookup reads few files
+    made = lambda: R.postings(chunks()).withColumn("folder", R.index_folder(F.col("word"))).repartition("folder", F.pmod(F.xxhash64("chunk_id"), F.lit(8))).sortWithinPartitions("folder", "word", "chunk_id")
+    index = stored(spark, d, "postings", made, by="folder")
+    sizes = stored(spark, d, "postings_size", lambda: index.groupBy("chunk_id").agg(F.max("length").alias("length")).agg(F.count("*").alias("chunks"), F.avg("length").alias("mean")))
+    return index, sizes
+
+
 def full_text_search(spark: SparkSession, d: str) -> DataFrame:
-    """BM25 over words and pairs of ideographs, outside contents pages."""
-    chunks = _chunks(spark, d).where(~F.coalesce("is_table_of_contents", F.lit(False)))
-    index = cut_lineage(R.postings(chunks))
-    size = index.groupBy("chunk_id").agg(F.max("length").alias("length")).agg(F.count("*"), F.avg("length")).first()
-    return R.full_text(index, list(WORDS), size[0], size[1] or 1.0, 20)
+    """BM25 over words and pairs of ideographs, outside contents pages. Only the folders of the question's words are read."""
+    index, sizes = text_index(spark, d)
+    size = sizes.first()
+    words = spark.createDataFrame([(w,) for w in WORDS], "word string").select(R.index_folder(F.col("word"))).distinct().collect()
+    return R.full_text(index.where(F.col("folder").isin([r[0] for r in words])), list(WORDS), size[0], size[1] or 1.0, 20)
 
 
 def contains_search(spark: SparkSession, d: str) -> DataFrame:
@@ -108,10 +118,17 @@ def contains_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def answer(spark: SparkSession, d: str) -> DataFrame:
-    """The whole policy for one question as one row of JSON: intent, resolution, evidence."""
+    """The whole policy for three questions, each a row of JSON: one without a known term, one that names a term, one that only a vector resolves."""
     from tessera.plans.answer import answer as run
 
-    return run(spark, d, QUESTION)
+    named = tables.terms(spark, d).where("length(text) >= 8").agg(F.min_by("text", "term_id")).first()[0]
+    vector = tables.concepts(spark, d).where("level = 2 AND resolver_embedding IS NOT NULL").agg(F.min_by("resolver_embedding", "concept_id")).first()[0]
+    out = run(spark, d, QUESTION)
+    if named:
+        out = out.unionByName(run(spark, d, f"What must be done about {named}?"))
+    if vector:
+        out = out.unionByName(run(spark, d, "Which of them applies here?", encode=lambda text: vector))
+    return out
 
 
 QUERIES = {f.__name__: f for f in (question_texts, query_keywords, exact_terms, fuzzy_terms, semantic_candidates, concept_chunks, lexical_chunks, ranked_evidence, concept_votes, graph_search, full_text_search, contains_search, answer)}
@@ -123,23 +140,24 @@ def _plain(x: str) -> str:
     return f"replace(replace(trim(regexp_replace(regexp_replace({sql.folded(x)}, '{_PUNCTUATION}', ' ', 'g'), '[{sql.SPACE}]+', ' ', 'g')), '身份', '身分'), '帳戶', '戶口')"
 
 
-_ASKED = f"""{sql.TERMS}, asked AS (SELECT 'exact_' || term_id AS question_id, 'What is the control of ' || text || '?' AS question FROM t WHERE length(text) >= 8)"""
-_INTENT = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(z, '{w}')" for w in words) + f" THEN '{name}'" for name, words in R.INTENTS.items()) + " ELSE 'general_information' END"
+_ASKED = f"""{sql.TERMS}, asked AS (SELECT 'exact_' || term_id AS question_id, 'What is the control of ' || text || '?' AS question FROM t WHERE text IS NOT NULL)"""
+_INTENT = """CASE WHEN regexp_matches(z, 'control|requirement|required|must|should|控制|措施|要求|規定|必須|應當|須要') THEN 'control_requirements' WHEN regexp_matches(z, 'compare|comparison|difference|versus|vs|比較|分別|差異|區別') THEN 'comparison'
+    WHEN regexp_matches(z, 'what is|define|definition|meaning|甚麼是|什麼是|定義|意思') THEN 'definition' WHEN regexp_matches(z, 'how to|process|procedure|steps|如何|程序|流程|步驟') THEN 'procedure' ELSE 'general_information' END"""
 _LOW = "lower(coalesce(retrieval_text, text))"
 _LEX = f"lx AS (SELECT *, {' + '.join(f'''contains({_LOW}, '{w}')::INT''' for w in WORDS)} AS lexical_score FROM c WHERE NOT coalesce(is_table_of_contents, false)), lc AS (SELECT * FROM lx WHERE lexical_score > 0 ORDER BY lexical_score DESC, source_file, page, chunk_id LIMIT 200)"
-_STOPPED = "list_transform(list_filter(string_split(z, ' '), lambda w: w <> '' AND w NOT IN (" + ", ".join(f"'{w}'" for w in R.LATIN_STOPWORDS) + ")), lambda w: " + "{})"
-_CUT = "w"
-for _p in sorted(R.CHINESE_STOP, key=len, reverse=True):
-    _CUT = f"replace({_CUT}, '{_p}', ' ')"
+_STOPPED = """list_transform(list_filter(string_split(z, ' '), lambda w: NOT regexp_full_match(w, '|a|an|and|are|controls?|for|how|is|must|of|required|requirements?|should|the|to|what|which')), lambda w: {})"""
+_CUT = "replace(replace(replace(replace(replace(replace(replace(replace(w, '有哪些', ' '), '如何', ' '), '甚麼', ' '), '什麼', ' '), '控制', ' '), '措施', ' '), '要求', ' '), '規定', ' ')"
 _SCORE = (
     "60 * lexical_score"
     + "".join(f" + 100 * contains(z, '{w}')::INT" for w in WORDS)
-    + "".join(f" + 10 * least(3, (length(z) - length(replace(z, '{w}', ''))) // length('{w}'))" for w in R.CONTROL_WORDS)
-    + "".join(f" + 150 * contains(substr(z, 1, 500), '{p}')::INT" for p in R.LIST_PATTERNS)
-    + "".join(f" + 120 * contains(substr(z, 1, 300), '{p}')::INT" for p in R.OVERVIEW_PATTERNS)
+    + "".join(f" + 10 * least(3, len(regexp_extract_all(z, '{w}')))" for w in ("control", "requirement", "required", "must", "should", "控制", "措施", "要求", "規定", "必須"))
+    + " + 150 * len(list_filter(['include the following', 'includes the following', 'requirements are', 'should include', '以下為', '包括以下', '應包括', '應採取以下', '措施如下'], lambda p: contains(substr(z, 1, 500), p)))"
+    + " + 120 * len(list_filter(['general requirements', 'overall requirements', 'overview', '何謂', '一般規定', '基本規定'], lambda p: contains(substr(z, 1, 300), p)))"
     + " - 1000 * contains(substr(z, 1, 200), '目錄')::INT"
 )
 _CITE = "'[' || coalesce(source_file, 'unknown source') || ' p.' || coalesce(page::VARCHAR, '?') || ']'"
+#: CTEs c, t, ce, cm and ee: the concept edges of chunks of either type.
+_EVIDENCE = f"{sql.MENTIONED}, {_EDGES_ONLY}, ee AS (SELECT chunk_id, concept_id, max(confidence) AS confidence FROM (SELECT * FROM ce UNION ALL SELECT * FROM cm) GROUP BY ALL)"
 ORACLE = {
     "question_texts": f"""WITH {_ASKED}, a AS (SELECT item_id::VARCHAR AS question_id, text AS question FROM eval_items UNION ALL SELECT * FROM asked), b AS (SELECT question_id, {_plain('question')} AS y FROM a), k AS (SELECT *, ' ' || y || ' ' AS z FROM b)
         SELECT question_id, sha256(y) AS normalized_hash, {_INTENT} AS intent FROM k""",
@@ -155,13 +173,13 @@ ORACLE = {
         r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY confidence DESC, concept_id) AS rank FROM s QUALIFY rank <= 5), b AS (SELECT *, max(confidence) OVER w AS best, max(confidence) FILTER (rank = 2) OVER w AS second FROM r WINDOW w AS (PARTITION BY question_id)),
         g AS (SELECT *, CASE WHEN best < 0.5 THEN 'unresolved' WHEN round(best - second, 6) < 0.06 THEN 'ambiguous' ELSE 'resolved' END AS status FROM b)
         SELECT question_id, concept_id, confidence, rank::INT AS rank, status, status = 'resolved' AND rank <= 1 AND confidence >= 0.5 AS taken FROM g""",
-    "concept_chunks": f"WITH {sql.ABOUT} SELECT chunk_id, source_file, page, confidence AS concept_score FROM about JOIN c USING (chunk_id) WHERE concept_id IN (SELECT DISTINCT concept_id FROM concepts WHERE level = 2 ORDER BY concept_id LIMIT 2) ORDER BY confidence DESC, source_file, page, chunk_id LIMIT 200",
+    "concept_chunks": f"WITH {_EVIDENCE} SELECT chunk_id, source_file, page, max(confidence) AS concept_score FROM ee JOIN c USING (chunk_id) WHERE concept_id IN (SELECT DISTINCT concept_id FROM concepts WHERE level = 2 ORDER BY concept_id LIMIT 2) GROUP BY ALL ORDER BY concept_score DESC, source_file, page, chunk_id LIMIT 200",
     "lexical_chunks": f"WITH {sql.CHUNKS}, {_LEX} SELECT chunk_id, source_file, page, lexical_score FROM lc",
     "ranked_evidence": f"WITH {sql.CHUNKS}, {_LEX}, z AS (SELECT *, {_plain('coalesce(retrieval_text, text)')} AS z FROM lc) SELECT chunk_id, ({_SCORE})::INT AS relevance, lexical_score, {_CITE} AS citation, section_id FROM z ORDER BY relevance DESC, source_file, page, chunk_id LIMIT 8",
-    "concept_votes": f"WITH {sql.ABOUT}, {_LEX}, v AS (SELECT concept_id, sum(lexical_score)::BIGINT AS vote FROM lc JOIN about USING (chunk_id) GROUP BY concept_id) SELECT concept_id, vote, round(vote::DOUBLE / sum(vote) OVER (), 4) AS confidence FROM v ORDER BY vote DESC, concept_id LIMIT 5",
-    "graph_search": f"""WITH RECURSIVE {sql.ABOUT}, {sql.TERMS}, e AS (SELECT DISTINCT parent_concept_id AS a, child_concept_id AS b FROM taxonomy_edges), r AS (SELECT DISTINCT concept_id AS node, 0 AS depth FROM concepts k WHERE contains(lower(name), '{QUERY_WORD}') OR contains(concept_id, '{QUERY_WORD}')
+    "concept_votes": f"WITH {_EVIDENCE}, {_LEX}, v AS (SELECT concept_id, sum(lexical_score)::BIGINT AS vote FROM lc JOIN ee USING (chunk_id) GROUP BY concept_id) SELECT concept_id, vote, round(vote::DOUBLE / sum(vote) OVER (), 4) AS confidence FROM v ORDER BY vote DESC, concept_id LIMIT 5",
+    "graph_search": f"""WITH RECURSIVE {_EVIDENCE}, e AS (SELECT DISTINCT parent_concept_id AS a, child_concept_id AS b FROM taxonomy_edges), r AS (SELECT DISTINCT concept_id AS node, 0 AS depth FROM concepts k WHERE contains(lower(name), '{QUERY_WORD}') OR contains(concept_id, '{QUERY_WORD}')
             OR EXISTS (SELECT 1 FROM t WHERE t.concept_id = k.concept_id AND contains(lower(t.text), '{QUERY_WORD}')) UNION ALL SELECT b, depth + 1 FROM r JOIN e ON node = a WHERE depth < 2),
-        n AS (SELECT DISTINCT concept_id, name FROM concepts WHERE concept_id IN (SELECT node FROM r)), h AS (SELECT chunk_id, list_sort(list(DISTINCT name)) AS names FROM about JOIN n USING (concept_id) GROUP BY chunk_id)
+        n AS (SELECT DISTINCT concept_id, name FROM concepts WHERE concept_id IN (SELECT node FROM r)), h AS (SELECT chunk_id, list_sort(list(DISTINCT name)) AS names FROM ee JOIN n USING (concept_id) GROUP BY chunk_id)
         SELECT chunk_id, array_to_string(names, '|') AS concepts, {_CITE} AS citation FROM h JOIN c USING (chunk_id) ORDER BY len(names) DESC, source_file, page, chunk_index, chunk_id LIMIT 8""",
     "full_text_search": f"""WITH {sql.CHUNKS}, b AS (SELECT chunk_id, lower(coalesce(retrieval_text, text, '')) AS x FROM c WHERE NOT coalesce(is_table_of_contents, false)), w AS (SELECT chunk_id, unnest(regexp_extract_all(x, '[a-z0-9]+')) AS word FROM b
             UNION ALL SELECT chunk_id, unnest(list_transform(range(1, length(r)), lambda i: substr(r, i, 2))) FROM (SELECT chunk_id, unnest(regexp_extract_all(x, '[{sql.CJK}]{{2,}}')) AS r FROM b)),

@@ -19,6 +19,7 @@ LINES = (
     l AS (SELECT doc, page, (row_number() OVER (PARTITION BY doc, page ORDER BY i))::INT AS n, CASE WHEN line IN (chr(61623), chr(8226), chr(9679), chr(9642)) THEN '•' ELSE line END AS line FROM clean WHERE line <> '')"""
 )
 KEY = rf"replace(lower(trim(regexp_replace(line, '[{SPACE}]+', ' ', 'g'))), 'ß', 'ss')"
+#: The structural lines of a regulation.
 SECTION = rf"^((?:[0-9]+(?:\.[0-9]+){{1,5}})|(?:[0-9]+\.))[{SPACE}]*(.*)$"
 CHAPTER = rf"(?i)^(第[一二三四五六七八九十百0-9]+[{SPACE}]*章\b.*|chapter[{SPACE}]+[0-9]+\b.*)$"
 LIST_ITEM = rf"(?i)^(?:[•●▪◦]|\([a-zivx0-9]+\)|[a-zivx0-9]+[.)])[{SPACE}]*"
@@ -65,3 +66,14 @@ ABOUT = (
         FROM c JOIN (SELECT DISTINCT concept_id, embedding FROM concepts WHERE level = 2 AND embedding IS NOT NULL) k ON len(c.embedding) = len(k.embedding) WHERE list_max(list_transform(c.embedding, lambda x: abs(x))) > 0),
     about AS (SELECT chunk_id, concept_id, s AS semantic_similarity, round(greatest(0, least(1, raw * 0.8)), 6) AS confidence FROM sims QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY s DESC, concept_id) = 1)"""
 )
+
+
+def mentioned() -> str:
+    """CTEs c, t and cm (chunk_id, concept_id, confidence): concepts that chunks mention by their terms."""
+    word = lambda x: f"CASE WHEN match_type = 'word' THEN len(regexp_extract_all({x}, '\\b' || regexp_escape(x) || '\\b')) ELSE (length({x}) - length(replace({x}, x, ''))) // length(x) END"
+    return f"""{CHUNKS}, {TERMS}, fc0 AS (SELECT chunk_id, {folded('coalesce(retrieval_text, text)')} AS r FROM c), ft0 AS (SELECT term_id, concept_id, match_type, evidence_weight, {folded('text')} AS x FROM t WHERE text <> ''),
+        pr0 AS (SELECT chunk_id, concept_id, coalesce(evidence_weight, 0) AS w, {word('r')} AS n FROM fc0 JOIN ft0 ON contains(r, x)), tp0 AS (SELECT concept_id, max(coalesce(evidence_weight, 0)) AS top FROM t GROUP BY concept_id),
+        ag0 AS (SELECT chunk_id, concept_id, max(w) AS w FROM pr0 WHERE n > 0 GROUP BY ALL), cm AS (SELECT chunk_id, concept_id, round(CASE WHEN top > 0 THEN w / top ELSE 0 END, 6) AS confidence FROM ag0 JOIN tp0 USING (concept_id) WHERE CASE WHEN top > 0 THEN w / top ELSE 0 END >= 0.45)"""
+
+
+MENTIONED = mentioned()

@@ -110,7 +110,22 @@ def concept_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (normalized_terms, term_languages, evidence_weights, document_languages, valid_candidates, term_candidates, heading_candidates, cluster_terms, diverse_terms, term_mentions, name_mentions, mined_mentions, mined_concepts, concept_mentions)}
 
-_EN, _ZH, _GENERIC = ("(" + ", ".join("'" + w + "'" for w in ws) + ")" for ws in (T.ENGLISH_STOPWORDS, T.CHINESE_STOPWORDS, T.GENERIC_TERMS))
+#: Fixed values of the checking SQL, stated apart from the operators' own.
+_EN = (
+    "('a', 'about', 'above', 'after', 'again', 'against', 'all', 'also', 'an', 'and', 'any', 'are', 'as', 'at', 'be', 'because', 'been', 'before', 'being', 'below', 'between', "
+    "'both', 'but', 'by', 'can', 'could', 'do', 'does', 'doing', 'during', 'each', 'for', 'from', 'further', 'had', 'has', 'have', 'having', 'he', 'her', 'here', 'hers', 'him', "
+    "'his', 'how', 'if', 'in', 'into', 'is', 'it', 'its', 'may', 'more', 'most', 'must', 'no', 'nor', 'not', 'of', 'on', 'once', 'only', 'or', 'other', 'our', 'out', 'over', "
+    "'same', 'shall', 'should', 'so', 'some', 'such', 'than', 'that', 'the', 'their', 'them', 'then', 'there', 'these', 'they', 'this', 'those', 'through', 'to', 'under', 'until', "
+    "'up', 'very', 'was', 'we', 'were', 'what', 'when', 'where', 'which', 'while', 'who', 'will', 'with', 'would', 'you', 'your')"
+)
+_ZH = (
+    "('之', '了', '其', '及', '於', '與', '和', '一個', '一些', '一般', '不得', '以及', '任何', '但', '例如', '依據', '倘若', '其他', '其中', '則', '包括', '可以', '可能', '各', '同時', '因此', '如', '如果', '就', '應', '應當', "
+    "'應該', '或', '所有', '所述', '按照', '根據', '此外', '然而', '為', '由', '的', '等', '而', '該', '該等', '這些', '這個', '進行', '須')"
+)
+_GENERIC = (
+    "('applicable requirements', 'authorized institution', 'general requirements', 'introduction', 'overview', 'purpose', 'relevant requirements', 'the authority', "
+    "'the institution', '引言', '目的', '概覽', '範圍', '上述規定', '下列各項', '以下各項', '有關規定', '本章', '本節', '本部分', '本段', '本指引', '該機構', '該認可機構')"
+)
 
 
 def _han(x: str) -> str:

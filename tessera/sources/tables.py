@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.runtime import read_table
+from tessera.sources.store import stored
 
 
 def latest(df: DataFrame, key: str) -> DataFrame:
@@ -16,10 +17,10 @@ def latest(df: DataFrame, key: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Chunk nodes, only the named columns read."""
+    """Chunk nodes, one row per id, only the named columns read. They are stored at the first use and read from there."""
     table = read_table(spark, sf_dir, "chunks")
     wanted = list(dict.fromkeys(["chunk_id", *(columns or [c for c in table.columns if c != "updated_at"])]))
-    return latest(table.select(*wanted, "updated_at"), "chunk_id").select(*wanted)
+    return stored(spark, sf_dir, "chunks", lambda: latest(table, "chunk_id").drop("updated_at")).select(*wanted)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

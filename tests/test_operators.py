@@ -215,6 +215,17 @@ def test_ontology(spark):
     leaves = [r for r in o.concepts.collect() if r.level == 2]
     assert len(leaves) == 5 and sum(r.chunk_count for r in leaves) == 150 and len({r.name for r in leaves}) == 5
     assert o.assignments.where("primary").count() == 150
+    text = {r[0]: r[1] for r in rows}
+    by_leaf = {}
+    for r in o.assignments.where("primary").collect():
+        by_leaf.setdefault(r.concept_id, set()).add(subjects[int(r.chunk_id[1:]) % 5])
+    assert all(len(s) == 1 for s in by_leaf.values()) and len(set().union(*by_leaf.values())) == 5  # each leaf is one subject
+    assert all(next(iter(by_leaf[r.concept_id])) in r.name for r in leaves) and len(text) == 150
+    for r in o.terms.collect():
+        assert any(r.normalized_text in t.lower() for t in text.values())
+    own = {r.concept_id: [x.embedding for x in leaves if x.concept_id == r.concept_id][0] for r in leaves}
+    for r in o.representatives.collect():
+        assert int(np.argmax(own[r.concept_id])) == int(r.chunk_id[1:]) % 5
     edges = {(r.parent_concept_id, r.child_concept_id) for r in o.taxonomy.collect()}
     assert {c for _, c in edges} >= {r.concept_id for r in leaves}
     assert o.terms.groupBy("concept_id").count().agg(F.max("count")).first()[0] <= 12

@@ -36,3 +36,12 @@ def test_hashes_and_counts(spark):
     assert row.h == "f04cdced9736a69d"
     df = spark.createDataFrame([("aaa due due_x due", "due", "word"), ("aaaa", "aa", "phrase"), ("a.b axb", "a.b", "phrase"), (None, "x", "word"), ("x", "", "word"), ("x \\E y", "\\E", "phrase")], "t string, w string, k string")
     assert [r.n for r in df.select(X.count_occurrences(F.col("t"), F.col("w"), F.col("k")).alias("n")).collect()] == [2, 2, 1, 0, 0, 1]
+
+
+def test_intent_words_are_parts_of_the_question(spark):
+    """Words count as parts, and " vs " is normalised to vs before it is looked for, so words that hold vs are comparisons."""
+    asked = {"What do CVs of directors contain?": "comparison", "Who signs MVS reports?": "comparison", "A vs B": "comparison", "Shoulder pads?": "control_requirements", "What is a fee?": "definition", "How to pay?": "procedure", "Who pays?": "general_information", None: "general_information"}
+    from tessera.operators import retrieve as R
+
+    df = spark.createDataFrame([(q,) for q in asked], "q string")
+    assert {r[0]: r[1] for r in df.select("q", R.intent(F.col("q"))).collect()} == asked
