@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -12,6 +15,7 @@ from pyspark.sql.types import DoubleType
 
 from tessera.functions.text import CJK, casefold, normalize_question, squeeze
 from tessera.operators.matching import occurrences
+from tessera.plans.runtime import cut_lineage
 
 #: What words tell the intent of a question, in the order they are tried.
 INTENTS = {
@@ -72,22 +76,43 @@ def exact_matches(questions: DataFrame, terms: DataFrame) -> DataFrame:
     return held.select("question_id", "concept_id", "term_id", "term_text", F.length("t").alias("length"), confidence.alias("confidence"), F.lit("exact_term").alias("method"))
 
 
-def fuzzy_similarity(question: str, term: str) -> float:
-    """Best ratio of matching blocks of a term with equally long windows of a question, by words or by signs."""
-    words = lambda s: [w for w in "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in s).split()]
-    a, b, glue = words(question), words(term), " "
-    if not a or not b:
-        a, b, glue = list(question.replace(" ", "")), list(term.replace(" ", "")), ""
-        if len(b) < 4:
-            return 0.0
-    goal = glue.join(b)
-    windows = [glue.join(a[i : i + len(b)]) for i in range(max(len(a) - len(b), 0) + 1)]
-    return max(SequenceMatcher(None, w, goal).ratio() for w in windows)
+_LATIN = re.compile("[a-z0-9]+")
+
+
+def _windows(question: str, term: str) -> tuple[list[str], str]:
+    """Parts of the question as long as the term, in Latin words if both have any and in signs else, and the term in the same form."""
+    asked, goal, glue = _LATIN.findall(question), _LATIN.findall(term), " "
+    if not (asked and goal):
+        asked, goal, glue = question.replace(" ", ""), term.replace(" ", ""), ""
+        if len(goal) < 4:
+            return [], ""
+    last = max(len(asked) - len(goal), 0)
+    return [glue.join(asked[i : i + len(goal)]) for i in range(last + 1)], glue.join(goal)
+
+
+def fuzzy_similarity(question: str, term: str, least: float = 0.0) -> float:
+    """Best ratio of matching blocks of a term with the windows of a question; 0 where none can reach the least ratio.
+
+    A window whose shared signs, in whatever order, are too few is not compared.
+    """
+    windows, goal = _windows(question, term)
+    matcher, best = SequenceMatcher(None, "", goal), 0.0
+    counts = Counter(goal)
+    for window in dict.fromkeys(windows):
+        floor = max(best, least)
+        total = len(window) + len(goal)
+        if total and 2.0 * min(len(window), len(goal)) < floor * total - 1e-9:
+            continue
+        if total and 2.0 * (counts & Counter(window)).total() < floor * total - 1e-9:
+            continue
+        matcher.set_seq1(window)
+        best = max(best, matcher.ratio())
+    return best if best >= least else 0.0
 
 
 @F.pandas_udf(DoubleType())
-def _fuzzy(question: pd.Series, term: pd.Series) -> pd.Series:
-    return pd.Series([fuzzy_similarity(q, t) for q, t in zip(question, term, strict=True)], dtype=float)
+def _fuzzy(question: pd.Series, term: pd.Series, least: pd.Series) -> pd.Series:
+    return pd.Series([fuzzy_similarity(q, t, x) for q, t, x in zip(question, term, least, strict=True)], dtype=float)
 
 
 def _grams(text: Column) -> Column:
@@ -104,21 +129,42 @@ def fuzzy_matches(questions: DataFrame, terms: DataFrame, least: float = FUZZY_L
     """Terms nearly in a question.
 
     Only pairs that share enough pairs of signs are compared. At a ratio of 0.88 at most 0.214 of a term of length n is
-    unmatched and at most 0.27 n signs of both sides are, so the matching blocks break at most 0.49 n + 1 of its pairs;
-    a term that shares fewer of its distinct pairs than that leaves cannot reach the ratio.
+    unmatched and at most 0.27 n signs of both sides are, so the matching blocks break at most m = 0.49 n + 1 of its pairs.
+    One of any m + 1 of its pairs is therefore in the question: the rarest m + 1 lead to the pairs that are counted, so
+    pairs of signs that most questions hold are not joined on. Questions or terms of one text are compared once.
     """
     asked = questions.select("question_id", normalize_question(F.col("question")).alias("q"))
     named = terms.select("term_id", "concept_id", F.col("text").alias("term_text"), normalize_question(F.col("text")).alias("t"))
-    named = named.where(F.length(F.replace("t", F.lit(" "), F.lit(""))) >= 4)
-    grams = named.select("term_id", F.length("t").alias("length"), F.explode(_grams(F.col("t"))).alias("g"))
-    needed = grams.groupBy("term_id", F.left("g", F.lit(1)).alias("kind")).agg((F.count("*") - (F.max("length") * 0.49 + 1)).alias("needed"))
-    shared = asked.select("question_id", F.explode(_grams(F.col("q"))).alias("g")).join(grams, "g").groupBy("question_id", "term_id", F.left("g", F.lit(1)).alias("kind")).agg(F.count("*").alias("n"))
-    shared = shared.join(needed, ["term_id", "kind"]).where("n >= needed").select("question_id", "term_id").distinct()
-    near = shared.join(named, "term_id").join(asked, "question_id")
-    scored = near.withColumn("similarity", _fuzzy("q", "t")).where(F.col("similarity") >= least)
+    named = cut_lineage(named.where(F.length(F.replace("t", F.lit(" "), F.lit(""))) >= 4))
+    asked = cut_lineage(asked.where("q <> ''"))
+    texts = cut_lineage(asked.select("q").distinct().withColumn("held", _grams(F.col("q"))))
+    wanted = cut_lineage(named.select("t").distinct().withColumn("needs", _grams(F.col("t"))))
+    common = texts.select(F.explode("held").alias("g")).groupBy("g").agg(F.count("*").alias("k"))
+    grams = wanted.select("t", F.explode("needs").alias("g")).join(common, "g")  # pairs that no question holds lead nowhere
+    kind = F.left("g", F.lit(1))
+    every = wanted.select("t", F.explode("needs").alias("g")).groupBy("t", kind.alias("kind")).agg(F.count("*").alias("n"))
+    # of the pairs in no question, each is one of the rarest already
+    absent = every.join(grams.groupBy("t", kind.alias("kind")).agg(F.count("*").alias("there")), ["t", "kind"]).select("t", "kind", (F.col("n") - F.col("there")).alias("absent"))
+    rarest = F.row_number().over(Window.partitionBy("t", "kind").orderBy("k", "g"))
+    kept = grams.withColumn("kind", kind).join(absent, ["t", "kind"]).withColumn("place", rarest + F.col("absent")).where(F.col("place") <= F.floor(F.length("t") * 0.49 + 1) + 1)
+    pairs = texts.select("q", F.explode("held").alias("g")).join(kept.select("t", "g"), "g").select("q", "t").distinct()
+    pairs = pairs.join(texts, "q").join(wanted, "t")
+    both = F.array_intersect("held", "needs")
+    enough = []
+    for k in ("f", "l"):
+        of = functools.partial(_of_kind, k)
+        enough.append(F.size(F.filter(both, of)) >= F.greatest(F.lit(1.0), F.size(F.filter("needs", of)) - (F.length("t") * 0.49 + 1)))
+    # few bytes, but much work each, so the pairs are spread whatever their size
+    wide = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = pairs.where(enough[0] | enough[1]).select("q", "t").repartition(wide).withColumn("similarity", _fuzzy("q", "t", F.lit(least))).where(F.col("similarity") >= least)
+    scored = near.join(named, "t").join(asked, "q")
     return scored.select("question_id", "concept_id", "term_id", "term_text", F.length("t").alias("length"), F.round("similarity", 4).alias("confidence"), F.lit("fuzzy_term").alias("method"))
 
 
+def _of_kind(kind: str, gram: Column) -> Column:
+    return F.left(gram, F.lit(1)) == kind
+
+
 def grouped(matches: DataFrame) -> DataFrame:
     """Per question and concept: best match, confidence raised by 0.02 for each further match, terms in order."""
     order = F.struct(-F.col("confidence"), -F.col("length"), F.col("term_id"), F.col("term_text"))
