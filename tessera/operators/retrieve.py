@@ -156,11 +156,15 @@ def fuzzy_matches(questions: DataFrame, terms: DataFrame, least: float = FUZZY_L
         enough.append(F.size(F.filter(both, of)) >= F.greatest(F.lit(1.0), F.size(F.filter("needs", of)) - (F.length("t") * 0.49 + 1)))
     # few bytes, but much work each, so the pairs are spread whatever their size
     wide = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = pairs.where(enough[0] | enough[1]).select("q", "t").repartition(wide).withColumn("similarity", _fuzzy("q", "t", F.lit(least))).where(F.col("similarity") >= least)
+    near = pairs.where(enough[0] | enough[1]).select("q", "t").repartition(wide).withColumn("similarity", _fuzzy_once("q", "t", F.lit(least))).where(F.col("similarity") >= least)
     scored = near.join(named, "t").join(asked, "q")
     return scored.select("question_id", "concept_id", "term_id", "term_text", F.length("t").alias("length"), F.round("similarity", 4).alias("confidence"), F.lit("fuzzy_term").alias("method"))
 
 
+#: Marked so that the optimizer neither moves it before the candidates are few nor computes it twice.
+_fuzzy_once = _fuzzy.asNondeterministic()
+
+
 def _of_kind(kind: str, gram: Column) -> Column:
     return F.left(gram, F.lit(1)) == kind
 
