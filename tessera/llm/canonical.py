@@ -22,7 +22,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.lookalike import expansions, removed, single_map
+from tessera.llm import checks
+from tessera.llm.lookalike import characters, expansions, removed, single_map
 from tessera.plans.runtime import cut_lineage, read_table
 
 #: Candidate hashes up to this many (16 bytes each) are broadcast; beyond it the join shuffles.
@@ -45,10 +46,9 @@ def skeleton(text: Column) -> Column:
 @functools.cache
 def _bases() -> tuple[dict[str, str], str]:
     """Composed letters to their first character; marks, and what decomposes otherwise, dropped."""
-    base, dropped = {}, dict.fromkeys(chr(c) for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) == "Mn")
-    for c in range(0x80, 0x10000):
-        ch = chr(c)
-        if 0xD800 <= c < 0xE000 or (parts := unicodedata.normalize("NFD", ch)) == ch:
+    base, dropped = {}, dict.fromkeys(ch for ch in characters() if unicodedata.category(ch) == "Mn")
+    for ch in characters():
+        if (parts := unicodedata.normalize("NFD", ch)) == ch:
             continue
         if all(p in dropped for p in parts[1:]):
             base[ch] = parts[0]
@@ -113,16 +113,11 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql(select: str) -> str:
-    """The same rule in one SQL statement over all rows: composition by nfc_normalize instead of a collation."""
-    quote = lambda s: s.replace("'", "''")
-    table = single_map()
-    form = f"translate(text, '{quote(''.join(table))}' || '{removed()}', '{quote(''.join(table.values()))}')"
-    for one, several in expansions().items():
-        form = f"replace({form}, '{one}', '{several}')"
+    """The same rule in one SQL statement over all rows: composition by nfc_normalize instead of a collation, tables of its own."""
     return f"""
         WITH rows AS (SELECT DISTINCT 'chunk' AS kind, '' AS scope, chunk_id AS id, text FROM chunks WHERE text IS NOT NULL
                       UNION SELECT DISTINCT 'term', concept_id, term_id, text FROM terms WHERE text IS NOT NULL),
-        forms AS (SELECT *, nfc_normalize({form}) AS form FROM rows)
+        forms AS (SELECT *, nfc_normalize({checks.same('text')}) AS form FROM rows)
         {select}"""
 
 

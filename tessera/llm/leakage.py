@@ -4,8 +4,10 @@ Every item is cut into windows of its own measure (12 words; 24 characters for i
 lang zh) and every document into windows of the same size. A window's fingerprint is a
 64-bit SimHash of its words. The fingerprints of the items are indexed by 4 blocks of 16
 bits: two fingerprints within radius 3 agree in one block at least, so no pair within the
-radius is missed, and equal windows have distance 0. p7_found keeps those whose words
-also follow each other exactly.
+radius is missed, and equal windows have distance 0. Each candidate is verified by the
+similarity of its weighted shingles; p7_found keeps those whose words also follow each other
+exactly. (Windows that share too few shingles of ideographs to reach that similarity are not
+looked up; a bound, so no verified pair is lost.)
 
 A window of weighted shingle similarity 0.8 may lie far outside any useful radius, so
 p7_similar takes its candidates from an index of the shingles (five tokens). A window that
@@ -22,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,15 +35,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm import checks
 from tessera.llm.chunks import in_slices
-from tessera.llm.lookalike import expansions, removed, single_map, skeleton
+from tessera.llm.lookalike import skeleton
 from tessera.plans import sql
 from tessera.plans.runtime import read_table, spread
 
 WORDS, CHARACTERS, SHINGLE, SIMILARITY, RADIUS = 12, 24, 5, 0.8, 3
 BLOCKS, BLOCK_BITS = 4, 16
-#: Items are sent to the executors in blocks of at most about this many characters each.
-ITEM_BLOCK_CHARS = 20_000_000
+#: Bytes of the index of one block of items at most; each block of more items is a scan of its own. An item character takes
+#: about this many bytes in the index (its share of windows, shingles and orders).
+ITEM_BLOCK_BYTES, BYTES_PER_CHARACTER = 64 << 20, 160
 #: Places of shingles that candidates of similar windows are taken from at once.
 MOST_CANDIDATES = 1 << 20
 #: Tokens of documents handled at once (a longer document is handled in overlapping slices).
@@ -119,43 +124,48 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Fingerprints, token hashes and owners of the windows of one measure, by Hamming block."""
+    """Fingerprints and owners of the windows of one measure, by Hamming block; tokens and shingles of the items one after another."""
 
-    def __init__(self, items: list[tuple[int, str]], size: int, tokens_of, similar: bool = False):
+    def __init__(self, items: list[tuple[int, str]], size: int, tokens_of):
         vectors = Vectors()
-        prints, owners, hashes, letters = [], [], [], []
-        runs, weights, wide = [], [], []
-        self.size, self.least_cjk = size, size
+        prints, owners, hashes, lengths, wide, runs = [], [], [], [], [], []
+        self.size, self.least_wide, self.missing = size, 0, np.zeros(1, np.int64)
         for item, text in items:
             tokens = tokens_of(text)
             if len(tokens) < size:
                 continue
             at = vectors.of(tokens)
-            fp = fingerprints(vectors.signs[at], size)
-            h = vectors.hashes[at]
-            prints.append(fp)
-            owners.append(np.full(len(fp), item, dtype=np.int64))
-            hashes.append(np.lib.stride_tricks.sliding_window_view(h, size))
-            lengths = np.array([len(t) for t in tokens], dtype=np.int32)
-            letters.append(np.lib.stride_tricks.sliding_window_view(lengths, size))
+            prints.append(fingerprints(vectors.signs[at], size))
+            owners.append(np.full(len(prints[-1]), item, dtype=np.int64))
+            hashes.append(vectors.hashes[at])
+            lengths.append(np.array([len(t) for t in tokens], dtype=np.int32))
+            runs.append(shingles(hashes[-1]))
             cjk = np.array([bool(_CJK.match(t)) for t in tokens])
-            self.least_cjk = min(self.least_cjk, int(np.lib.stride_tricks.sliding_window_view(cjk, size).sum(axis=1).min()))
-            if similar:
-                runs.append(shingles(h))
-                weights.append(np.lib.stride_tricks.sliding_window_view(lengths, SHINGLE).sum(axis=1))
-                wide.append(np.lib.stride_tricks.sliding_window_view(cjk, SHINGLE).any(axis=1))
+            wide.append(np.lib.stride_tricks.sliding_window_view(cjk, SHINGLE).any(axis=1))
         empty = not prints
         self.prints = np.zeros(0, np.uint64) if empty else np.concatenate(prints)
         self.owners = np.zeros(0, np.int64) if empty else np.concatenate(owners)
-        self.hashes = np.zeros((0, size), np.uint64) if empty else np.concatenate(hashes)
-        self.letters = np.zeros((0, size), np.int32) if empty else np.concatenate(letters)
+        self.tokens = np.zeros(0, np.uint64) if empty else np.concatenate(hashes)
+        self.letters = np.zeros(0, np.int32) if empty else np.concatenate(lengths)
+        firsts = np.cumsum([0] + [len(h) for h in hashes])
+        self.first = np.zeros(0, np.int64) if empty else np.concatenate([np.arange(f, f + len(h) - size + 1) for f, h in zip(firsts, hashes)])  # first token of a window
         self.order, self.start = [], []
         for b in range(BLOCKS):
             key = self._block(self.prints, b)
             self.order.append(np.argsort(key, kind="stable"))
             self.start.append(np.searchsorted(key[self.order[-1]], np.arange((1 << BLOCK_BITS) + 1)))
-        if similar and not empty:
-            self._index_shingles(runs, np.concatenate(weights), np.concatenate(wide))
+        if not empty:
+            weights = np.concatenate([np.lib.stride_tricks.sliding_window_view(n, SHINGLE).sum(axis=1) for n in lengths])
+            self._index_shingles(runs, weights, np.concatenate(wide))
+
+    def window(self, w: np.ndarray) -> np.ndarray:
+        """Token hashes of windows, one row each."""
+        return self.tokens[self.first[w][:, None] + np.arange(self.size)]
+
+    @property
+    def wide_shingles(self) -> int:
+        """Shingles with ideographs that a window must share to be similar to any of the items."""
+        return self.least_wide - int(self.missing.max())
 
     def _index_shingles(self, runs: list[np.ndarray], weights: np.ndarray, wide: np.ndarray) -> None:
         """Shingles of all items one after another, their order by hash, and how many may be missing of each window."""
@@ -236,7 +246,8 @@ class Index:
 
     def similarity(self, doc: np.ndarray, window: int) -> float:
         """Weighted Jaccard similarity of five-word shingles; a shingle weighs its letters."""
-        item, letters = self.hashes[window], self.letters[window]
+        first = self.first[window]
+        item, letters = self.tokens[first : first + self.size], self.letters[first : first + self.size]
         mine, theirs, weight = Counter(), Counter(), {}
         for i in range(self.size - SHINGLE + 1):
             k = item[i : i + SHINGLE].tobytes()
@@ -268,19 +279,25 @@ def _matches(streams: list[list[str]], index: Index, vectors: Vectors, exact: bo
                     if leak not in out[who[d]] and index.similarity(vectors.hashes[at[d : d + size]], i) >= SIMILARITY:
                         out[who[d]].add(leak)
             return
-        if index.least_cjk:
+        if index.wide_shingles > 0:
+            # a window with fewer shingles of ideographs than must be shared is similar to no item
             cjk = np.concatenate([[0], np.cumsum([bool(_CJK.match(t)) for t in tokens])])
-            whole &= cjk[size:] - cjk[:-size] >= index.least_cjk
+            held = np.concatenate([[0], np.cumsum(cjk[SHINGLE:] > cjk[:-SHINGLE])])
+            n = size - SHINGLE + 1
+            whole &= held[n:] - held[:-n] >= index.wide_shingles
         kept = np.flatnonzero(whole)
         if not len(kept):
             return
         position, window = index.near(fingerprints(vectors.signs[at], size)[kept])
         if not len(position):
             return
-        runs = np.lib.stride_tricks.sliding_window_view(vectors.hashes[at], size)[kept[position]]
-        same = (runs == index.hashes[window]).all(axis=1)
-        for k in np.flatnonzero(same):
-            out[who[kept[position[k]]]].add(int(index.owners[window[k]]))
+        hashes = vectors.hashes[at]
+        runs = np.lib.stride_tricks.sliding_window_view(hashes, size)[kept[position]]
+        same = (runs == index.window(window)).all(axis=1)
+        for k in range(len(position)):
+            leak, d = int(index.owners[window[k]]), kept[position[k]]
+            if leak not in out[who[d]] and index.similarity(hashes[d : d + size], int(window[k])) >= SIMILARITY and same[k]:
+                out[who[d]].add(leak)
 
     tokens, owner = [], []
     for i, stream in enumerate(streams):
@@ -295,12 +312,23 @@ def _matches(streams: list[list[str]], index: Index, vectors: Vectors, exact: bo
     return out
 
 
+#: The indexes of the last block of items, kept in a worker that serves several tasks.
+_built: dict = {}
+
+
+def _indexes(key: str, held) -> tuple[Index, Index]:
+    if _built.get("key") != key:
+        _built.clear()
+        _built.update(key=key, pair=(Index([(i, t) for i, lang, t in held.value if lang != "zh"], WORDS, words_of), Index([(i, t) for i, lang, t in held.value if lang == "zh"], CHARACTERS, characters_of)))
+    return _built["pair"]
+
+
 def leaks(documents: DataFrame, items: DataFrame, exact: bool = True) -> DataFrame:
     """(doc_id, item_id), distinct. exact: only runs of equal words; else windows of shingle similarity 0.8 or more too."""
     spark = documents.sparkSession
     items = items.select("item_id", "lang", "text").where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / ITEM_BLOCK_CHARS))
+    blocks = max(1, math.ceil(total * BYTES_PER_CHARACTER / ITEM_BLOCK_BYTES))
     schema = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), T.StructField("item_id", T.LongType())])
     source = spread(documents.select("doc_id", "text").where(F.col("text").isNotNull()))
     parts = []
@@ -308,15 +336,14 @@ def leaks(documents: DataFrame, items: DataFrame, exact: bool = True) -> DataFra
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).distinct().collect()
         held = spark.sparkContext.broadcast([(r[0], r[1], folded(r[2])) for r in rows])
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            by_words = Index([(i, t) for i, lang, t in held.value if lang != "zh"], WORDS, words_of, not exact)
-            by_chars = Index([(i, t) for i, lang, t in held.value if lang == "zh"], CHARACTERS, characters_of, not exact)
+        def run(batches: Iterator[pa.RecordBatch], held=held, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            by_words, by_chars = _indexes(key, held)
             vectors, others = Vectors(), Vectors()
             for batch in in_slices(batches):
                 ids, texts = batch.column(0).to_pylist(), [folded(t) for t in batch.column(1).to_pylist()]
                 one = _matches([words_of(t) for t in texts], by_words, vectors, exact)
-                # a window of an item that must hold ideographs cannot match a text without any (if similar, in more shingles than may be missing)
-                plain = by_chars.least_cjk > 0 if exact else bool(len(by_chars.prints)) and by_chars.least_wide > int(by_chars.missing.max())
+                # a text without ideographs is not asked for items of which each window must share some
+                plain = by_chars.wide_shingles > 0
                 two = _matches([[] if plain and not _CJK.search(t) else characters_of(t) for t in texts], by_chars, others, exact)
                 pairs = [(d, i) for d, x, y in zip(ids, one, two, strict=True) for i in sorted(x | y)]
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], batch.column(0).type), pa.array([p[1] for p in pairs], pa.int64())], names=["doc_id", "item_id"])
@@ -343,12 +370,7 @@ QUERIES = {"p7_found": p7_found, "p7_similar": p7_similar}
 
 def _sql() -> str:
     """All windows of all texts joined on equality, for the small tables of the check."""
-    quote = lambda x: x.replace("'", "''")
-    table = single_map()
-    same = f"translate(text, '{quote(''.join(table))}' || '{removed()}', '{quote(''.join(table.values()))}')"
-    for one, several in expansions().items():
-        same = f"replace({same}, '{one}', '{several}')"
-    fold = sql.folded(same)
+    fold = sql.folded(checks.same("text"))
     han = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{3040}-\x{30ff}"
     words = rf"[{han}]|(?:\p{{N}}|[^\P{{L}}{han}])+"
     return rf"""WITH i AS (SELECT DISTINCT item_id AS id, lang, {fold} AS f FROM eval_items WHERE text IS NOT NULL), d AS (SELECT doc_id AS id, {fold} AS f FROM documents WHERE text IS NOT NULL),
