@@ -173,9 +173,11 @@ def split_all(df: DataFrame, target: int = TARGET, maximum: int = MAXIMUM, overl
 
 
 def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last loads that are above the maximum. The size test stands before the shuffle, so only oversized texts are shuffled;
+    the other rows take part in the choice of the last load without their text."""
     chunks = spread(read_table(spark, sf_dir, "chunks").select("chunk_id", "text", "updated_at"))
-    # rows loaded again are equal but for updated_at, so the size test may come before the choice of one
-    return latest(chunks.where(exceeds_tokens(F.col("text"), MAXIMUM)), "chunk_id", "text")
+    large = chunks.withColumn("text", F.when(exceeds_tokens(F.col("text"), MAXIMUM), F.col("text")))
+    return latest(large, "chunk_id", "text").where(F.col("text").isNotNull())
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,7 +53,10 @@ class Encoder:
         self.left = list(range(len(self.tokens)))
         self.right = list(range(len(self.tokens)))
         self.merged: dict[tuple[int, int], int] = {}
-        self.single = [rank.get(bytes([b]), -1) for b in range(256)]
+        missing = [b for b in range(256) if bytes([b]) not in rank]
+        if missing:
+            raise ValueError(f"no token for the single bytes {missing[:5]}; such a vocabulary cannot encode every text")
+        self.single = [rank[bytes([b])] for b in range(256)]
         self.automaton = ahocorasick.Automaton()
         for number in sorted(rank.values()):
             token = self.tokens[number]
