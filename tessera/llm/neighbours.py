@@ -5,7 +5,13 @@ A bounded sample gives an exact neighbour graph, which is cut into balanced part
 classifier learns the partitions of a vector and its neighbours; it puts every row into
 its most probable partition and sends every query to several. Each partition is searched
 exactly, in blocks of bounded size, so a partition that holds many rows is spread over
-many tasks. The number of partitions grows with the rows, so the work per query does not.
+many tasks.
+
+The number of partitions grows with the rows, so a partition keeps its size and the work
+of a query does not grow. Up to FAN_OUT partitions one classifier tells them apart. Beyond,
+there are two levels: cells of FAN_OUT partitions each, told apart by a first classifier,
+and in every cell a classifier of its own, fitted in the cluster on a bounded sample of the
+cell's rows. A query goes to the partitions that are most probable over both levels.
 
 Exact copies of a vector are one row of the search; every copy gets its neighbours back.
 
@@ -25,8 +31,14 @@ from pyspark.sql import functions as F
 
 from tessera.plans.runtime import cut_lineage, read_table
 
-#: Rows of a partition, the most partitions, and the bound of the sample the partitions are fitted on.
-ROWS, MOST_PARTITIONS, SAMPLE, SAMPLE_PER_PARTITION = 1500, 1024, 12_000, 32
+#: Rows of a partition, partitions told apart by one classifier, and the bound of the sample a classifier is fitted on.
+ROWS, FAN_OUT, SAMPLE, SAMPLE_PER_PARTITION = 1500, 256, 12_000, 32
+#: Numbers of a cell's partitions begin at its own number times this (more than any cell can have).
+CELL_SPAN = 1 << 20
+#: Bytes of classifiers sent to the executors at once; more cells are taken in several passes over the rows.
+ROUTER_BYTES = 64 << 20
+#: Bytes of rows compared in one task, about.
+TASK_BYTES = 64 << 20
 #: Partitions asked per query where only close pairs matter, and where all k neighbours do.
 CLOSE_PROBES, WIDE_PROBES = 4, 48
 INDEX_BLOCK, QUERY_BLOCK, AT_ONCE, EXACT_AT_ONCE = 4096, 16384, 512, 100_000
@@ -125,47 +137,139 @@ def distinct_vectors(df: DataFrame, k: int) -> DataFrame:
     return few.groupBy("h").agg(F.min("id").alias("id"), F.array_sort(F.collect_set("id")).alias("ids"), F.first("vec").alias("vec"))
 
 
-def search(base: DataFrame, dimensions: int, k: int, probes: int, least: float) -> DataFrame:
-    """base: id, vec, asks, one row per distinct vector. (id, other, similarity): the k best of each query row with similarity of at least `least`."""
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+def _best(z: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest of each row, in order."""
+    k = min(k, z.shape[1])
+    best = np.argpartition(-z, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(best, np.argsort(-np.take_along_axis(z, best, axis=1), axis=1, kind="stable"), axis=1)
+
+
+def _arrays(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """Rows of a matrix as an Arrow list column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)), pa.array(values.ravel(), kind))
+
+
+def _sampled(rows: DataFrame, total: int, wanted: int) -> DataFrame:
+    share = min(1.0, wanted * 1.1 / max(total, 1))
+    return rows.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < math.ceil(1_000_000 * share))
+
+
+def _vectors(batch_column: pa.Array, dimensions: int) -> np.ndarray:
+    x = batch_column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def routed_rows(base: DataFrame, dimensions: int, probes: int, total: int) -> DataFrame:
+    """base: id, vec, asks. (id, vec, asks, parts): unit vectors as bytes and their most probable partitions (one for a row that doesn't ask), best first."""
     spark = base.sparkSession
-    total = base.count()
-    if not total:
-        return spark.createDataFrame([], "id string, other string, similarity double")
-    parts = max(1, min(MOST_PARTITIONS, math.ceil(total / ROWS)))
-    wanted = max(SAMPLE, SAMPLE_PER_PARTITION * parts)
-    picked = base.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, wanted * 1.1 / max(total, 1)))).select("vec").limit(wanted)
-    sample = np.array([r[0] for r in picked.collect()], dtype=np.float32).reshape(-1, dimensions)
+    parts = max(1, math.ceil(total / ROWS))
+    cells = 1 if parts <= FAN_OUT else math.ceil(parts / FAN_OUT)
+    first = cells if cells > 1 else parts
+    wanted = max(SAMPLE, SAMPLE_PER_PARTITION * first)
+    sample = np.array([r[0] for r in _sampled(base, total, wanted).select("vec").limit(wanted).collect()], dtype=np.float32).reshape(-1, dimensions)
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    parts = max(1, min(parts, len(sample) // 8))
-    router = spark.sparkContext.broadcast(fit_router(sample, parts))
-    probes = min(probes, parts)
+    first = max(1, min(first, len(sample) // 8))
+    router = spark.sparkContext.broadcast(fit_router(sample, first))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = router.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions).astype(np.float32)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            z = x @ w + b
-            best = np.argpartition(-z, probes - 1, axis=1)[:, :probes]
-            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(z, best, axis=1), axis=1, kind="stable"), axis=1).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, best.size + 1, probes, dtype=np.int32)), pa.array(best.ravel()))
-            vec = pa.array([r.tobytes() for r in x], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), vec, lists, batch.column(2)], names=["id", "vec", "parts", "asks"])
-
-    routed = cut_lineage(base.select("id", "vec", "asks").mapInArrow(route, "id string, vec binary, parts array<int>, asks boolean"))
-    # sizes of the partitions, at most MOST_PARTITIONS rows; they set how a partition is cut into blocks
-    held = {r[0]: r[1] for r in routed.groupBy(F.col("parts")[0]).count().collect()}
-    asked = {r[0]: r[1] for r in routed.where("asks").select(F.explode("parts").alias("p")).groupBy("p").count().collect()}
-    blocks = F.create_map(*[F.lit(x) for p, n in held.items() for x in (p, math.ceil(n / INDEX_BLOCK))])
-    queries = F.create_map(*[F.lit(x) for p in range(parts) for x in (p, max(1, math.ceil(asked.get(p, 0) / QUERY_BLOCK)))])
+            if batch.num_rows:
+                x = _vectors(batch.column(1), dimensions)
+                z = _log_softmax(x @ w + b)
+                best = _best(z, probes)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2), _arrays(best, pa.int64()), _arrays(np.take_along_axis(z, best, axis=1), pa.float32())], names=["id", "vec", "asks", "parts", "odds"])
+
+    # every row is shown its most probable partitions; one that doesn't ask needs the first only
+    rows = base.select("id", "vec", "asks").mapInArrow(route, "id string, vec binary, asks boolean, parts array<long>, odds array<float>")
+    if cells == 1:
+        return cut_lineage(rows.withColumn("parts", F.when(F.col("asks"), F.col("parts")).otherwise(F.slice("parts", 1, 1))).drop("odds"))
+    rows = cut_lineage(rows)
+    return _routed_in_cells(rows, dimensions, probes, total)
+
+
+def _routed_in_cells(rows: DataFrame, dimensions: int, probes: int, total: int) -> DataFrame:
+    """The second level: rows with their most probable cells to their most probable partitions."""
+    spark = rows.sparkSession
+    own = F.col("parts")[0]
+    most = SAMPLE_PER_PARTITION * FAN_OUT
+    held = rows.select("id", "vec", own.alias("cell"))
+    sizes = held.groupBy("cell").agg(F.count("*").alias("n"))
+    # about SAMPLE_PER_PARTITION rows for each partition, and never more than twice a full cell's for one cell
+    kept = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("id"), "id"))
+    sample = _sampled(held, total, math.ceil(total / ROWS) * SAMPLE_PER_PARTITION).withColumn("k", kept).where(F.col("k") <= 2 * most).join(sizes, "cell")
+
+    def fit(table: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(table.column("vec").to_pylist()), dtype=np.float32).reshape(-1, dimensions)
+        wanted = math.ceil(table.column("n")[0].as_py() / ROWS)
+        w, b = fit_router(x, max(1, min(wanted, len(x) // 8)))
+        return pa.table({"cell": table.column("cell").slice(0, 1), "w": pa.array([w.astype(np.float32).tobytes()], pa.binary()), "b": pa.array([b.astype(np.float32).tobytes()], pa.binary())})
+
+    fitted = cut_lineage(sample.groupBy("cell").applyInArrow(fit, "cell long, w binary, b binary"))
+    size = fitted.agg(F.sum(F.length("w") + F.length("b"))).first()[0] or 0
+    passes = max(1, math.ceil(size / ROUTER_BYTES))
+    found = None
+    for turn in range(passes):
+        here = F.pmod(F.xxhash64("cell"), F.lit(passes)) == turn
+        sent = spark.sparkContext.broadcast({r[0]: (np.frombuffer(r[1], np.float32).reshape(dimensions, -1), np.frombuffer(r[2], np.float32)) for r in fitted.where(here).collect()})
+
+        def route(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.float32).reshape(-1, dimensions)
+                asks = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                cells = batch.column(3).flatten().to_numpy().reshape(len(x), -1)
+                odds = batch.column(4).flatten().to_numpy().reshape(len(x), -1)
+                part, score = np.full((len(x), probes), -1, np.int64), np.full((len(x), probes), -np.inf, np.float32)
+                for k in range(cells.shape[1]):
+                    for cell in np.unique(cells[:, k]):
+                        if int(cell) not in sent.value:
+                            continue
+                        who = np.flatnonzero((cells[:, k] == cell) & (asks | (k == 0)))
+                        w, b = sent.value[int(cell)]
+                        z = _log_softmax(x[who] @ w + b) + odds[who, k][:, None]
+                        best = _best(z, probes)
+                        both = np.concatenate([score[who], np.take_along_axis(z, best, axis=1)], axis=1)
+                        names = np.concatenate([part[who], cell * CELL_SPAN + best], axis=1)
+                        top = _best(both, probes)
+                        score[who], part[who] = np.take_along_axis(both, top, axis=1), np.take_along_axis(names, top, axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), _arrays(part, pa.int64()), _arrays(score, pa.float32())], names=["id", "vec", "asks", "parts", "odds"])
+
+        part = rows.mapInArrow(route, "id string, vec binary, asks boolean, parts array<long>, odds array<float>")
+        found = part if found is None else found.unionByName(part)
+    if passes > 1:  # the best of all passes; only ids and a few numbers are gathered
+        pairs = F.arrays_zip(F.col("odds").alias("odds"), F.col("parts").alias("parts"))
+        best = found.select("id", pairs.alias("p")).groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("p")), asc=False), 1, probes).alias("p"))
+        found = rows.select("id", "vec", "asks").join(best.select("id", F.col("p.parts").alias("parts")), "id")
+    known = F.filter("parts", lambda c: c >= 0)
+    return cut_lineage(found.select("id", "vec", "asks", F.when(F.col("asks"), known).otherwise(F.slice(known, 1, 1)).alias("parts")))
+
+
+def search(base: DataFrame, dimensions: int, k: int, probes: int, least: float) -> DataFrame:
+    """base: id, vec, asks, one row per distinct vector. (id, other, similarity): the k best of each query row with similarity of at least `least`."""
+    spark = base.sparkSession
+    total = base.count()
+    if not total:
+        return spark.createDataFrame([], "id string, other string, similarity double")
+    routed = routed_rows(base, dimensions, probes, total)
+    # how a partition is cut into blocks: a row a partition, joined
+    held = routed.groupBy(F.col("parts")[0].alias("p")).agg(F.ceil(F.count("*") / INDEX_BLOCK).cast("int").alias("blocks"))
+    asked = routed.where("asks").select(F.explode("parts").alias("p")).groupBy("p").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("queries"))
+    cut = cut_lineage(held.join(asked, "p", "left").withColumn("queries", F.coalesce("queries", F.lit(1))))
     hashed = F.xxhash64("id")
-    index = routed.select("id", "vec", F.col("parts")[0].alias("p"))
-    index = index.select("id", "vec", "p", F.pmod(hashed, blocks[F.col("p")]).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), queries[F.col("p")] - 1)).alias("q"), F.lit(False).alias("asks"))
-    asking = routed.where("asks").select("id", "vec", F.explode("parts").alias("p"))
-    asking = asking.where(blocks[F.col("p")].isNotNull())  # a partition may hold no row
-    asking = asking.select("id", "vec", "p", F.explode(F.sequence(F.lit(0), blocks[F.col("p")] - 1)).alias("i"), F.pmod(hashed, queries[F.col("p")]).cast("int").alias("q"), F.lit(True).alias("asks"))
+    index = routed.select("id", "vec", F.col("parts")[0].alias("p")).join(cut, "p")
+    index = index.select("id", "vec", "p", F.pmod(hashed, F.col("blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("queries") - 1)).alias("q"), F.lit(False).alias("asks"))
+    asking = routed.where("asks").select("id", "vec", F.explode("parts").alias("p")).join(cut, "p")  # a partition may hold no row
+    asking = asking.select("id", "vec", "p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.pmod(hashed, F.col("queries")).cast("int").alias("q"), F.lit(True).alias("asks"))
+    sums = cut.agg(F.sum(F.col("blocks").cast("long") * F.col("queries")).alias("n")).first()[0] or 1
+    size = (total + routed.where("asks").count() * probes) * (4 * dimensions + 60)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(sums), math.ceil(size / TASK_BYTES)))
 
     def compare(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
@@ -202,7 +306,7 @@ def search(base: DataFrame, dimensions: int, k: int, probes: int, least: float)
         join = lambda v, kind: pa.array(np.concatenate(v) if v else [], kind)
         return pa.table({"id": join(who, pa.string()), "other": join(other, pa.string()), "similarity": join(score, pa.float64())})
 
-    found = index.unionByName(asking).groupBy("p", "i", "q").applyInArrow(compare, "id string, other string, similarity double")
+    found = index.unionByName(asking).repartition(tasks, "p", "i", "q").groupBy("p", "i", "q").applyInArrow(compare, "id string, other string, similarity double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
     return found.withColumn("n", rank).where(F.col("n") <= k).drop("n")
 

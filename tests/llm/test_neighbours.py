@@ -75,3 +75,24 @@ def test_query_condition_with_copies(spark):
     for r in N.most_similar(table(spark, ["a", "b", "c", "d", "e"], x), 2, k=2, query=lambda c: c.isin("b", "d")).collect():
         got.setdefault(r.id, set()).add(r.other)
     assert got == {"b": {"a", "c"}, "d": {"e", "c"}}
+
+
+def test_two_levels(spark, monkeypatch):
+    """Far more partitions than one classifier tells apart: cells first, then partitions inside the cells, in one pass and in several."""
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((150, 16))
+    x = (centres[rng.integers(0, 150, 3000)] + 0.5 * rng.standard_normal((3000, 16))).astype(np.float32)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = (u @ u.T).astype(float)
+    np.fill_diagonal(s, -9)
+    df = spark.createDataFrame([(f"v{i:04d}", [float(e) for e in r]) for i, r in enumerate(x)], "id string, vec array<float>")
+    monkeypatch.setattr(N, "ROWS", 60)
+    monkeypatch.setattr(N, "FAN_OUT", 8)
+    for size in (N.ROUTER_BYTES, 2000):
+        monkeypatch.setattr(N, "ROUTER_BYTES", size)
+        got = {}
+        for r in N.most_similar(df, 16, k=5, probes=8).collect():
+            got.setdefault(int(r.id[1:]), set()).add(int(r.other[1:]))
+        assert len(got) == 3000 and all(len(v) == 5 for v in got.values())
+        want = np.argsort(-s, axis=1)[:, :5]
+        assert np.mean([len(got[i] & set(want[i])) / 5 for i in range(3000)]) > 0.9
