@@ -117,12 +117,14 @@ def _sql(select: str) -> str:
     return f"""
         WITH rows AS (SELECT DISTINCT 'chunk' AS kind, '' AS scope, chunk_id AS id, text FROM chunks WHERE text IS NOT NULL
                       UNION SELECT DISTINCT 'term', concept_id, term_id, text FROM terms WHERE text IS NOT NULL),
-        forms AS (SELECT *, nfc_normalize({checks.same('text')}) AS form FROM rows)
+        mapped AS (SELECT *, {checks.same('text')} AS plain FROM rows), forms AS (SELECT *, nfc_normalize(plain) AS form FROM mapped)
         {select}"""
 
 
 QUERIES = {"p2_found": p2_found, "p2_forms": p2_forms}
 ORACLE = {
     "p2_found": _sql("""SELECT DISTINCT least(a.id, b.id) AS left_id, greatest(a.id, b.id) AS right_id FROM forms a JOIN forms b
-        ON a.kind = b.kind AND a.scope = b.scope AND a.form = b.form AND a.text <> b.text AND a.id <> b.id WHERE trim(translate(a.form, chr(10) || chr(13), '  ')) <> ''""")
+        ON a.kind = b.kind AND a.scope = b.scope AND a.form = b.form AND a.text <> b.text AND a.id <> b.id WHERE trim(translate(a.form, chr(10) || chr(13), '  ')) <> ''"""),
+    "p2_forms": _sql("""SELECT kind, id, text AS stored, arg_min(text, (text <> plain, length(text), text)) OVER w AS canonical FROM forms WHERE trim(translate(form, chr(10) || chr(13), '  ')) <> '' AND id IS NOT NULL AND scope IS NOT NULL
+        WINDOW w AS (PARTITION BY kind, scope, form) QUALIFY min(text) OVER w <> max(text) OVER w"""),
 }

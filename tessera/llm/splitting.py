@@ -18,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import CJK, WORD, estimate_tokens, exceeds_tokens
 from tessera.llm.chunks import latest
+from tessera.plans import sql
 from tessera.plans.runtime import read_table, spread
 
 TARGET, MAXIMUM, OVERLAP = 420, 650, 70
@@ -188,8 +189,19 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_all(latest(read_table(spark, sf_dir, "chunks"), "chunk_id", "text"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces}
+def p3_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text put together again from its pieces without their overlaps, as a hash; whether all pieces are within the limits."""
+    pieces = p3_pieces(spark, sf_dir)
+    order = Window.partitionBy("chunk_id").orderBy("split_part")
+    own = F.substring("text", F.greatest(F.lag("end_pos", 1, 0).over(order) - F.col("start_pos"), F.lit(0)) + 1, F.length("text"))
+    held = pieces.withColumn("own", own).groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("split_part", "own"))).alias("p"), F.max("estimated_tokens").alias("most"), F.max("overlap_tokens").alias("overlap"))
+    whole = F.array_join(F.transform("p", lambda s: s["own"]), "")
+    return held.select("chunk_id", F.sha2(whole, 256).alias("text_hash"), ((F.col("most") <= MAXIMUM) & (F.col("overlap") <= OVERLAP)).alias("within"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p3_rebuilt": p3_rebuilt}
 ORACLE = {
+    "p3_rebuilt": f"WITH {sql.CHUNKS} SELECT chunk_id, sha256(text) AS text_hash, true AS within FROM c WHERE text IS NOT NULL",
     "p3_found": r"""
         SELECT DISTINCT chunk_id FROM chunks WHERE text IS NOT NULL AND ceil(
             len(regexp_extract_all(text, '[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]'))
