@@ -110,7 +110,29 @@ def _safe(x: str) -> str:
 _FILE = f"printf('p%04d_c%03d_', page, chunk_index) || {_safe("coalesce(section_id, 'no-section')")} || CASE WHEN split_part > 1 THEN printf('_part-%02d', split_part::INT) ELSE '' END || '.md'"
 _TEXTS = ("chunk_id", "source_file", "document_sha256", "section_id", "section_title", "section_path", "chunking_method")
 _FRONT = " || '\n' || ".join(f"'{k}: ' || coalesce({f'to_json({c})::VARCHAR' if c in _TEXTS else f'{c}::VARCHAR'}, 'null')" for k, c in files.FRONT.items())
+#: CTE un (doc, page, unit, ...): the units between headings and page starts, by windows over whole documents.
+_LEVELS = range(1, 7)
+_AFFECTED = {k: f"(chapter OR (section AND level <= {k}) OR (adopts AND open_level = {k}))" for k in _LEVELS}
+_VALUES = {k: f"CASE WHEN adopts AND open_level = {k} THEN open || ' ' || line WHEN section AND level = {k} AND title IS NOT NULL THEN sid || ' ' || title END" for k in _LEVELS}
+_BLANK = f"""NOT (right(before, 1) = '-' OR (regexp_matches(right(before, 1), '[{_C.CJK}]') AND regexp_matches(left(line, 1), '[{_C.CJK}]')) OR right(before, 1) IN ('（', '(', '[', '/')
+            OR left(line, 1) IN ('，', '。', '；', '：', '、', '！', '？', ',', '.', '!', '?', ';', ':', ')', ']', '）', '/'))"""
+_UNITS = f"""{_C.LINES}, {_REPEATED}, l2 AS (SELECT doc, page, (row_number() OVER (PARTITION BY doc, page ORDER BY n))::INT AS n, line FROM z LEFT JOIN rep USING (doc, key)
+        WHERE NOT (margin AND (pages IS NOT NULL OR regexp_matches(line, '(?i)^(?:page[{_C.SPACE}]+)?[0-9]+$')))),
+    u1 AS (SELECT *, regexp_matches(line, '{_C.CHAPTER}') AS chapter, regexp_matches(line, '{_C.SECTION}') AS sec FROM l2), u2 AS (SELECT *, sec AND NOT chapter AS section, sec OR chapter OR regexp_matches(line, '{_C.LIST_ITEM}') AS structural FROM u1),
+    u3 AS (SELECT *, chapter OR section AS heading, CASE WHEN section THEN rtrim(regexp_extract(line, '{_C.SECTION}', 1), '.') END AS sid, CASE WHEN section THEN nullif(trim(regexp_extract(line, '{_C.SECTION}', 2)), '') END AS title FROM u2),
+    u4 AS (SELECT *, len(sid) - len(replace(sid, '.', '')) + 1 AS level, count(*) FILTER (heading) OVER (PARTITION BY doc ORDER BY page, n) AS hg, (count(*) FILTER (heading OR n = 1) OVER (PARTITION BY doc, page ORDER BY n))::BIGINT AS unit FROM u3),
+    u5 AS (SELECT *, max(CASE WHEN heading THEN sid END) OVER (PARTITION BY doc, hg) AS open, row_number() OVER k AS place, first_value(title) OVER k AS unit_title, first_value(chapter) OVER k AS of_chapter, lag(line) OVER k AS before FROM u4 WINDOW k AS (PARTITION BY doc, page, unit ORDER BY n)),
+    u6 AS (SELECT *, len(open) - len(replace(open, '.', '')) + 1 AS open_level FROM u5),
+    u7 AS (SELECT *, NOT structural AND place = 2 AND open IS NOT NULL AND open_level <= 2 AND unit_title IS NULL AND NOT of_chapter AND length(line) <= 120 AND NOT regexp_matches(line, '[。！？.!?]$') AS adopts FROM u6),
+    u8 AS (SELECT *, count(*) FILTER (chapter) OVER d AS g0, {', '.join(f'count(*) FILTER ({_AFFECTED[k]}) OVER d AS g{k}' for k in _LEVELS)} FROM u7 WINDOW d AS (PARTITION BY doc ORDER BY page, n)),
+    u9 AS (SELECT *, max(CASE WHEN chapter THEN line END) OVER (PARTITION BY doc, g0) AS t0, {', '.join(f'max({_VALUES[k]}) OVER (PARTITION BY doc, g{k}) AS t{k}' for k in _LEVELS)},
+        CASE WHEN place = 1 THEN '' WHEN structural THEN chr(10) WHEN {_BLANK} THEN ' ' ELSE '' END || line AS piece FROM u8),
+    u10 AS (SELECT doc, page, unit, arg_min(heading, n) AS heading, arg_min(chapter, n) AS chapter, max(CASE WHEN place = 1 THEN open END) AS section_id, max(CASE WHEN place = 1 THEN open_level END) AS level, max(CASE WHEN place = 1 THEN title END) AS title, arg_min(line, n) AS head,
+        max(CASE WHEN adopts THEN line END) AS adopted, {', '.join(f'max(CASE WHEN place = 1 THEN t{k} END) AS t{k}' for k in range(7))}, min(n) AS start_line, max(n) AS end_line, string_agg(piece, '' ORDER BY n) AS text FROM u9 GROUP BY doc, page, unit),
+    un AS (SELECT doc, page, unit, section_id, CASE WHEN chapter THEN head ELSE coalesce(adopted, title) END AS section_title,
+        CASE WHEN chapter THEN head ELSE nullif(concat_ws(' > ', t0, {', '.join(f'CASE WHEN CASE WHEN heading OR adopted IS NOT NULL THEN level ELSE 99 END > {k} THEN t{k} END' for k in _LEVELS)}), '') END AS section_path, trim(text) AS text, start_line, end_line FROM u10)"""
 ORACLE = {
+    "section_units": f"WITH {_UNITS} SELECT doc, page, unit, section_id, section_title, section_path, text, start_line, end_line FROM un",
     "token_estimate": f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN {_C.tokens('text')} END AS tokens FROM documents",
     "chunk_tokens": f"WITH {_C.CHUNKS}, e AS (SELECT *, CASE WHEN retrieval_text IS NOT NULL THEN {_C.tokens('retrieval_text')} END AS tokens FROM c) SELECT chunk_id, tokens, tokens = estimated_tokens AS as_stored FROM e",
     "clean_lines": f"WITH {_C.LINES} SELECT doc, page, n, line FROM l",
