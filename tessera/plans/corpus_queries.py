@@ -131,7 +131,43 @@ _UNITS = f"""{_C.LINES}, {_REPEATED}, l2 AS (SELECT doc, page, (row_number() OVE
         max(CASE WHEN adopts THEN line END) AS adopted, {', '.join(f'max(CASE WHEN place = 1 THEN t{k} END) AS t{k}' for k in range(7))}, min(n) AS start_line, max(n) AS end_line, string_agg(piece, '' ORDER BY n) AS text FROM u9 GROUP BY doc, page, unit),
     un AS (SELECT doc, page, unit, section_id, CASE WHEN chapter THEN head ELSE coalesce(adopted, title) END AS section_title,
         CASE WHEN chapter THEN head ELSE nullif(concat_ws(' > ', t0, {', '.join(f'CASE WHEN CASE WHEN heading OR adopted IS NOT NULL THEN level ELSE 99 END > {k} THEN t{k} END' for k in _LEVELS)}), '') END AS section_path, trim(text) AS text, start_line, end_line FROM u10)"""
+
+
+def _bare(x: str) -> str:
+    return f"regexp_replace({x}, '^[{_C.SPACE}]+|[{_C.SPACE}]+$', '', 'g')"
+
+
+def _parts(source: str) -> str:
+    """CTEs that end in parts (k, part, body): the rows of source (k, body) above the limit cut into sentences and packed one segment after another."""
+    tokens = _C.tokens
+    return rf"""big AS (SELECT k, body FROM {source} WHERE {tokens('body')} > 650), ln AS (SELECT k, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS li FROM (SELECT k, regexp_split_to_array(body, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS x FROM big)),
+    sp AS (SELECT k, li, string_split(regexp_replace(regexp_replace({_bare('line')}, '([.!?;])[{_C.SPACE}]+([A-Z0-9(])', '\1' || chr(1) || '\2', 'g'), '([。！？；!?;])', '\1' || chr(1), 'g'), chr(1)) AS x FROM ln),
+    sx AS (SELECT k, li, unnest(range(1, len(x) + 1)) AS si, unnest(x) AS raw FROM sp), sg AS (SELECT k, li, si, {_bare('raw')} AS seg FROM sx),
+    hs AS (SELECT k, li, si, 0 AS h, '' AS piece, seg AS rest FROM sg WHERE seg <> '' UNION ALL SELECT k, li, si, h + 1, {_bare('substr(rest, 1, e)')}, {_bare('substr(rest, e + 1)')} FROM (
+        SELECT *, CASE WHEN tk <= 650 THEN length(rest) WHEN m > 0 THEN zs + m ELSE goal END AS e FROM (SELECT *, length(regexp_extract(substr(rest, zs + 1, goal - zs + 1), '(?s)^.*[。；;.，, ]')) AS m FROM (
+        SELECT *, greatest(1, floor(goal * 0.7::DOUBLE)::INT) AS zs FROM (SELECT *, greatest(80, floor(length(rest) * (650::DOUBLE / tk))::INT) AS goal FROM (SELECT *, {tokens('rest')} AS tk FROM hs WHERE rest <> '')))))),
+    sq AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY li, si, h) AS i, piece AS t, {tokens('piece')} AS s FROM hs WHERE piece <> ''), cn AS (SELECT k, max(i) AS n FROM sq GROUP BY k),
+    pk AS (SELECT k, 0::BIGINT AS i, []::VARCHAR[] AS ct, []::INT[] AS cs, []::VARCHAR[] AS em FROM cn UNION ALL SELECT k, i, CASE WHEN list_sum(ns) >= 420 THEN [] ELSE nt END, CASE WHEN list_sum(ns) >= 420 THEN [] ELSE ns END,
+            list_concat(CASE WHEN over THEN [array_to_string(ct, chr(10))] ELSE [] END, CASE WHEN list_sum(ns) >= 420 THEN [array_to_string(nt, chr(10))] ELSE [] END)
+        FROM (SELECT k, i, ct, over, list_append(CASE WHEN over THEN list_slice(ct, -keep, -1) ELSE ct END, t) AS nt, list_append(CASE WHEN over THEN list_slice(cs, -keep, -1) ELSE cs END, s) AS ns
+        FROM (SELECT pk.k, pk.i + 1 AS i, ct, cs, t, s, len(cs) > 0 AND coalesce(list_sum(cs), 0) + s > 650 AS over, greatest(1, len(list_filter(range(1, len(cs) + 1), lambda m: list_sum(list_slice(cs, -m, -1)) <= 70))) AS keep FROM pk JOIN sq ON sq.k = pk.k AND sq.i = pk.i + 1))),
+    ot AS (SELECT k, i, unnest(range(1, len(em) + 1)) AS j, unnest(em) AS body FROM pk UNION ALL SELECT k, i + 1, 1, array_to_string(ct, chr(10)) FROM pk JOIN cn USING (k) WHERE i = n AND len(ct) > 0),
+    parts AS (SELECT k, (row_number() OVER (PARTITION BY k ORDER BY i, j))::INT AS part, body FROM ot UNION ALL SELECT k, 1, body FROM {source} WHERE {tokens('body')} <= 650)"""
+
+
+_CHUNKED = rf"""WITH RECURSIVE {_UNITS}, src AS (SELECT doc || chr(1) || page || chr(1) || unit AS k, text AS body FROM un WHERE text <> '' AND NOT regexp_matches(text, '{_C.CHAPTER}')
+        AND NOT (regexp_matches(text, '{_C.SECTION}') AND NOT contains(text, chr(10)) AND {_C.tokens('text')} <= 35 AND NOT regexp_matches(text, '(?i)\b(?:must|should|required)\b|應|須|不得|禁止'))), {_parts('src')},
+    fl AS (SELECT doc, page, coalesce(bool_or(n <= 20 AND (contains(replace(lower(line), 'ß', 'ss'), '目錄') OR regexp_matches(replace(lower(line), 'ß', 'ss'), '\bcontents\b'))), false) OR count(*) FILTER (contains(line, '...') OR contains(line, '……')) >= 3 AS seed,
+        count(*) FILTER (regexp_matches(line, '{_C.SECTION}')) >= 4 AND sum(length(line)) / count(*) <= 55 AS likely FROM l2 GROUP BY doc, page), fg AS (SELECT doc, page, coalesce(seed, false) AS seed, coalesce(likely, false) AS likely FROM (SELECT DISTINCT doc, page FROM p) LEFT JOIN fl USING (doc, page)),
+    fr AS (SELECT doc, page, seed AS contents FROM fg WHERE page = 1 UNION ALL SELECT fg.doc, fg.page, fg.seed OR (fr.contents AND fg.likely) FROM fr JOIN fg ON fg.doc = fr.doc AND fg.page = fr.page + 1),
+    ck AS (SELECT doc, page, unit, part, body, section_id, section_title, section_path, start_line, end_line, (row_number() OVER (PARTITION BY doc, page ORDER BY unit, part))::INT AS chunk_index,
+        CASE WHEN section_path IS NOT NULL AND section_title IS NOT NULL AND section_path <> section_title THEN section_path || ' > ' || section_title ELSE coalesce(section_path, section_title, '') END AS context FROM parts JOIN un ON k = doc || chr(1) || page || chr(1) || unit),
+    rt AS (SELECT *, CASE WHEN context <> '' AND NOT contains(body, context) THEN context || chr(10) || body ELSE body END AS retrieval, regexp_replace(doc, '\.[^.]*$', '') AS stem FROM ck)
+    SELECT stem || '_p' || page || '_c' || chunk_index AS chunk_id, stem || '_p' || page AS page_id, doc AS source_file, page, chunk_index, body AS text, retrieval AS retrieval_text, length(body)::INT AS text_length, {_C.tokens('retrieval')} AS estimated_tokens,
+        section_id, section_title, section_path, contents AS is_table_of_contents, start_line, end_line, part AS split_part, 'regulatory_section_v1' AS chunking_method FROM rt JOIN fr USING (doc, page)"""
 ORACLE = {
+    "budget_split": f"WITH RECURSIVE src AS (SELECT doc_id AS k, text AS body FROM documents WHERE text IS NOT NULL), {_parts('src')} SELECT k AS doc_id, part, length(body)::INT AS length, {_C.tokens('body')} AS tokens FROM parts",
+    "section_chunks": _CHUNKED,
     "section_units": f"WITH {_UNITS} SELECT doc, page, unit, section_id, section_title, section_path, text, start_line, end_line FROM un",
     "token_estimate": f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN {_C.tokens('text')} END AS tokens FROM documents",
     "chunk_tokens": f"WITH {_C.CHUNKS}, e AS (SELECT *, CASE WHEN retrieval_text IS NOT NULL THEN {_C.tokens('retrieval_text')} END AS tokens FROM c) SELECT chunk_id, tokens, tokens = estimated_tokens AS as_stored FROM e",
