@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if named:
         sc.setCheckpointDir(named)
     elif sc.master == "local" or sc.master.startswith("local["):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        folder = tempfile.mkdtemp(prefix="tessera-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     else:
         raise ValueError("spark.checkpoint.dir is not set; name a folder that all executors share")
 

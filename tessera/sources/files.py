@@ -82,11 +82,17 @@ def export_markdown(chunks: DataFrame, folder: str, overwrite: bool = False) ->
     if os.path.isdir(folder) and os.listdir(folder) and not overwrite:
         raise FileExistsError(f"{folder} is not empty")
 
+    written = chunks.sparkSession.sparkContext.accumulator(0)
+
     def write(rows) -> None:
         for r in rows:
+            written.add(1)
             place = os.path.join(folder, r.document)
             os.makedirs(place, exist_ok=True)
             with open(os.path.join(place, r.file_name), "w", encoding="utf-8") as f:
                 f.write(r.content)
 
     markdown(chunks).foreachPartition(write)
+    seen = sum(len(names) for _, _, names in os.walk(folder))
+    if seen < written.value:  # (a task that ran twice writes the same files again and counts them again)
+        raise OSError(f"{written.value} files were written and {seen} are in {folder}; it must be a folder that all executors and the driver share")
