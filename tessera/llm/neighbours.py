@@ -37,6 +37,8 @@ ROWS, FAN_OUT, SAMPLE, SAMPLE_PER_PARTITION = 1500, 256, 12_000, 32
 CELL_SPAN = 1 << 20
 #: Bytes of classifiers sent to the executors at once; more cells are taken in several passes over the rows.
 ROUTER_BYTES = 64 << 20
+#: Partitions up to this many (16 bytes each) are broadcast with their numbers of blocks; beyond it the join shuffles.
+BROADCAST_PARTITIONS = 500_000
 #: Bytes of rows compared in one task, about.
 TASK_BYTES = 64 << 20
 #: Partitions asked per query where only close pairs matter, and where all k neighbours do.
@@ -262,14 +264,16 @@ def search(base: DataFrame, dimensions: int, k: int, probes: int, least: float)
     held = routed.groupBy(F.col("parts")[0].alias("p")).agg(F.ceil(F.count("*") / INDEX_BLOCK).cast("int").alias("blocks"))
     asked = routed.where("asks").select(F.explode("parts").alias("p")).groupBy("p").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("queries"))
     cut = cut_lineage(held.join(asked, "p", "left").withColumn("queries", F.coalesce("queries", F.lit(1))))
+    shape = cut.agg(F.count("*").alias("parts"), F.sum(F.col("blocks").cast("long") * F.col("queries")).alias("n")).first()
+    if shape["parts"] <= BROADCAST_PARTITIONS:
+        cut = F.broadcast(cut)
     hashed = F.xxhash64("id")
     index = routed.select("id", "vec", F.col("parts")[0].alias("p")).join(cut, "p")
     index = index.select("id", "vec", "p", F.pmod(hashed, F.col("blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("queries") - 1)).alias("q"), F.lit(False).alias("asks"))
     asking = routed.where("asks").select("id", "vec", F.explode("parts").alias("p")).join(cut, "p")  # a partition may hold no row
     asking = asking.select("id", "vec", "p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.pmod(hashed, F.col("queries")).cast("int").alias("q"), F.lit(True).alias("asks"))
-    sums = cut.agg(F.sum(F.col("blocks").cast("long") * F.col("queries")).alias("n")).first()[0] or 1
     size = (total + routed.where("asks").count() * probes) * (4 * dimensions + 60)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(sums), math.ceil(size / TASK_BYTES)))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(shape["n"]), math.ceil(size / TASK_BYTES)))
 
     def compare(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
