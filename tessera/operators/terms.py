@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,23 +54,15 @@ def display_form(original: Column, normalized: Column) -> Column:
     return F.when(plain.rlike("^[A-Z][A-Z0-9-]{1,10}$"), plain).otherwise(normalized)
 
 
-def _runs(texts: DataFrame, key: list[str], parts: Column, stop: Column, sizes: int, glue: str) -> DataFrame:
-    """(key, original): n-grams of the words between stop words. All in arrays of one row, so nothing is shuffled.
+def _runs(parts: Column, stop: Callable[[Column], Column], sizes: int, glue: str) -> Column:
+    """All n-grams of the words between stop words, as one array of a row, so nothing is shuffled.
 
-    parts: array of word arrays, one per segment; stop: a boolean of a word.
+    parts: array of word arrays, one per segment; stop: a boolean of a word. A stop word is a blank that splits the joined words.
     """
-    # the words of a segment in runs: a stop word is a blank that splits the joined words
-    return texts.select(*key, F.explode(parts).alias("words")).where(F.size("words") > 0).select(
-        *key,
-        F.explode(
-            F.flatten(
-                F.transform(
-                    F.split(F.array_join(F.transform("words", lambda w: F.when(stop(w), F.lit("\x02")).otherwise(w)), "\x01"), "\x01?\x02\x01?"),
-                    lambda run: F.when(run == "", F.array().cast("array<string>")).otherwise(_grams(F.split(run, "\x01"), sizes, glue)),
-                )
-            )
-        ).alias("original"),
-    )
+    none = F.array().cast("array<string>")
+    of_run = lambda run: F.when(run == "", none).otherwise(_grams(F.split(run, "\x01"), sizes, glue))
+    joined = lambda words: F.array_join(F.transform(words, lambda w: F.when(stop(w), F.lit("\x02")).otherwise(w)), "\x01")
+    return F.flatten(F.transform(F.filter(parts, lambda words: F.size(words) > 0), lambda words: F.flatten(F.transform(F.split(joined(words), "\x01?\x02\x01?"), of_run))))
 
 
 def _grams(words: Column, sizes: int, glue: str) -> Column:
@@ -79,27 +73,50 @@ def _grams(words: Column, sizes: int, glue: str) -> Column:
     return F.array_compact(F.flatten(F.array(*map(of_size, range(1, sizes + 1)))))
 
 
-def candidates(texts: DataFrame, key: list[str], text: str, segmenter=None) -> DataFrame:
-    """(key, term, display, n): counted term candidates of each text, English and Chinese.
-
-    segmenter: cuts a pandas Series of ideograph runs into lists of words; without it runs are cut into pairs in the JVM.
-    """
+def _candidate_grams(texts: DataFrame, key: list[str], text: str, segmenter=None) -> DataFrame:
+    """(key, g): the n-grams of each row as they are spelt, English and Chinese, in one array."""
     value = F.coalesce(F.col(text), F.lit(""))
     segments = F.transform(F.split(value, SEGMENT_ENDS), lambda s: F.regexp_extract_all(s, F.lit(f"({ENGLISH_WORD})"), 1))
-    english = _runs(texts, key, segments, lambda w: F.lower(w).isin(*ENGLISH_STOPWORDS), ENGLISH_SIZES, " ")
     runs = F.regexp_extract_all(value, F.lit(f"([{CJK}]{{2,}})"), 1)
     if segmenter is None:  # pairs, in the JVM
         words = F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r), F.lit(2)), lambda i: F.substring(r, i, F.lit(2))))
     else:
         cut = F.pandas_udf(lambda s: s.map(lambda rs: [list(w) for w in segmenter(pd.Series(list(rs)))]), ArrayType(ArrayType(StringType())))
         words = cut(runs)
-    chinese = _runs(texts, key, words, lambda w: w.isin(*CHINESE_STOPWORDS), CHINESE_SIZES, "")
+    rows = texts.select(*key, segments.alias("_s"), words.alias("_w"))
+    english = _runs(F.col("_s"), lambda w: F.lower(w).isin(*ENGLISH_STOPWORDS), ENGLISH_SIZES, " ")
+    return rows.select(*key, F.concat(english, _runs(F.col("_w"), lambda w: w.isin(*CHINESE_STOPWORDS), CHINESE_SIZES, "")).alias("g"))
+
+
+def _named(counted: DataFrame) -> DataFrame:
+    """Adds term and display to counted spellings (original), valid ones only. They hold words and ideographs only, so normalising is lower case."""
+    named = counted.withColumn("term", F.lower("original")).where(valid_candidate(F.col("term")))
+    return named.withColumn("display", display_form(F.col("original"), F.col("term")))
+
+
+def candidates(texts: DataFrame, key: list[str], text: str, segmenter=None) -> DataFrame:
+    """(key, term, display, n): counted term candidates of each text, English and Chinese.
+
+    segmenter: cuts a pandas Series of ideograph runs into lists of words; without it runs are cut into pairs in the JVM.
+    """
+    grams = _candidate_grams(texts, key, text, segmenter)
     # equal spellings are counted before they are normalised
-    counted = english.unionByName(chinese).groupBy(*key, "original").agg(F.count("*").alias("n"))
-    # words and ideographs only, so normalising is lower case
-    term = F.regexp_replace(F.lower(F.regexp_replace("original", f"[^A-Za-z0-9{CJK}' -]+", " ")), "^[-' ]+|[-' ]+$", "")
-    counted = counted.withColumn("term", term).where(valid_candidate(F.col("term")))
-    return counted.select(*key, "term", display_form(F.col("original"), F.col("term")).alias("display"), "n")
+    counted = grams.select(*key, F.explode("g").alias("original")).groupBy(*key, "original").agg(F.count("*").alias("n"))
+    return _named(counted).select(*key, "term", "display", "n")
+
+
+def candidate_table(texts: DataFrame, group: str, text: str) -> DataFrame:
+    """texts: one row per chunk. (group, term, display, n, chunks): spellings summed by group, and in how many chunks a term is (on one of its spellings).
+
+    Both are summed in each task before the exchange, so no candidate of a single text is shuffled or written.
+    """
+    grams = _candidate_grams(texts, [group], text)
+    counted = cut_lineage(_named(grams.select(group, F.explode("g").alias("original")).groupBy(group, "original").agg(F.count("*").alias("n"))).groupBy(group, "term", "display").agg(F.sum("n").alias("n")))
+    once = F.array_distinct(F.transform(F.array_distinct("g"), F.lower))
+    held = grams.select(group, F.explode(once).alias("term")).groupBy(group, "term").agg(F.count("*").alias("chunks"))
+    first = F.row_number().over(Window.partitionBy(group, "term").orderBy("display"))
+    out = counted.withColumn("k", first).join(held, [group, "term"])
+    return out.select(group, "term", "display", "n", F.when(F.col("k") == 1, F.col("chunks")).otherwise(0).alias("chunks"))
 
 
 def heading_candidates(chunks: DataFrame, key: list[str]) -> DataFrame:
@@ -114,13 +131,17 @@ def heading_candidates(chunks: DataFrame, key: list[str]) -> DataFrame:
     return whole.unionByName(grams)
 
 
-def cluster_terms(counts: DataFrame, group: str, chunk: str, headings: DataFrame | None = None, least_chunks: int = 2) -> DataFrame:
-    """counts: group, chunk, term, display, n. Scored terms of each group, best first (rank).
+def cluster_terms(counts: DataFrame, group: str, chunk: str | None, headings: DataFrame | None = None, least_chunks: int = 2) -> DataFrame:
+    """counts: group, chunk, term, display, n; with chunk None a candidate_table. Scored terms of each group, best first (rank).
 
     The counts are summed per (group, term) once and kept; all further numbers come from that small table.
     """
-    per_chunk = counts.groupBy(group, chunk, "term").agg(F.sum("n").alias("n"))
-    table = per_chunk.groupBy(group, "term").agg(F.sum("n").alias("frequency"), F.count("*").alias("chunk_frequency"))
+    if chunk is None:
+        counts = cut_lineage(counts)
+        table = counts.groupBy(group, "term").agg(F.sum("n").alias("frequency"), F.sum("chunks").alias("chunk_frequency"))
+    else:
+        per_chunk = counts.groupBy(group, chunk, "term").agg(F.sum("n").alias("n"))
+        table = per_chunk.groupBy(group, "term").agg(F.sum("n").alias("frequency"), F.count("*").alias("chunk_frequency"))
     forms = counts.groupBy(group, "term", "display").agg(F.sum("n").alias("k")).groupBy("term", "display").agg(F.sum("k").alias("k"))
     shown = forms.groupBy("term").agg(F.max_by("display", F.struct("k", "display")).alias("text"))
     table = cut_lineage(table)

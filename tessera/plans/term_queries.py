@@ -54,8 +54,7 @@ def heading_candidates(spark: SparkSession, d: str) -> DataFrame:
 def cluster_terms(spark: SparkSession, d: str) -> DataFrame:
     """Scored terms by language of the documents as the given clusters."""
     rows = read_table(spark, d, "documents").where("text IS NOT NULL").select(F.coalesce("lang", F.lit("none")).alias("cluster"), "doc_id", "text")
-    counts = cut_lineage(T.candidates(spread(rows), ["cluster", "doc_id"], "text"))
-    return T.cluster_terms(counts, "cluster", "doc_id").select("cluster", "term", F.round("score", 6).alias("score"), "frequency", "chunk_frequency", "language")
+    return T.cluster_terms(T.candidate_table(spread(rows), "cluster", "text"), "cluster", None).select("cluster", "term", F.round("score", 6).alias("score"), "frequency", "chunk_frequency", "language")
 
 
 def diverse_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -86,8 +85,7 @@ def name_mentions(spark: SparkSession, d: str) -> DataFrame:
 def _mined(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Mentions of the 12 best terms of each language of the documents, and these terms as nodes."""
     rows = read_table(spark, d, "documents").where("text IS NOT NULL").select(F.coalesce("lang", F.lit("none")).alias("cluster"), "doc_id", "text")
-    counts = cut_lineage(T.candidates(spread(rows), ["cluster", "doc_id"], "text"))
-    best = T.cluster_terms(counts, "cluster", "doc_id").where(F.col("rank") <= T.TERMS)
+    best = T.cluster_terms(T.candidate_table(spread(rows), "cluster", "text"), "cluster", None).where(F.col("rank") <= T.TERMS)
     own = cut_lineage(best.select(F.concat_ws("|", "cluster", "term").alias("term_id"), F.col("cluster").alias("concept_id"), F.col("term").alias("text"), X.match_type(F.col("term"), F.col("language")).alias("match_type"), F.col("score").alias("evidence_weight")))
     return T.mentions(tables.chunks(spark, d, "text", "retrieval_text"), own.select("term_id", "text", "match_type")), own
 
