@@ -74,7 +74,7 @@ def _grams(words: Column, sizes: int, glue: str) -> Column:
 
 
 def _candidate_grams(texts: DataFrame, key: list[str], text: str, segmenter=None) -> DataFrame:
-    """(key, g): the n-grams of each row as they are spelt, English and Chinese, in one array."""
+    """(key, _grams): the n-grams of each row as they are spelt, English and Chinese, in one array."""
     value = F.coalesce(F.col(text), F.lit(""))
     segments = F.transform(F.split(value, SEGMENT_ENDS), lambda s: F.regexp_extract_all(s, F.lit(f"({ENGLISH_WORD})"), 1))
     runs = F.regexp_extract_all(value, F.lit(f"([{CJK}]{{2,}})"), 1)
@@ -85,7 +85,7 @@ def _candidate_grams(texts: DataFrame, key: list[str], text: str, segmenter=None
         words = cut(runs)
     rows = texts.select(*key, segments.alias("_s"), words.alias("_w"))
     english = _runs(F.col("_s"), lambda w: F.lower(w).isin(*ENGLISH_STOPWORDS), ENGLISH_SIZES, " ")
-    return rows.select(*key, F.concat(english, _runs(F.col("_w"), lambda w: w.isin(*CHINESE_STOPWORDS), CHINESE_SIZES, "")).alias("g"))
+    return rows.select(*key, F.concat(english, _runs(F.col("_w"), lambda w: w.isin(*CHINESE_STOPWORDS), CHINESE_SIZES, "")).alias("_grams"))
 
 
 def _named(counted: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def candidates(texts: DataFrame, key: list[str], text: str, segmenter=None) -> D
     """
     grams = _candidate_grams(texts, key, text, segmenter)
     # equal spellings are counted before they are normalised
-    counted = grams.select(*key, F.explode("g").alias("original")).groupBy(*key, "original").agg(F.count("*").alias("n"))
+    counted = grams.select(*key, F.explode("_grams").alias("original")).groupBy(*key, "original").agg(F.count("*").alias("n"))
     return _named(counted).select(*key, "term", "display", "n")
 
 
@@ -111,8 +111,8 @@ def candidate_table(texts: DataFrame, group: str, text: str) -> DataFrame:
     Both are summed in each task before the exchange, so no candidate of a single text is shuffled or written.
     """
     grams = _candidate_grams(texts, [group], text)
-    counted = cut_lineage(_named(grams.select(group, F.explode("g").alias("original")).groupBy(group, "original").agg(F.count("*").alias("n"))).groupBy(group, "term", "display").agg(F.sum("n").alias("n")))
-    once = F.array_distinct(F.transform(F.array_distinct("g"), F.lower))
+    counted = cut_lineage(_named(grams.select(group, F.explode("_grams").alias("original")).groupBy(group, "original").agg(F.count("*").alias("n"))).groupBy(group, "term", "display").agg(F.sum("n").alias("n")))
+    once = F.array_distinct(F.transform(F.array_distinct("_grams"), F.lower))
     held = grams.select(group, F.explode(once).alias("term")).groupBy(group, "term").agg(F.count("*").alias("chunks"))
     first = F.row_number().over(Window.partitionBy(group, "term").orderBy("display"))
     out = counted.withColumn("k", first).join(held, [group, "term"])
