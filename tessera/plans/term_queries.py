@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import naming
 from tessera.operators import terms as T
 from tessera.plans import sql
 from tessera.plans.runtime import cut_lineage, read_table, spread
@@ -106,7 +107,13 @@ def concept_mentions(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("chunk_id", "concept_id", "count", "source_count", F.size("matched_terms").alias("n_terms"), F.round("confidence", 6).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (normalized_terms, term_languages, evidence_weights, document_languages, valid_candidates, term_candidates, heading_candidates, cluster_terms, diverse_terms, term_mentions, name_mentions, mined_mentions, mined_concepts, concept_mentions)}
+def concept_phrases(spark: SparkSession, d: str) -> DataFrame:
+    """The name each concept's best terms give it, before names are made unique."""
+    own = tables.terms(spark, d).select("concept_id", "text", "normalized_text", "ctfidf_score")
+    return naming.leaf_phrases(naming.phrases(own))
+
+
+QUERIES = {f.__name__: f for f in (normalized_terms, term_languages, evidence_weights, document_languages, valid_candidates, term_candidates, heading_candidates, cluster_terms, diverse_terms, term_mentions, name_mentions, mined_mentions, mined_concepts, concept_mentions, concept_phrases)}
 
 #: Fixed values of the checking SQL, stated apart from the operators' own.
 _EN = (
@@ -175,7 +182,18 @@ _MINED = f"""{_CLUSTERS}, {sql.CHUNKS}, rk AS (SELECT *, row_number() OVER (PART
     fd AS (SELECT chunk_id, {sql.folded('coalesce(retrieval_text, text)')} AS r, {sql.folded("coalesce(text, '')")} AS s FROM c), mq AS (SELECT * FROM fd JOIN mn ON contains(r, x)),
     mx AS (SELECT *, CASE WHEN match_type = 'word' THEN len(regexp_extract_all(r, '\\b' || regexp_escape(x) || '\\b')) ELSE (length(r) - length(replace(r, x, ''))) // length(x) END AS n,
         CASE WHEN match_type = 'word' THEN len(regexp_extract_all(s, '\\b' || regexp_escape(x) || '\\b')) ELSE (length(s) - length(replace(s, x, ''))) // length(x) END AS m FROM mq), mm AS (SELECT * FROM mx WHERE n > 0)"""
+def _features(x: str) -> str:
+    return f"list_distinct(CASE WHEN {_han(x)} THEN list_transform(range(1, greatest(length(replace({x}, ' ', '')) - 1, 1) + 1), lambda i: substr(replace({x}, ' ', ''), i, 2)) ELSE list_filter(string_split({x}, ' '), lambda w: w <> '') END)"
+
+
+_PHRASES = f"""pr1 AS (SELECT concept_id, text, normalized_text AS normal, replace(normalized_text, ' ', '') AS bare, coalesce(ctfidf_score, 0) AS score, row_number() OVER (PARTITION BY concept_id ORDER BY coalesce(ctfidf_score, 0) DESC, normalized_text) AS place FROM t WHERE text IS NOT NULL AND normalized_text IS NOT NULL QUALIFY place <= 12),
+    pr2 AS (SELECT a.concept_id, a.place, b.text AS wide, row_number() OVER (PARTITION BY a.concept_id, a.place ORDER BY b.score / greatest(a.score, 1e-12) + 0.08::DOUBLE * least(length(b.bare) - length(a.bare), 12) DESC, b.place) AS k FROM pr1 a JOIN pr1 b ON a.concept_id = b.concept_id
+        WHERE contains(b.bare, a.bare) AND length(b.bare) <= 32 AND b.score / greatest(a.score, 1e-12) >= 0.55 AND b.score / greatest(a.score, 1e-12) + 0.08::DOUBLE * least(length(b.bare) - length(a.bare), 12) > 1.0),
+    pr3 AS (SELECT pr1.*, coalesce(wide, text) AS phrase FROM pr1 LEFT JOIN (SELECT * FROM pr2 WHERE k = 1) USING (concept_id, place)), pr4 AS (SELECT *, {_normal('phrase')} AS x FROM pr3),
+    pr5 AS (SELECT f.concept_id, s.phrase AS b, s.place FROM pr4 f JOIN pr4 s ON f.concept_id = s.concept_id AND f.place = 1 AND s.place BETWEEN 2 AND 8 WHERE length(f.bare) <= 4 AND s.score >= f.score * 0.65::DOUBLE AND NOT contains(f.x, s.x) AND NOT contains(s.x, f.x)
+        AND len(list_intersect({_features('f.x')}, {_features('s.x')}))::DOUBLE / greatest(1, len(list_distinct(list_concat({_features('f.x')}, {_features('s.x')})))) < 0.35)"""
 ORACLE = {
+    "concept_phrases": f"WITH {sql.TERMS}, {_PHRASES} SELECT concept_id, concat_ws(' / ', phrase, (SELECT arg_min(b, pr5.place) FROM pr5 WHERE pr5.concept_id = pr4.concept_id)) AS name FROM pr4 WHERE place = 1",
     "normalized_terms": f"WITH {sql.TERMS} SELECT term_id, {_normal('text')} AS normalized_text FROM t WHERE text IS NOT NULL",
     "term_languages": f"""WITH {sql.TERMS} SELECT term_id, {_language("coalesce(normalized_text, '')")} AS language, CASE WHEN {_language("coalesce(normalized_text, '')")} = 'en' AND NOT contains(normalized_text, ' ') THEN 'word' ELSE 'phrase' END AS match_type,
         substr(sha256(concept_id || chr(31) || normalized_text), 1, 14) AS hash14 FROM t""",
