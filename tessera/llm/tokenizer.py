@@ -91,7 +91,7 @@ class Encoder:
         """Whether no merge of lower rank would have joined bytes across the border of a and b."""
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 500_000:
                 self.fits.clear()
             known = self.fits[a, b] = self._compatible(a, b)
         return known
@@ -190,7 +190,7 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder_of(ranks.value).encode
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, 250):
             lists = [encode(t) for t in batch.column(1).to_pylist()]
             offsets = np.zeros(len(lists) + 1, dtype=np.int32)
             np.cumsum([len(x) for x in lists], out=offsets[1:])
@@ -208,7 +208,7 @@ def decode_corpus(ids: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, start = encoder_of(ranks.value).decode_table()
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, 250):
             texts = []
             for row in batch.column(1).to_pylist():
                 if not row:
