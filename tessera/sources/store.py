@@ -2,13 +2,16 @@
 
 A load writes the node table of the chunks (one row per id), the concept edges and the text
 index; queries read stored rows. A table is kept under a digest of the files it is made
-from (path, length, time), so changed files give a new table. A table is written to a
-folder of its own and renamed when it is whole, so a load that is lost leaves nothing half.
+from (path, length, time) and of the code that makes it, so changed files or rules give a
+new table. A table is written to a folder of its own and renamed when it is whole, so a
+load that is lost leaves nothing half.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import pathlib
 import uuid
 from collections.abc import Callable
 
@@ -19,10 +22,18 @@ from tessera.plans.runtime import ensure_checkpoint_dir
 INPUTS = ("chunks", "terms", "concepts", "source_documents", "taxonomy_edges")
 
 
+@functools.cache
+def _code() -> str:
+    """A digest of the modules that make stored tables."""
+    package = pathlib.Path(__file__).resolve().parent.parent
+    files = [f for part in ("functions", "operators", "plans", "sources") for f in sorted((package / part).glob("*.py"))]
+    return hashlib.sha256(b"".join(f.read_bytes() for f in files)).hexdigest()
+
+
 def _listed(spark: SparkSession, folder: str) -> str:
     """A digest of path, length and time of all files of the input tables."""
     jvm = spark.sparkContext._jvm
-    out = []
+    out = [_code()]
     for name in INPUTS:
         path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
         system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -49,8 +60,13 @@ def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataF
         making = f"{folder}-{uuid.uuid4().hex}"
         writer = make().write.mode("overwrite")
         (writer.partitionBy(by) if by else writer).parquet(making)
-        if not system.rename(jvm.org.apache.hadoop.fs.Path(making), path):  # another session was first
-            system.delete(jvm.org.apache.hadoop.fs.Path(making), True)
+        whole = jvm.org.apache.hadoop.fs.Path(making)
+        if system.exists(path) or not system.rename(whole, path):  # another session was first
+            system.delete(whole, True)
+        # a rename to a folder that has just come to be puts this one inside it
+        inside = jvm.org.apache.hadoop.fs.Path(path, whole.getName())
+        if system.exists(inside):
+            system.delete(inside, True)
     return spark.read.parquet(folder)
 
 
