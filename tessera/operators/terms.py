@@ -73,19 +73,36 @@ def _grams(words: Column, sizes: int, glue: str) -> Column:
     return F.array_compact(F.flatten(F.array(*map(of_size, range(1, sizes + 1)))))
 
 
-def _candidate_grams(texts: DataFrame, key: list[str], text: str, segmenter=None) -> DataFrame:
-    """(key, _grams): the n-grams of each row as they are spelt, English and Chinese, in one array."""
+def _parts(text: str, segmenter=None) -> tuple[Column, Column]:
+    """Words of the English segments and of the runs of ideographs of a text."""
     value = F.coalesce(F.col(text), F.lit(""))
     segments = F.transform(F.split(value, SEGMENT_ENDS), lambda s: F.regexp_extract_all(s, F.lit(f"({ENGLISH_WORD})"), 1))
     runs = F.regexp_extract_all(value, F.lit(f"([{CJK}]{{2,}})"), 1)
     if segmenter is None:  # pairs, in the JVM
-        words = F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r), F.lit(2)), lambda i: F.substring(r, i, F.lit(2))))
-    else:
-        cut = F.pandas_udf(lambda s: s.map(lambda rs: [list(w) for w in segmenter(pd.Series(list(rs)))]), ArrayType(ArrayType(StringType())))
-        words = cut(runs)
-    rows = texts.select(*key, segments.alias("_s"), words.alias("_w"))
-    english = _runs(F.col("_s"), lambda w: F.lower(w).isin(*ENGLISH_STOPWORDS), ENGLISH_SIZES, " ")
-    return rows.select(*key, F.concat(english, _runs(F.col("_w"), lambda w: w.isin(*CHINESE_STOPWORDS), CHINESE_SIZES, "")).alias("_grams"))
+        return segments, F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r), F.lit(2)), lambda i: F.substring(r, i, F.lit(2))))
+    cut = F.pandas_udf(lambda s: s.map(lambda rs: [list(w) for w in segmenter(pd.Series(list(rs)))]), ArrayType(ArrayType(StringType())))
+    return segments, cut(runs)
+
+
+def _english(parts: Column) -> Column:
+    return _runs(parts, lambda w: F.lower(w).isin(*ENGLISH_STOPWORDS), ENGLISH_SIZES, " ")
+
+
+def _chinese(parts: Column) -> Column:
+    return _runs(parts, lambda w: w.isin(*CHINESE_STOPWORDS), CHINESE_SIZES, "")
+
+
+def _candidate_grams(texts: DataFrame, key: list[str], text: str) -> DataFrame:
+    """(key, _grams): the n-grams of each row as they are spelt, English and Chinese, in one array."""
+    segments, words = _parts(text)
+    return texts.select(*key, segments.alias("_s"), words.alias("_w")).select(*key, F.concat(_english(F.col("_s")), _chinese(F.col("_w"))).alias("_grams"))
+
+
+def _spelt(texts: DataFrame, key: list[str], text: str, segmenter=None) -> DataFrame:
+    """(key, original): one row for each n-gram; segments are taken one by one, which keeps their arrays small."""
+    segments, words = _parts(text, segmenter)
+    one = lambda parts, grams: texts.select(*key, F.explode(parts).alias("_p")).where(F.size("_p") > 0).select(*key, F.explode(grams(F.array("_p"))).alias("original"))
+    return one(segments, _english).unionByName(one(words, _chinese))
 
 
 def _named(counted: DataFrame) -> DataFrame:
@@ -99,9 +116,8 @@ def candidates(texts: DataFrame, key: list[str], text: str, segmenter=None) -> D
 
     segmenter: cuts a pandas Series of ideograph runs into lists of words; without it runs are cut into pairs in the JVM.
     """
-    grams = _candidate_grams(texts, key, text, segmenter)
     # equal spellings are counted before they are normalised
-    counted = grams.select(*key, F.explode("_grams").alias("original")).groupBy(*key, "original").agg(F.count("*").alias("n"))
+    counted = _spelt(texts, key, text, segmenter).groupBy(*key, "original").agg(F.count("*").alias("n"))
     return _named(counted).select(*key, "term", "display", "n")
 
 
@@ -111,7 +127,7 @@ def candidate_table(texts: DataFrame, group: str, text: str) -> DataFrame:
     Both are summed in each task before the exchange, so no candidate of a single text is shuffled or written.
     """
     grams = _candidate_grams(texts, [group], text)
-    counted = cut_lineage(_named(grams.select(group, F.explode("_grams").alias("original")).groupBy(group, "original").agg(F.count("*").alias("n"))).groupBy(group, "term", "display").agg(F.sum("n").alias("n")))
+    counted = cut_lineage(_named(_spelt(texts, [group], text).groupBy(group, "original").agg(F.count("*").alias("n"))).groupBy(group, "term", "display").agg(F.sum("n").alias("n")))
     once = F.array_distinct(F.transform(F.array_distinct("_grams"), F.lower))
     held = grams.select(group, F.explode(once).alias("term")).groupBy(group, "term").agg(F.count("*").alias("chunks"))
     first = F.row_number().over(Window.partitionBy(group, "term").orderBy("display"))
