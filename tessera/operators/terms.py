@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from tessera.functions.text import CJK, SPACE, detect_language, match_type, normalize_term
-from tessera.operators.matching import occurrences
-from tessera.plans.runtime import cut_lineage
+from tessera.operators.matching import fold, occurrences
+from tessera.plans.runtime import cut_lineage, cut_packed
 
 #: Words that end a run of candidate words.
 ENGLISH_STOPWORDS = (
@@ -35,6 +38,7 @@ SEGMENT_ENDS = "[\\n。！？!?；;：:]"
 ENGLISH_WORD = "[A-Za-z][A-Za-z0-9]*(?:[-'][A-Za-z0-9]+)*"
 HEADING_NUMBER = f"(?i)^(?:第[{SPACE}]*[一二三四五六七八九十百0-9]+[{SPACE}]*章[{SPACE}]*[-—–:：]*[{SPACE}]*|chapter[{SPACE}]+[0-9]+[{SPACE}]*[-—–:：]*[{SPACE}]*|[0-9]+(?:\\.[0-9]+){{0,6}}\\.?[{SPACE}]*)"
 ENGLISH_SIZES, CHINESE_SIZES = 4, 3
+_ENGLISH_STOP, _CHINESE_STOP = frozenset(ENGLISH_STOPWORDS), frozenset(CHINESE_STOPWORDS)
 SIMILAR, TERMS, MENTION_SHARE = 0.88, 12, 0.45
 
 
@@ -135,18 +139,144 @@ def candidate_table(texts: DataFrame, group: str, text: str) -> DataFrame:
     return out.select(group, "term", "display", "n", F.when(F.col("k") == 1, F.col("chunks")).otherwise(0).alias("chunks"))
 
 
-def heading_candidates(chunks: DataFrame, key: list[str]) -> DataFrame:
-    """(key, term, display, n): the headings of a chunk, whole with weight 8 and their n-grams with weight 4."""
+def _headings() -> Column:
+    """The headings of a chunk without their numbers, as an array."""
     parts = F.transform(F.split("section_path", ">"), lambda s: F.trim(s))
     headings = F.array_distinct(F.filter(F.concat(F.array("section_title"), F.coalesce(parts, F.array().cast("array<string>"))), lambda s: s.isNotNull()))
     plain = lambda s: F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(s, f"[{SPACE}]+", " ")), HEADING_NUMBER, ""), "^[ —–:：-]+|[ —–:：-]+$", "")
-    each = chunks.select(*key, F.explode(headings).alias("h")).select(*key, plain(F.col("h")).alias("heading")).where("heading <> ''")
+    return F.filter(F.transform(headings, plain), lambda s: s != "")
+
+
+def heading_candidates(chunks: DataFrame, key: list[str]) -> DataFrame:
+    """(key, term, display, n): the headings of a chunk, whole with weight 8 and their n-grams with weight 4."""
+    each = chunks.select(*key, F.explode(_headings()).alias("heading"))
     whole = each.withColumn("term", normalize_term(F.col("heading"))).where(valid_candidate(F.col("term"))).select(*key, "term", display_form(F.col("heading"), F.col("term")).alias("display"), F.lit(8).cast("long").alias("n"))
     each = each.withColumn("_i", F.monotonically_increasing_id())  # equal headings of one chunk count apart
     grams = candidates(each, [*key, "_i"], "heading").select(*key, "term", "display", (F.col("n") * 4).alias("n"))
     return whole.unionByName(grams)
 
 
+#: Terms of groups a task holds before it hands their counts on.
+HELD_TERMS = 300_000
+_SEGMENT_ENDS, _ENGLISH_WORD, _IDEOGRAPHS = re.compile(SEGMENT_ENDS), re.compile(ENGLISH_WORD, re.ASCII), re.compile(f"[{CJK}]{{2,}}")
+_ACRONYM, _EDGES = re.compile("[A-Z][A-Z0-9-]{1,10}"), " .,:;()[]{}—–-"
+_NO_TERM, _IDEOGRAPH, _LETTER = re.compile(f"[^a-z0-9{CJK}'\\- ]+"), re.compile(f"[{CJK}]"), re.compile("[a-z0-9]")
+_COUNTS = "term string, frequency long, chunk_frequency long, heading_frequency long, shouted long"
+
+
+def grams(text: str) -> tuple[list[str], list[str]]:
+    """The n-grams of a text in lower case, as _spelt finds them, and those of its words that are acronyms."""
+    out: list[str] = []
+    shouted: list[str] = []
+
+    def take(words: list[str], sizes: int, glue: str) -> None:
+        out.extend(words)
+        for k in range(2, min(sizes, len(words)) + 1):
+            out.extend(map(glue.join, zip(*(words[i:] for i in range(k)), strict=False)))
+
+    for segment in _SEGMENT_ENDS.split(text):
+        run: list[str] = []
+        for word in _ENGLISH_WORD.findall(segment):
+            low = word.lower()
+            if low in _ENGLISH_STOP:
+                take(run, ENGLISH_SIZES, " ")
+                run = []
+            else:
+                run.append(low)
+                if _ACRONYM.fullmatch(word):
+                    shouted.append(low)
+        take(run, ENGLISH_SIZES, " ")
+    for signs in _IDEOGRAPHS.findall(text):
+        run = []
+        for word in (signs[i : i + 2] for i in range(0, len(signs), 2)):
+            if word in _CHINESE_STOP:
+                take(run, CHINESE_SIZES, "")
+                run = []
+            else:
+                run.append(word)
+        take(run, CHINESE_SIZES, "")
+    return out, shouted
+
+
+def _whole_heading(heading: str) -> str:
+    """As normalize_term."""
+    plain = re.sub(" +", " ", _NO_TERM.sub(" ", fold(heading))).strip("-' ")
+    return plain.replace(" ", "") if _IDEOGRAPH.search(plain) and not _LETTER.search(plain) else plain
+
+
+def group_table(chunks: DataFrame, group: str, text: str) -> DataFrame:
+    """chunks: one row per chunk_id, with section_title and section_path. (group, term, frequency, chunk_frequency, heading_frequency, shouted).
+
+    The terms of texts and headings of each group, as candidates and heading_candidates count them together; shouted of them are written as acronyms.
+    Chunks are brought together by group and a task sums what is next to each other, so no candidate of a single chunk is shuffled or written.
+    A large group lies in several tasks; their sums are added up after.
+    """
+    rows = chunks.select(group, "chunk_id", F.coalesce(text, F.lit("")).alias("_text"), _headings().alias("_heads"))
+    rows = rows.repartitionByRange(group, "chunk_id").sortWithinPartitions(group).select(group, "_text", "_heads")
+    kind = chunks.schema[group].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        size, last = 0, None
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            for key, (n, chunk, head, loud) in held.items():
+                if n:
+                    terms = list(n)
+                    columns = [pa.array([key] * len(terms), arrow), pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in (n, chunk, head, loud))]
+                    yield pa.RecordBatch.from_arrays(columns, names=[group, "term", "frequency", "chunk_frequency", "heading_frequency", "shouted"])
+            held.clear()
+
+        for batch in batches:
+            arrow = batch.schema.field(0).type
+            for key, text, headings in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n, chunk, head, loud = held.setdefault(key, (Counter(), Counter(), Counter(), Counter()))
+                before = len(n)
+                found, shouted = grams(text)
+                n.update(found)
+                loud.update(shouted)
+                here = set(found)
+                for h in headings or ():
+                    parts, shouted = grams(h)
+                    weights = Counter({t: 4 * k for t, k in Counter(parts).items()})
+                    loud.update({t: 4 * k for t, k in Counter(shouted).items()})
+                    whole = _whole_heading(h)
+                    weights[whole] += 8
+                    if _ACRONYM.fullmatch(h.strip(_EDGES)):
+                        loud[whole] += 8
+                    n.update(weights)
+                    head.update(weights)
+                    here.update(weights)
+                chunk.update(here)
+                size += len(n) - before
+                if size > HELD_TERMS:
+                    yield from hand_on()
+                    size = 0
+        if held:
+            yield from hand_on()
+
+    counted = rows.mapInArrow(run, f"`{group}` {kind}, {_COUNTS}").where(valid_candidate(F.col("term")))
+    return cut_packed(counted.groupBy(group, "term").agg(*(F.sum(c).alias(c) for c in ("frequency", "chunk_frequency", "heading_frequency", "shouted"))))
+
+
+def table_terms(table: DataFrame, group: str, least_chunks: int = 2) -> DataFrame:
+    """table: a group_table. Scored terms of each group as cluster_terms gives them."""
+    # an acronym is the term in capitals, so of equal counts the term is the later spelling
+    shown = F.when(F.sum("shouted") * 2 > F.sum("frequency"), F.upper("term")).otherwise(F.col("term"))
+    whole = table.groupBy("term").agg(F.sum("frequency").alias("everywhere"), shown.alias("text"))
+    totals = cut_lineage(table.groupBy(group).agg(F.sum("frequency").alias("total")))
+    mean = totals.agg((F.sum("total") / F.count("*")).alias("mean"))
+    kept = table.where(F.col("chunk_frequency") >= least_chunks).join(whole, "term").join(totals, group).crossJoin(F.broadcast(mean))
+    return _ranked(kept, group)
+
+
+def _ranked(out: DataFrame, group: str) -> DataFrame:
+    score = F.col("frequency") / F.greatest("total", F.lit(1)) * F.log1p(F.col("mean") / F.greatest("everywhere", F.lit(1))) * (1 + F.lit(0.12) * F.log1p("chunk_frequency"))
+    out = out.select(group, "term", "text", F.round(score, 8).alias("score"), "frequency", "chunk_frequency", F.coalesce("heading_frequency", F.lit(0)).alias("heading_frequency"), detect_language(F.col("term")).alias("language"))
+    order = Window.partitionBy(group).orderBy(F.desc(F.col("heading_frequency") > 0), F.desc("score"), F.desc("chunk_frequency"), "term")
+    return out.withColumn("rank", F.row_number().over(order))
+
+
 def cluster_terms(counts: DataFrame, group: str, chunk: str | None, headings: DataFrame | None = None, least_chunks: int = 2) -> DataFrame:
     """counts: group, chunk, term, display, n; with chunk None a candidate_table. Scored terms of each group, best first (rank).
 
@@ -166,10 +296,7 @@ def cluster_terms(counts: DataFrame, group: str, chunk: str | None, headings: Da
     mean = totals.agg((F.sum("total") / F.count("*")).alias("mean"))
     head = headings.groupBy(group, "term").agg(F.sum("n").alias("heading_frequency")) if headings is not None else table.select(group, "term", F.lit(0).cast("long").alias("heading_frequency")).limit(0)
     out = table.where(F.col("chunk_frequency") >= least_chunks).join(everywhere, "term").join(totals, group).crossJoin(F.broadcast(mean)).join(shown, "term").join(head, [group, "term"], "left")
-    score = F.col("frequency") / F.greatest("total", F.lit(1)) * F.log1p(F.col("mean") / F.greatest("everywhere", F.lit(1))) * (1 + F.lit(0.12) * F.log1p("chunk_frequency"))
-    out = out.select(group, "term", "text", F.round(score, 8).alias("score"), "frequency", "chunk_frequency", F.coalesce("heading_frequency", F.lit(0)).alias("heading_frequency"), detect_language(F.col("term")).alias("language"))
-    order = Window.partitionBy(group).orderBy(F.desc(F.col("heading_frequency") > 0), F.desc("score"), F.desc("chunk_frequency"), "term")
-    return out.withColumn("rank", F.row_number().over(order))
+    return _ranked(out, group)
 
 
 def term_features(term: str) -> frozenset[str]:
@@ -200,31 +327,30 @@ def pick_diverse(terms: list[str], limit: int = TERMS) -> list[int]:
 def diverse_terms(ranked: DataFrame, group: str, limit: int = TERMS, reach: int = 4096) -> DataFrame:
     """The diverse best terms of each group.
 
-    A group's terms are taken in blocks of `reach` ranks; groups whose block doesn't fill the limit go on with the
-    next block, so no group is gathered whole and none is cut short.
+    A group's terms are taken in blocks of `reach` ranks (the first smaller, as most groups are full by then); groups whose
+    block doesn't fill the limit go on with the next block, so no group is gathered whole and none is cut short.
     """
-    columns = ranked.columns
-    ranked = cut_lineage(ranked)
-    schema = ranked.schema
+    ranked = cut_packed(ranked)
+    schema, reach = ranked.schema, min(reach, 8 * limit)
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rank")
-        return rows.iloc[pick_diverse(list(rows["term"]), limit)][columns]
+    def pick(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("rank")
+        return rows.take(pa.array(pick_diverse(rows.column("term").to_pylist(), limit), pa.int64()))
 
-    kept = ranked.where(F.col("rank") <= reach).groupBy(group).applyInPandas(pick, schema)
+    kept = ranked.where(F.col("rank") <= reach).groupBy(group).applyInArrow(pick, schema)
     while True:
         kept = cut_lineage(kept)
         short = kept.groupBy(group).count().where(F.col("count") < limit).select(group)
         more = ranked.join(short, group, "left_semi").where((F.col("rank") > reach) & (F.col("rank") <= 2 * reach))
         if more.isEmpty():
             return kept
-        kept = kept.unionByName(more).groupBy(group).applyInPandas(pick, schema)
+        kept = kept.unionByName(more).groupBy(group).applyInArrow(pick, schema)
         reach *= 2
 
 
 def with_fallback(selected: DataFrame, counts: DataFrame, group: str) -> DataFrame:
-    """Groups without a scored term get their most frequent one with score 0."""
-    table = counts.groupBy(group, "term").agg(F.sum("n").alias("frequency"), F.countDistinct("chunk_id").alias("chunk_frequency"))
+    """Groups without a scored term get their most frequent one with score 0. counts: candidates of chunks, or a group_table."""
+    table = counts if "chunk_frequency" in counts.columns else counts.groupBy(group, "term").agg(F.sum("n").alias("frequency"), F.countDistinct("chunk_id").alias("chunk_frequency"))
     left = table.join(selected.select(group).distinct(), group, "left_anti")
     best = left.groupBy(group).agg(F.max_by(F.struct("term", "frequency", "chunk_frequency"), F.struct("frequency", "term")).alias("b")).select(group, "b.*")
     filled = best.select(group, "term", F.col("term").alias("text"), F.lit(0.0).alias("score"), "frequency", "chunk_frequency", F.lit(0).cast("long").alias("heading_frequency"), detect_language(F.col("term")).alias("language"), F.lit(1).alias("rank"))

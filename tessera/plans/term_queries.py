@@ -61,10 +61,8 @@ def cluster_terms(spark: SparkSession, d: str) -> DataFrame:
 def diverse_terms(spark: SparkSession, d: str) -> DataFrame:
     """The 12 best diverse terms by source file, headings first."""
     rows = tables.chunks(spark, d, "source_file", "text", "section_title", "section_path")
-    heads = T.heading_candidates(rows, ["source_file", "chunk_id"])
-    counts = cut_lineage(T.candidates(rows, ["source_file", "chunk_id"], "text").unionByName(heads))
-    scored = T.cluster_terms(counts, "source_file", "chunk_id", heads)
-    return T.with_fallback(T.diverse_terms(scored, "source_file"), counts, "source_file")
+    table = T.group_table(rows, "source_file", "text")
+    return T.with_fallback(T.diverse_terms(T.table_terms(table, "source_file"), "source_file"), table, "source_file")
 
 
 def _mentions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

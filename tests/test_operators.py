@@ -57,6 +57,23 @@ def test_candidates_and_scores(spark):
     assert {r.g for r in full} == {"g1", "g2"} and next(r for r in full if r.g == "g2").score == 0
 
 
+def test_group_table_equals_candidates_of_chunks(spark, monkeypatch):
+    """Counts summed by group, whatever a task holds, give the terms that the candidates of all chunks give; no row of a single chunk is kept."""
+    texts = ["Risk limits and the risk limits; LCR ratio", "lcr LCR Lcr well-known risk's limits", "流動資金比率 以及資本充足", "", None, "the LCR"]
+    paths = [("1.2 LCR", "Chapter 1 Risk Limits > 1.2 LCR"), (None, None), ("第四章 流動資金", "(LCR) > İstanbul risk > 第四章 流動資金")]
+    rows = [(["a", "b", "c", None][i % 4], f"c{i}", texts[i % 6], *paths[i % 3]) for i in range(30)] + [("lone", "c99", "single mention", None, None)]
+    df = spark.createDataFrame(rows, "g string, chunk_id string, text string, section_title string, section_path string").repartition(3)
+    heads = T.heading_candidates(df, ["g", "chunk_id"])
+    counts = T.candidates(df, ["g", "chunk_id"], "text").unionByName(heads)
+    want = T.with_fallback(T.diverse_terms(T.cluster_terms(counts, "g", "chunk_id", heads), "g"), counts, "g").collect()
+    for held in (2, 300_000):
+        monkeypatch.setattr(T, "HELD_TERMS", held)
+        table = T.group_table(df, "g", "text")
+        got = T.with_fallback(T.diverse_terms(T.table_terms(table, "g"), "g"), table, "g").collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, want)) and any(r.text == "LCR" for r in got) and any(r.g == "lone" for r in got)
+    assert table.count() == table.select("g", "term").distinct().count()
+
+
 def test_diverse_terms_go_on_beyond_a_block(spark):
     rows = [("g", f"a b c d e f g h {i % 2}" if i < 40 else f"term{i} x{i}", i + 1) for i in range(60)]
     df = spark.createDataFrame(rows, "g string, term string, rank int")
