@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import functools
 import re
 from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from tessera.functions.text import CJK, casefold, normalize_question, squeeze
+from tessera.operators.fuzzy import Goals
 from tessera.operators.matching import occurrences
 from tessera.plans.runtime import cut_lineage
 
@@ -110,63 +110,50 @@ def fuzzy_similarity(question: str, term: str, least: float = 0.0) -> float:
     return best if best >= least else 0.0
 
 
-@F.pandas_udf(DoubleType())
-def _fuzzy(question: pd.Series, term: pd.Series, least: pd.Series) -> pd.Series:
-    return pd.Series([fuzzy_similarity(q, t, x) for q, t, x in zip(question, term, least, strict=True)], dtype=float)
-
-
-def _grams(text: Column) -> Column:
-    """Pairs of signs of a text without blanks (f), the same of its Latin words alone (l), and Latin words of one sign."""
-
-    def pairs(kind: str, c: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.concat(F.lit(kind), F.substring(c, i, F.lit(2))))
-
-    single = F.transform(F.regexp_extract_all(text, F.lit("(?<![a-z0-9])([a-z0-9])(?![a-z0-9])"), 1), lambda w: F.concat(F.lit("l"), w))
-    return F.array_distinct(F.concat(pairs("f", F.replace(text, F.lit(" "), F.lit(""))), pairs("l", F.regexp_replace(text, "[^a-z0-9]", "")), single))
+#: Different texts of terms that are searched for in one pass over the questions.
+BLOCK_TERMS = 100_000
 
 
 def fuzzy_matches(questions: DataFrame, terms: DataFrame, least: float = FUZZY_LEAST) -> DataFrame:
     """Terms nearly in a question.
 
-    Only pairs that share enough pairs of signs are compared. At a ratio of 0.88 at most 0.214 of a term of length n is
-    unmatched and at most 0.27 n signs of both sides are, so the matching blocks break at most m = 0.49 n + 1 of its pairs.
-    One of any m + 1 of its pairs is therefore in the question: the rarest m + 1 lead to the pairs that are counted, so
-    pairs of signs that most questions hold are not joined on. Questions or terms of one text are compared once.
+    Each different text of a question is compared with each different form of a term that can be near it (operators.fuzzy),
+    in blocks of terms of bounded size; only what is near is joined with terms and questions.
     """
     asked = questions.select("question_id", normalize_question(F.col("question")).alias("q"))
     named = terms.select("term_id", "concept_id", F.col("text").alias("term_text"), normalize_question(F.col("text")).alias("t"))
     named = cut_lineage(named.where(F.length(F.replace("t", F.lit(" "), F.lit(""))) >= 4))
     asked = cut_lineage(asked.where("q <> ''"))
-    texts = cut_lineage(asked.select("q").distinct().withColumn("held", _grams(F.col("q"))))
-    wanted = cut_lineage(named.select("t").distinct().withColumn("needs", _grams(F.col("t"))))
-    common = texts.select(F.explode("held").alias("g")).groupBy("g").agg(F.count("*").alias("k"))
-    grams = wanted.select("t", F.explode("needs").alias("g")).join(common, "g")  # pairs that no question holds lead nowhere
-    kind = F.left("g", F.lit(1))
-    every = wanted.select("t", F.explode("needs").alias("g")).groupBy("t", kind.alias("kind")).agg(F.count("*").alias("n"))
-    # of the pairs in no question, each is one of the rarest already
-    absent = every.join(grams.groupBy("t", kind.alias("kind")).agg(F.count("*").alias("there")), ["t", "kind"]).select("t", "kind", (F.col("n") - F.col("there")).alias("absent"))
-    rarest = F.row_number().over(Window.partitionBy("t", "kind").orderBy("k", "g"))
-    kept = grams.withColumn("kind", kind).join(absent, ["t", "kind"]).withColumn("place", rarest + F.col("absent")).where(F.col("place") <= F.floor(F.length("t") * 0.49 + 1) + 1)
-    pairs = texts.select("q", F.explode("held").alias("g")).join(kept.select("t", "g"), "g").select("q", "t").distinct()
-    pairs = pairs.join(texts, "q").join(wanted, "t")
-    both = F.array_intersect("held", "needs")
-    enough = []
-    for k in ("f", "l"):
-        of = functools.partial(_of_kind, k)
-        enough.append(F.size(F.filter(both, of)) >= F.greatest(F.lit(1.0), F.size(F.filter("needs", of)) - (F.length("t") * 0.49 + 1)))
-    # few bytes, but much work each, so the pairs are spread whatever their size
-    wide = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = pairs.where(enough[0] | enough[1]).select("q", "t").repartition(wide).withColumn("similarity", _fuzzy_once("q", "t", F.lit(least))).where(F.col("similarity") >= least)
-    scored = near.join(named, "t").join(asked, "q")
+    wide = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), asked.sparkSession.sparkContext.defaultParallelism)
+    texts = cut_lineage(asked.select("q").distinct().repartition(wide, "q"))  # few bytes, but much work each
+    goals = named.select("t").distinct()
+    blocks = max(1, -(-goals.count() // BLOCK_TERMS))
+    near = None
+    for block in range(blocks):
+        part = goals.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == block)
+        found = _near(texts, [r[0] for r in part.collect()], least)
+        near = found if near is None else near.unionByName(found)
+    # a term counts by its Latin words in a question that has some, else by its signs
+    words = F.trim(F.regexp_replace("t", "[^a-z0-9]+", " "))
+    forms = named.withColumn("key", F.explode(F.array(F.concat(F.lit("l"), words), F.concat(F.lit("s"), F.replace("t", F.lit(" "), F.lit("")))))).where("key <> 'l'")
+    # different blocks may hold terms of one form
+    scored = near.groupBy("q", "key").agg(F.max("similarity").alias("similarity")).join(forms, "key").join(asked, "q")
     return scored.select("question_id", "concept_id", "term_id", "term_text", F.length("t").alias("length"), F.round("similarity", 4).alias("confidence"), F.lit("fuzzy_term").alias("method"))
 
 
-#: Marked so that the optimizer neither moves it before the candidates are few nor computes it twice.
-_fuzzy_once = _fuzzy.asNondeterministic()
+def _near(texts: DataFrame, goals: list[str], least: float) -> DataFrame:
+    """(q, key, similarity) of the forms of the goals near to each text."""
+    sent = texts.sparkSession.sparkContext.broadcast(goals)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searched = None
+        for batch in batches:
+            asked = batch.column(0).to_pylist()
+            searched = searched or Goals(sent.value, least)
+            found = searched.search(asked)
+            yield pa.RecordBatch.from_arrays([pa.array([asked[i] for i, _, _ in found], pa.string()), pa.array([k for _, k, _ in found], pa.string()), pa.array([x for _, _, x in found], pa.float64())], names=["q", "key", "similarity"])
 
-def _of_kind(kind: str, gram: Column) -> Column:
-    return F.left(gram, F.lit(1)) == kind
+    return cut_lineage(texts.mapInArrow(run, "q string, key string, similarity double"))
 
 
 def grouped(matches: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vector as V
 from tessera.operators import assign, facts, graph
+from tessera.operators import fuzzy as X
 from tessera.operators import retrieve as R
 from tessera.operators import terms as T
 from tessera.plans import induce
@@ -129,6 +130,25 @@ def test_fuzzy_equals_all_pairs(spark):
     assert SequenceMatcher(None, "tide", "diet").ratio() == 0.25 == R.fuzzy_similarity("tide", "diet")
 
 
+def test_fuzzy_search_equals_all_pairs_without_comparing_them(monkeypatch):
+    """Many long terms of few words: the same pairs as a comparison of all, of which few reach the matcher."""
+    rng = random.Random(5)
+    latin, signs = ["linear", "tiered", "audit", "tenor", "cover", "capital", "kyc", "ledger", "frame"], "估值審批攤銷撥備流動資金比率監管"
+    terms = sorted({" ".join(rng.sample(latin, 4)) for _ in range(60)} | {"".join(rng.choices(signs, k=rng.randrange(4, 20))) for _ in range(60)} | {"kyc" + "".join(rng.choices(signs, k=4)) for _ in range(5)})
+
+    def spoil(s):
+        i = rng.randrange(len(s))
+        return s[:i] + rng.choice(["", s[i] * 2, "x", signs[0]]) + s[i + 1 :]
+
+    asked = sorted({rng.choice(["where is ", "", "問"]) + spoil(t) for t in terms} | {t[1:] for t in terms} | {t[:-1] for t in terms})
+    form = lambda q, t: "l" + X.latin_form(t) if X.latin_form(q) and X.latin_form(t) else "s" + X.sign_form(t)
+    want = {(i, form(q, t), R.fuzzy_similarity(q, t, 0.88)) for i, q in enumerate(asked) for t in terms}
+    calls = []
+    monkeypatch.setattr(X, "SequenceMatcher", type("Counted", (SequenceMatcher,), {"ratio": lambda self: (calls.append(1), SequenceMatcher.ratio(self))[1]}))
+    assert set(X.Goals(terms, 0.88).search(asked)) == {w for w in want if w[2]}
+    assert len(calls) < len(asked) * len(terms) / 20
+
+
 def test_exact_and_decisions(spark, terms):
     asked = spark.createDataFrame([("q1", "Is customer due-diligence overdue?"), ("q2", "進行客戶盡職審查的程序？"), ("q3", "nothing"), ("q4", None)], "question_id string, question string")
     got = {(r.question_id, r.term_id) for r in R.exact_matches(asked, terms.where("text <> 'x'")).collect()}
