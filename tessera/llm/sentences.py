@@ -25,22 +25,24 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import SPACE
 from tessera.llm.chunks import in_slices, latest
 from tessera.llm.lookalike import positional_table
 from tessera.plans import sql
-from tessera.plans.runtime import cut_lineage, read_table, spread
+from tessera.plans.runtime import cut_lineage, cut_packed, read_table, spread
 
-#: Rows of each table of the model on the driver. Where there are more, words seen less than a power of two times stand in
-#: them together, as one word of their class; their counts are all kept.
+#: Rows of each table of the model on the driver. Where there are more, the tables stay tables: the same sums and the same
+#: formula, by joins (Wide).
 MOST_ROWS = 200_000
+#: Rows whose contexts are looked up together in such tables.
+BLOCK_ROWS = 1000
 #: Contexts a task holds before it hands them on.
 HELD_PAIRS = 300_000
 THRESHOLD, ROUNDS = 0.5, 4
-END, START, RARE = "$", "^", "\x00"
+END, START = "$", "^"
 
 _LINE = re.compile("[^\n\r\x0b\x0c\x1c-\x1e\x85  ]+")
 _GLYPHS = re.compile(r"[「」『』“”„«»‘’\"'()\[\]【】《》〈〉]")
@@ -221,11 +223,15 @@ def count_contexts(texts: tuple[str | None, ...], into: Counter) -> None:
 class Model:
     """Probabilities of a boundary before and after seeing the words around it."""
 
-    #: Share of places that are ends, by class, before any line end is seen. Set by hand once, for regulations, and used
-    #: where a class is rare: STRONG marks of one meaning; L words of four letters and more, S shorter ones, I initials; N numbers,
+    #: Share of places that are ends, by class, before any line end is seen. Set by hand once, for regulations, and worth
+    #: PRIOR_PLACES places: STRONG marks of one meaning; L words of four letters and more, S shorter ones, I initials; N numbers,
     #: N^ numbers that begin a line; dots; Q and B quotes and brackets with an end inside, 3 where a colon introduced them.
     PRIOR = {"STRONG": 0.98, "TH": 0.98, "L": 0.9, "S": 0.4, "I": 0.1, "N": 0.4, "N^": 0.02, "...": 0.1, "…": 0.4, "……": 0.3, "Q3": 0.9, "Q2": 0.2, "B2": 0.6, "B3": 0.6, ")": 0.9}
-    PSEUDO, SHARED, FLOOR = 5.0, 10.0, 2e-4
+    PRIOR_PLACES, PSEUDO, SHARED, FLOOR = 200, 5.0, 10.0, 2e-4
+    #: Places of each class of what follows no boundary, before any is seen, and the classes of many words.
+    SHAPES, OPEN = {"l": 10, "N": 10, "U": 5, "c": 5, "OQ": 1, "OB": 2, "s": 1, "th": 1, "o": 5}, ("U", "c", "th", "o")
+    #: Classes of which most words either end sentences or never do.
+    SPLIT = ("STRONG", "L", "S", "I", ")", "Q3", "B2", "B3")
 
     #: A word that ends sentences in more than SURE of its places does so nearly always (an abbreviation that may also end one
     #: is rarely seen that often), and one below NEVER next to never; what lies between is taken as it is.
@@ -244,22 +250,7 @@ class Model:
             starts[right] += n
         for left, right, shape, n in pairs:
             by_left[left][(right, shape)] += n
-        class_total, class_ends = Counter(), Counter()
-        for kind, shape, n in classes:
-            if kind == START:
-                starts_class[shape] += n
-            else:
-                class_total[kind] += n
-                class_ends[kind] += n * (shape == END)
-        # how often a boundary is also a line end, from the classes that are boundaries nearly always
-        sure = [k for k in ("STRONG", "L") if class_total[k]]
-        rate = {k: min(0.9, max(0.02, class_ends[k] / class_total[k] / self.PRIOR[k])) for k in sure}
-        general = sum(rate.values()) / len(rate) if rate else 0.2
-        self.rate = {k: rate.get("STRONG" if k in ("STRONG", "Q3", "……") else "L", general) for k in self.PRIOR}
-        self.prior: dict[str, float] = {}
-        for kind, base in self.PRIOR.items():
-            seen = class_ends[kind] / (self.rate[kind] * class_total[kind]) if class_total[kind] > 200 and kind not in ("TH", "N^") else base
-            self.prior[kind] = min(0.99, max(0.002, seen))
+        self._classes(classes, starts_class)
         self.before: dict[str, float] = {}
         for left, n in total.items():
             kind = self.of_left[left]
@@ -269,17 +260,17 @@ class Model:
             base, rho = self.PRIOR[kind] if kind in ("S", "I") else self.prior[kind], self.rate[kind]
             seen = (ends[left] + self.PSEUDO * rho * base) / (rho * (n + self.PSEUDO))
             # most words either end sentences or never do; only what lies between is taken as it is
-            sure = kind in ("STRONG", "L", "S", "I", ")", "Q3", "B2", "B3")
+            sure = kind in self.SPLIT
             self.before[left] = self.NEARLY_ALWAYS if sure and seen > self.SURE else self.NEXT_TO_NEVER if sure and seen < self.NEVER else min(0.99, max(0.001, seen))
         # what follows a boundary, and what follows none: expectation-maximisation over the counts
         after_s, shape_s = Counter(starts), Counter(starts_class)
         after_n: dict[str, Counter] = {}
-        shape_n = Counter({"l": 10, "N": 10, "U": 5, "c": 5, "OQ": 1, "OB": 2, "s": 1, "th": 1, "o": 5})
+        shape_n = Counter(self.SHAPES)
         for _ in range(ROUNDS):
             self._set(after_s, shape_s, after_n, shape_n)
             more_s, more_shape = Counter(starts), Counter(starts_class)
             none: dict[str, Counter] = {}
-            shapes = Counter({"l": 10, "N": 10, "U": 5, "c": 5, "OQ": 1, "OB": 2, "s": 1, "th": 1, "o": 5})
+            shapes = Counter(self.SHAPES)
             for left, rights in by_left.items():
                 # where nearly every place is an end, the few left over say nothing about what follows none
                 mine = none[left] = Counter() if self.before[left] < 0.9 else None
@@ -295,6 +286,26 @@ class Model:
             after_s, shape_s, after_n, shape_n = more_s, more_shape, {k: c for k, c in none.items() if c}, shapes
         self._set(after_s, shape_s, after_n, shape_n)
 
+    def _classes(self, classes: list[tuple[str, str, int]], starts_class: Counter) -> None:
+        """Rates and priors by class; starts_class takes the places after which a line starts."""
+        class_total, class_ends = Counter(), Counter()
+        for kind, shape, n in classes:
+            if kind == START:
+                starts_class[shape] += n
+            else:
+                class_total[kind] += n
+                class_ends[kind] += n * (shape == END)
+        # how often a boundary is also a line end, from the classes that are boundaries nearly always
+        sure = [k for k in ("STRONG", "L") if class_total[k]]
+        rate = {k: min(0.9, max(0.02, class_ends[k] / class_total[k] / self.PRIOR[k])) for k in sure}
+        general = sum(rate.values()) / len(rate) if rate else 0.2
+        self.rate = {k: rate.get("STRONG" if k in ("STRONG", "Q3", "……") else "L", general) for k in self.PRIOR}
+        self.prior: dict[str, float] = {}
+        for kind, base in self.PRIOR.items():
+            rho, n = self.rate[kind], class_total[kind]
+            seen = (class_ends[kind] + self.PRIOR_PLACES * rho * base) / (rho * (n + self.PRIOR_PLACES)) if kind not in ("TH", "N^") else base
+            self.prior[kind] = min(0.99, max(0.002, seen))
+
     def _set(self, after_s: Counter, shape_s: Counter, after_n: dict[str, Counter], shape_n: Counter) -> None:
         self.after_s, self.shape_s, self.after_n, self.shape_n = after_s, shape_s, after_n, shape_n
         self.n_s, self.n_n = sum(shape_s.values()) + 1.0, sum(shape_n.values()) + 1.0
@@ -305,7 +316,7 @@ class Model:
         self.known: dict[tuple, float] = {}
 
     def log_odds(self, left: tuple[str, str], right: tuple[str, str]) -> float:
-        key = (left[0], right[0])
+        key = (left, right)  # with the classes: one word may stand in two
         odds = self.known.get(key)
         if odds is None:
             if len(self.known) > 500_000:
@@ -321,7 +332,7 @@ class Model:
         general = self.FLOOR * self.shape_s[shape] / self.n_s
         with_event = 0.95 * self.after_s[word] / self.n_s + 0.05 * general + 1e-7
         mine, n = self.after_n.get(left[0], {}), self.left_n.get(left[0], 0.0)
-        narrow = self.FLOOR if shape in ("U", "c", "th", "o") else 1.0
+        narrow = self.FLOOR if shape in self.OPEN else 1.0
         other = 0.7 * self.any_n[word] / self.n_n + 0.3 * narrow * self.shape_n[shape] / self.n_n
         without = (mine.get(word, 0.0) + self.SHARED * other) / (n + self.SHARED) + 1e-7
         return math.log(p / (1 - p)) + math.log(with_event / without)
@@ -383,17 +394,94 @@ class Model:
         return out
 
 
-def _least(table: DataFrame) -> int:
-    """The smallest power of two such that at most MOST_ROWS rows count as much or more."""
-    sizes = {r[0]: r[1] for r in table.groupBy(F.floor(F.log2("n")).cast("int")).count().collect()}
-    rows, k = 0, max(sizes, default=0)
-    while k >= 0 and (rows := rows + sizes.get(k, 0)) <= MOST_ROWS:
-        k -= 1
-    return 1 << (k + 1)
+class Looked(Model):
+    """Units by log odds that were looked up: those of every context of the texts at hand."""
+
+    def __init__(self, odds: dict[tuple, float]):
+        self.odds = odds
+
+    def log_odds(self, left: tuple[str, str], right: tuple[str, str]) -> float:
+        return 9.0 if right[0] == END else self.odds[left, right]
+
+
+class Wide(Model):
+    """The model over tables of any size: words and pairs stay tables, the rounds are joins; only the sums by class reach the driver."""
+
+    def __init__(self, lefts: DataFrame, starts: DataFrame, pairs: DataFrame, classes: list[tuple[str, str, int]]):
+        """lefts: l, lc, n, ends. starts: r, rc, n. pairs: l, r, rc, n. classes: left, right, places."""
+        self.of_left: dict[str, str] = {}
+        base_shapes: Counter = Counter()
+        self._classes(classes, base_shapes)
+        words = lefts.groupBy("l").agg(F.max("lc").alias("lc"), F.sum("n").alias("total"), F.sum("ends").alias("ends"))
+        rho, base = self._of(self.rate, "lc"), self._of({k: self.PRIOR[k] if k in ("S", "I") else v for k, v in self.prior.items()}, "lc")
+        seen, sure = (F.col("ends") + self.PSEUDO * rho * base) / (rho * (F.col("total") + self.PSEUDO)), F.col("lc").isin(*self.SPLIT)
+        before = F.when(F.col("lc").isin("TH", "N^"), self._of(self.PRIOR, "lc")).when(sure & (seen > self.SURE), self.NEARLY_ALWAYS).when(sure & (seen < self.NEVER), self.NEXT_TO_NEVER)
+        words = cut_lineage(words.withColumn("before", before.otherwise(F.least(F.lit(0.99), F.greatest(F.lit(0.001), seen)))).select("l", "total", "before"))
+        starts = starts.groupBy("r").agg(F.sum("n").cast("double").alias("after_s"))
+        pairs = cut_lineage(pairs)
+        self.shape_s, self.shape_n = base_shapes, Counter(self.SHAPES)
+        self.lefts = words.withColumn("left_n", F.lit(0.0))
+        self.rights = starts.withColumn("any_n", F.lit(0.0))
+        found = pairs.withColumn("over", F.lit(0.0))
+        for _ in range(ROUNDS):
+            self.n_s, self.n_n = sum(self.shape_s.values()) + 1.0, sum(self.shape_n.values()) + 1.0
+            # a word may follow in two classes; what follows none is counted by word
+            mine = found.groupBy("l", "r").agg(F.sum("over").alias("mine"))
+            p = 1 / (1 + F.exp(-self._odds()))
+            chance = 3.0 * F.col("total") * F.col("before") * F.coalesce("after_s", F.lit(0.0)) / self.n_s
+            over = F.when(F.col("before") < 0.9, F.greatest(F.lit(0.0), F.col("n") * (1 - p) - chance)).otherwise(0.0)
+            rows = pairs.join(mine, ["l", "r"], "left").join(self.lefts, "l", "left").join(self.rights, "r", "left").withColumn("lc", F.lit(None).cast("string"))
+            found = cut_lineage(rows.select("l", "r", "rc", "n", (F.col("n") * p).alias("ended"), over.alias("over")))
+            shapes = found.groupBy("rc").agg(F.sum("ended"), F.sum("over")).collect()
+            self.shape_s, self.shape_n = base_shapes + Counter({r[0]: r[1] for r in shapes}), Counter(self.SHAPES) + Counter({r[0]: r[2] for r in shapes})
+            self.lefts = words.join(found.groupBy("l").agg(F.sum("over").alias("left_n")), "l", "left")
+            follows = found.select("r", F.col("ended").alias("after_s"), F.col("over").alias("any_n")).unionByName(starts.withColumn("any_n", F.lit(0.0)))
+            self.rights = cut_lineage(follows.groupBy("r").agg(F.sum("after_s").alias("after_s"), F.sum("any_n").alias("any_n")))
+        self.n_s, self.n_n = sum(self.shape_s.values()) + 1.0, sum(self.shape_n.values()) + 1.0
+        self.lefts = cut_lineage(self.lefts)
+        self.pairs = found.groupBy("l", "r").agg(F.sum("over").alias("mine"))
+
+    @staticmethod
+    def _of(values: dict[str, float], column: str) -> Column:
+        """The value of the class in the column."""
+        return F.create_map(*(F.lit(x) for k, v in values.items() for x in (k, float(v))))[F.col(column)] if values else F.lit(None).cast("double")
+
+    def _odds(self) -> Column:
+        """As Model._log_odds, over the joined columns of a context."""
+        none = F.lit(0.0)
+        p = F.coalesce("before", self._of(self.prior, "lc"), F.lit(0.5))
+        general = self.FLOOR * F.coalesce(self._of(self.shape_s, "rc"), none) / self.n_s
+        with_event = 0.95 * F.coalesce("after_s", none) / self.n_s + 0.05 * general + 1e-7
+        narrow = F.when(F.col("rc").isin(*self.OPEN), self.FLOOR).otherwise(1.0)
+        other = 0.7 * F.coalesce("any_n", none) / self.n_n + 0.3 * narrow * F.coalesce(self._of(self.shape_n, "rc"), none) / self.n_n
+        without = (F.coalesce("mine", none) + self.SHARED * other) / (F.coalesce("left_n", none) + self.SHARED) + 1e-7
+        return F.when(F.col("r") == END, 9.0).otherwise(F.ln(p / (1 - p)) + F.ln(with_event / without))
+
+    def scored(self, contexts: DataFrame) -> DataFrame:
+        """contexts: l, lc, r, rc and others. With the log odds of each."""
+        rows = contexts.join(self.pairs, ["l", "r"], "left").join(self.lefts, "l", "left").join(self.rights, "r", "left")
+        return rows.select(*contexts.columns, self._odds().alias("odds"))
+
+    def units(self, text: str | None, known: dict[str, list]) -> list[tuple[int, int]]:
+        """Of a single text; segment looks up those of a table."""
+        contexts = sorted(contexts_of((text,)))
+        if not contexts:
+            return Looked({}).units(text, known)
+        rows = self.scored(self.lefts.sparkSession.createDataFrame(contexts, "l string, lc string, r string, rc string")).collect()
+        return Looked({((r.l, r.lc), (r.r, r.rc)): r.odds for r in rows}).units(text, known)
+
+
+def contexts_of(texts: tuple[str | None, ...]) -> set[tuple[str, str, str, str]]:
+    """(left, class, right, class) of the places of a row at which the line doesn't end."""
+    out = set()
+    for stored in {m.group() for text in texts for m in _LINE.finditer(text or "")}:
+        line = compact(stored)[0]
+        out.update((*left, *right) for _, _, left, right in places(line, matched(line)) if right[0] != END)
+    return out
 
 
 def fit(texts: DataFrame) -> Model:
-    """texts: string columns, the fields of a row. Counts over all of them; tables of at most about MOST_ROWS rows reach the driver."""
+    """texts: string columns, the fields of a row. Counts over all of them; tables of at most MOST_ROWS rows reach the driver, larger ones stay where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def hand_on() -> pa.RecordBatch:
@@ -413,46 +501,70 @@ def fit(texts: DataFrame) -> Model:
     table = cut_lineage(counted.groupBy("l", "lc", "r", "rc").agg(F.sum("n").alias("n")))
     inner = F.col("lc") != START
     lefts = table.where(inner).groupBy("l", "lc").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("rc") == END, F.col("n")).otherwise(0)).alias("ends"))
-    least = _least(lefts)
-    if least > 1:  # rare words before a place stand together, by class
-        common = lefts.where(F.col("n") >= least).select("l", "lc", F.lit(True).alias("kept"))
-        table = cut_lineage(table.join(F.broadcast(common), ["l", "lc"], "left").withColumn("l", F.when(F.col("kept") | ~inner, F.col("l")).otherwise(F.concat(F.lit(RARE), "lc"))).groupBy("l", "lc", "r", "rc").agg(F.sum("n").alias("n")))
-        lefts = table.where(inner).groupBy("l", "lc").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("rc") == END, F.col("n")).otherwise(0)).alias("ends"))
-
-    def bounded(rows: DataFrame, *keys: str) -> list[tuple]:
-        """Rows with their counts; rare words after a place stand together, by class."""
-        floor = _least(rows)
-        rows = rows.withColumn("r", F.when(F.col("n") >= floor, F.col("r")).otherwise(RARE)).groupBy(*keys).agg(F.sum("n").alias("n"))
+    starts = table.where(~inner).groupBy("r", "rc").agg(F.sum("n").alias("n"))
+    pairs = table.where(inner & (F.col("rc") != END)).groupBy("l", "r", "rc").agg(F.sum("n").alias("n"))
+    classes = [tuple(r) for r in table.groupBy("lc", "rc").agg(F.sum("n").alias("n")).orderBy("lc", "rc").collect()]
+    if max(rows.count() for rows in (lefts, starts, pairs)) > MOST_ROWS:
+        return Wide(lefts, starts, pairs, classes)
+
+    def held_here(rows: DataFrame, *keys: str) -> list[tuple]:
         return [tuple(r) for r in rows.orderBy(*keys).collect()]
 
-    starts = bounded(table.where(~inner).groupBy("r", "rc").agg(F.sum("n").alias("n")), "r", "rc")
-    pairs = bounded(table.where(inner & (F.col("rc") != END)).groupBy("l", "r", "rc").agg(F.sum("n").alias("n")), "l", "r", "rc")
-    classes = [tuple(r) for r in table.groupBy("lc", "rc").agg(F.sum("n").alias("n")).orderBy("lc", "rc").collect()]
-    return Model([tuple(r) for r in lefts.orderBy("l", "lc").collect()], starts, pairs, classes)
+    return Model(held_here(lefts, "l", "lc"), held_here(starts, "r", "rc"), held_here(pairs, "l", "r", "rc"), classes)
+
+
+def _units_of(model: Model, rows: pa.RecordBatch | pa.Table, key: str, fields: tuple[str, ...]) -> list[pa.Array | pa.ChunkedArray]:
+    """Key, field, start and end of each unit."""
+    texts = [rows.column(k).to_pylist() for k in fields]
+    source, field, starts, ends = [], [], [], []
+    for i in range(rows.num_rows):
+        known: dict[str, list] = {}  # the fields of a row share most lines
+        for k in range(len(fields)):
+            for a, b in model.units(texts[k][i], known):
+                source.append(i)
+                field.append(k)
+                starts.append(a)
+                ends.append(b)
+    names = pa.DictionaryArray.from_arrays(pa.array(field, pa.int32()), pa.array(fields)).cast(pa.string())
+    return [rows.column(key).take(pa.array(source, pa.int32())), names, pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
 
 
 def segment(df: DataFrame, model: Model, key: str, *fields: str) -> DataFrame:
     """(key, field, start_pos, end_pos) of the units of each field."""
+    names, schema = [key, "field", "start_pos", "end_pos"], f"{key} string, field string, start_pos int, end_pos int"
+    if isinstance(model, Wide):
+        return _segment_wide(df, model, key, fields, names, schema)
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
         for batch in in_slices(batches):
-            keys = batch.column(0).to_pylist()
-            texts = [batch.column(k + 1).to_pylist() for k in range(len(fields))]
-            source, field, starts, ends = [], [], [], []
-            for i in range(len(keys)):
-                known: dict[str, list] = {}  # the fields of a row share most lines
-                for k in range(len(fields)):
-                    for a, b in model.units(texts[k][i], known):
-                        source.append(i)
-                        field.append(k)
-                        starts.append(a)
-                        ends.append(b)
-            names = pa.DictionaryArray.from_arrays(pa.array(field, pa.int32()), pa.array(fields)).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int32())), names, pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[key, "field", "start_pos", "end_pos"])
-
-    return df.select(key, *fields).mapInArrow(run, f"{key} string, field string, start_pos int, end_pos int")
+            yield pa.RecordBatch.from_arrays(_units_of(held.value, batch, key, fields), names=names)
+
+    return df.select(key, *fields).mapInArrow(run, schema)
+
+
+def _segment_wide(df: DataFrame, model: Wide, key: str, fields: tuple[str, ...], names: list[str], schema: str) -> DataFrame:
+    """Each block of rows meets the log odds of its contexts."""
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches):
+            held: dict[int, set] = defaultdict(set)
+            for block, *texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held[block] |= contexts_of(tuple(texts))
+            for block, mine in held.items():
+                columns = list(zip(*mine, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(mine), pa.int64()), *(pa.array(c, pa.string()) for c in columns)], names=["block", "l", "lc", "r", "rc"])
+
+    def units(rows: pa.Table, found: pa.Table) -> pa.Table:
+        l, lc, r, rc, odds = (found.column(c).to_pylist() for c in ("l", "lc", "r", "rc", "odds"))
+        looked = Looked(dict(zip(zip(zip(l, lc, strict=True), zip(r, rc, strict=True), strict=True), odds, strict=True)))
+        return pa.Table.from_arrays(_units_of(looked, rows, key, fields), names=names)
+
+    rows = cut_packed(df.select(key, *fields).withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK_ROWS)))
+    asked = rows.select("block", *fields).mapInArrow(contexts, "block long, l string, lc string, r string, rc string")
+    # each context is looked up once, however many blocks hold it
+    found = model.scored(asked.groupBy("l", "lc", "r", "rc").agg(F.collect_set("block").alias("blocks"))).withColumn("block", F.explode("blocks")).drop("blocks")
+    return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(units, schema)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,6 +77,34 @@ def test_rare_words_keep_their_counts(spark, monkeypatch):
         assert cut(small, text) == cut(whole, text)
 
 
+def test_units_are_the_same_where_tables_outgrow_the_driver(spark, monkeypatch):
+    """No word is put together with others, however many there are: the same odds and the same units."""
+    rng = random.Random(4)
+    rows = [(f"r{i}", " ".join(rng.choices(group, k=3)), None) for i in range(120) for group in (LATIN, HINDI, GERMAN)]
+    # rare short words of which some never end a line, with a capital after them, and some always do
+    rows += [(f"a{i}", f"The board saw ab{i}. Quor{i} and left.\nIt kept zz{i}.\nThen it kept zz{i}.", f"N. It saw {i}. N there. The board must keep endword{i}. Then") for i in range(60) for _ in range(4)]
+    df = spark.createDataFrame([(f"{k}-{n}", *r) for n, (k, *r) in enumerate(rows)], "id string, text string, retrieval_text string")
+    found = {}
+    for most in (S.MOST_ROWS, 40):
+        monkeypatch.setattr(S, "MOST_ROWS", most)
+        monkeypatch.setattr(S, "BLOCK_ROWS", 50, raising=False)
+        found[most] = S.fit(df.select("text", "retrieval_text"))
+        found[most, "units"] = sorted(map(tuple, S.segment(df, found[most], "id", "text", "retrieval_text").collect()))
+    assert found[S.MOST_ROWS, "units"] == found[200_000, "units"]
+    contexts = sorted(set().union(*(S.contexts_of(r[1:]) for r in rows)))
+    given = spark.createDataFrame([*contexts, ("unseen", "S", "Unseen", "U")], "l string, lc string, r string, rc string")
+    odds = {tuple(r)[:4]: r.odds for r in found[S.MOST_ROWS].scored(given).collect()}
+    assert len(odds) == len(contexts) + 1
+    for (l, lc, r, rc), at in odds.items():
+        assert at == pytest.approx(found[200_000].log_odds((l, lc), (r, rc)), rel=1e-9, abs=1e-9)
+
+
+def test_priors_of_a_class_have_no_step():
+    """The share seen outweighs the one set by hand little by little, not from some number of places on."""
+    prior = [S.Model([], [], [], [("S", S.END, 10), ("S", "U", n - 10)]).prior["S"] for n in (199, 200, 201, 202, 20000)]
+    assert max(abs(b - a) for a, b in zip(prior[:4], prior[1:4], strict=False)) < 0.01 and prior[4] < 0.02
+
+
 def test_lines_of_both_fields_count_once():
     one, two = Counter(), Counter()
     S.count_contexts(("The board must act. It may wait.",), one)
