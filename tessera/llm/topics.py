@@ -1,25 +1,26 @@
 """Problem 5: topic clusters with their size and most typical members.
 
-Each partition of the rows builds a tree of mergeable cluster features (count, sum, sum of
-squares); the leaf entries of all partitions are merged in rounds, a bounded number of
-trees per task, until one tree is left. Ward agglomeration runs over its leaf entries; the
-levels are cut where the next merge costs many times the last one and the leaf concepts
+Each partition of the rows builds trees of mergeable cluster features (count, sum, sum of
+squares); a full tree hands its leaf entries on and starts again, so no entry is left out or
+widened, however many there are. The entries of all partitions are merged in one tree; where
+they are too many for one, those that lie around the same pivot are merged, each time around
+other pivots. Ward agglomeration runs over the entries that may begin a topic; the levels are cut where the next merge costs many times the last one and the leaf concepts
 fall into most clusters. Then one pass compares every row with every centroid; rows below
 the valley of the similarities to their nearest centroid are left over. Members nearest to
 their centroid describe the cluster.
 
-Thin entries of a tree that is more than half full are not carried upward (they would crowd
-out the entries of topics). Their rows are left over by the first assignment, and the rows
-left over are clustered again, by themselves, until no entry of LEAST rows is among them; so
-topics too small to show beside all rows come out of a later round. What is left then are
-strays.
+The same rule holds at every size: an entry begins a topic if it holds LEAST rows, or takes
+in a concept that no such entry takes in (a topic of few rows with its concept). The rows of
+other entries are left over by the first assignment if no topic is near, and the rows left
+over are clustered again, by themselves, until no sound topic of LEAST rows is among them
+(ROUNDS times at most). What is left then are strays.
 
 Where several leaf concepts fall into one cluster, the cluster is split between them: each
 member goes to the nearest of the cluster's concepts.
 
 Defined cases: null, all-zero, non-finite and odd-length vectors and those of other models
 take no part; a repeated chunk counts once; no rows give no clusters; a cluster in which no
-concept falls has none.
+concept falls has none; where no entry holds LEAST rows, the largest begin topics.
 """
 
 from __future__ import annotations
@@ -34,34 +35,33 @@ from pyspark.sql import functions as F
 from tessera.llm.neighbours import chunk_vectors, usable
 from tessera.plans.runtime import cut_lineage, read_table
 
-#: Leaf entries under one inner node, and leaf entries of a tree.
+#: Leaf entries under one inner node, and leaf entries of a tree that is handed on and of those merged at once.
 BRANCHING, MOST_LEAVES = 64, 20_000
-#: Mean squared distance between the members of a leaf entry (unit vectors: 2 - 2 * mean cosine) to start with.
+#: Mean squared distance between the members of a leaf entry (unit vectors: 2 - 2 * mean cosine).
 DIAMETER = 1.0
-#: Trees merged by one task of a round.
-FAN_IN = 16
-#: An entry with less than this share of the rows of its tree is thin.
-THIN = 0.0005
-#: Rows an entry holds at least to begin a topic in a later round, and rounds at most (each takes the rows left over by the last).
-LEAST, ROUNDS = 8, 8
-#: Share of the rows that entries of that many rows must hold for the others to be left to a later round.
-MOST_SHARE = 0.75
+#: Times that entries meet around other pivots at least, and the share that is left of them where another time is not worth it.
+MEETINGS, SHRUNK = 4, 0.98
+#: Rows an entry holds at least to begin a topic, if no concept speaks for it.
+LEAST = 8
+#: Rounds at most (each takes the rows left over by the last).
+ROUNDS = 8
 #: Rows compared with all entries at once.
 AT_ONCE = 2048
 TYPICAL = 3
-SUMMARY = "part long, n double, total array<double>, squares double"
+SUMMARY = "n double, total array<double>, squares double"
 
 
 class Tree:
     """Cluster features in leaf entries under inner nodes of bounded fan-out.
 
     An entry takes in a point (or another entry) if its mean squared diameter stays within
-    the threshold. A full tree leaves out its thin entries, or raises its threshold, and is built again from its entries.
+    the threshold. A full tree hands its entries on and starts again.
     """
 
     def __init__(self, dimensions: int, most: int = MOST_LEAVES, threshold: float = DIAMETER):
         self.dim, self.most, self.threshold = dimensions, most, threshold
-        self.left_n, self.left_total = 0.0, np.zeros(dimensions)  # of thin entries that gave way
+        self.left_n, self.left_total = 0.0, np.zeros(dimensions)  # of the entries handed on
+        self.handed: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self._clear()
 
     def _clear(self) -> None:
@@ -89,7 +89,7 @@ class Tree:
                 self._grow(node, n, total)
                 return
         if self.count == self.most:
-            self._rebuild()
+            self._hand_on()
             self.insert(n, total, squares)
             return
         k = self.count
@@ -139,29 +139,20 @@ class Tree:
             self.node_n[where], self.node_total[where] = self.n[part].sum(), self.total[part].sum(axis=0)
             self.node_centre[where] = self.node_total[where] / max(self.node_n[where], 1)
 
-    def _rebuild(self) -> None:
-        """Room for more entries: without the thin ones where these are a fifth at least, else under a wider threshold."""
-        n, total, squares = (v[: self.count].copy() for v in (self.n, self.total, self.squares))
-        kept = n >= max(1.0, THIN * n.sum())
-        if kept.mean() <= 0.8:
-            self.left_n += n[~kept].sum()
-            self.left_total += total[~kept].sum(axis=0)
-            n, total, squares = n[kept], total[kept], squares[kept]
-        else:
-            self.threshold *= 1.04
-        while True:
-            self._clear()
-            for k in np.argsort(-n, kind="stable"):
-                self.insert(n[k], total[k], squares[k])
-            if self.count <= 0.8 * self.most:
-                return
-            self.threshold *= 1.04
+    def _hand_on(self) -> None:
+        self.handed.append(self.leaves())
+        self.left_n += self.n[: self.count].sum()
+        self.left_total += self.total[: self.count].sum(axis=0)
+        self._clear()
 
     def leaves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """n, sums and sums of squares of the entries; without the thin ones where the tree is more than half full."""
-        n = self.n[: self.count]
-        kept = np.flatnonzero(n >= max(1.0, THIN * n.sum() * (self.count > self.most // 2)))
-        return n[kept], self.total[kept], self.squares[kept]
+        """n, sums and sums of squares of the entries."""
+        return self.n[: self.count], self.total[: self.count], self.squares[: self.count]
+
+    def takes_in(self, n: np.ndarray, total: np.ndarray, squares: np.ndarray, given: np.ndarray) -> np.ndarray:
+        """Whether each entry would take in each of the given unit vectors."""
+        m, t = n + 1, (total**2).sum(axis=1)[:, None] + 2 * total @ given.T + 1
+        return 2 * ((m * (squares + 1))[:, None] - t) <= self.threshold * (m * (m - 1))[:, None]
 
 
 def ward(n: np.ndarray, total: np.ndarray) -> list[tuple[int, int, float]]:
@@ -207,14 +198,14 @@ def _labels(count: int, merges: list[tuple[int, int, float]], clusters: int) ->
     return np.unique(up, return_inverse=True)[1]
 
 
-def cut_levels(n: np.ndarray, total: np.ndarray, squares: np.ndarray, concepts: np.ndarray, least: int = 1) -> np.ndarray:
+def cut_levels(n: np.ndarray, total: np.ndarray, squares: np.ndarray, concepts: np.ndarray) -> np.ndarray:
     """Unit centroids of the clusters. Of the levels whose next merge costs at least 1.3 times the last one, those whose
     clusters hold most concepts are kept, and of these the one with the steepest step. Without concepts the step alone decides.
     The entries as they are count as a level too: the last merge inside an entry costs about the sum of squares along two axes."""
     merges = ward(n, total)
     inside = np.maximum(squares - (total**2).sum(axis=1) / n, 0) * 2 / total.shape[1]
     heights = np.maximum.accumulate([float(np.quantile(inside, 0.9)), *(h for *_, h in merges)])
-    best, out, size = (-1, 0.0), total.sum(axis=0, keepdims=True), np.array([n.sum()])
+    best, out = (-1, 0.0), total.sum(axis=0, keepdims=True)
     for i in range(len(merges)):
         clusters, step = len(n) - i, heights[i + 1] / max(heights[i], 1e-12)
         if step < 1.3:
@@ -225,61 +216,83 @@ def cut_levels(n: np.ndarray, total: np.ndarray, squares: np.ndarray, concepts:
         unit = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
         held = len(np.unique((concepts @ unit.T).argmax(axis=1))) if len(concepts) else 0
         if (held, step) > best:
-            best, out, size = (held, step), unit, np.bincount(label, n)
-    # a few rows by themselves are no topic yet; they are left over for the next round
-    out = out[size >= min(least, size.max())]
+            best, out = (held, step), unit
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def _summary(part: int, tree: Tree) -> pa.RecordBatch:
-    n, total, squares = tree.leaves()
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, total.size + 1, tree.dim, dtype=np.int32)), pa.array(total.ravel()))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part)), pa.array(n), lists, pa.array(squares)], names=["part", "n", "total", "squares"])
+def _summary(n: np.ndarray, total: np.ndarray, squares: np.ndarray) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, total.size + 1, total.shape[1], dtype=np.int32)), pa.array(total.ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(n), lists, pa.array(squares)], names=["n", "total", "squares"])
 
 
-def summarise(rows: DataFrame, dimensions: int, later: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """n, sums and sums of squares of the leaf entries of one tree over all rows, and the rows an entry holds at least; MOST_LEAVES of them at most reach the driver."""
+def _entries(table: pa.RecordBatch | pa.Table, dimensions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    total = table.column("total")
+    total = total.combine_chunks() if isinstance(total, pa.ChunkedArray) else total
+    return table.column("n").to_numpy(), total.flatten().to_numpy().reshape(-1, dimensions), table.column("squares").to_numpy()
 
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        tree = Tree(dimensions)
+def _merged(entries: DataFrame, dimensions: int, pivots: np.ndarray | None = None) -> DataFrame:
+    """The entries nearest to each pivot in one tree; without pivots all of them."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions).astype(float)
-                tree.insert_many(x / np.linalg.norm(x, axis=1, keepdims=True))
-        if tree.count:
-            yield _summary(TaskContext.get().partitionId() // FAN_IN, tree)
+            cell = (_entries(batch, dimensions)[1] @ pivots.T).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["n", "total", "squares", "cell"])
 
     def merge(table: pa.Table) -> pa.Table:
-        tree = Tree(dimensions)
-        n = table.column("n").to_numpy()
-        total = np.array(table.column("total").to_pylist()).reshape(-1, dimensions)
-        squares = table.column("squares").to_numpy()
+        n, total, squares = _entries(table, dimensions)
+        tree = Tree(dimensions, len(n))
         for k in np.argsort(-n, kind="stable"):
             tree.insert(n[k], total[k], squares[k])
-        return pa.Table.from_batches([_summary(table.column("part")[0].as_py() // FAN_IN, tree)])
-
-    trees = rows.select("vec")
-    parts = trees.rdd.getNumPartitions()
-    summary = cut_lineage(trees.mapInArrow(grow, SUMMARY))
-    while True:
-        parts = -(-parts // FAN_IN)
-        summary = cut_lineage(summary.groupBy("part").applyInArrow(merge, SUMMARY))
-        if parts <= 1:
-            break
-    # entries too thin for a topic stay in the cluster; how thin that is, the table of all entries tells
-    held = summary.groupBy(F.least(F.floor("n"), F.lit(LEAST)).alias("k")).agg(F.sum("n").alias("n")).collect()
-    few = LEAST if later else least_rows({int(r[0]): float(r[1]) for r in held})
-    leaves = summary.where(F.col("n") >= few).select("n", "total", "squares").orderBy(F.desc("n"), "total").collect()
-    return np.array([r[0] for r in leaves]), np.array([r[1] for r in leaves]).reshape(-1, dimensions), np.array([r[2] for r in leaves]), few
+        return pa.Table.from_batches([_summary(*tree.leaves())])
 
+    placed = entries.withColumn("cell", F.lit(0)) if pivots is None else entries.mapInArrow(near, f"{SUMMARY}, cell long")
+    return cut_lineage(placed.groupBy("cell").applyInArrow(merge, SUMMARY))
+
+
+def summarise(rows: DataFrame, dimensions: int, given: np.ndarray, later: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n, sums and sums of squares of the entries over all rows that may begin a topic; only these reach the driver. given: unit vectors of concepts."""
+    most = MOST_LEAVES
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = Tree(dimensions, most)
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions).astype(float)
+                tree.insert_many(x / np.linalg.norm(x, axis=1, keepdims=True))
+            while tree.handed:
+                yield _summary(*tree.handed.pop())
+        if tree.count:
+            yield _summary(*tree.leaves())
+
+    entries = cut_lineage(rows.select("vec").mapInArrow(grow, SUMMARY))
+    count, before, met = entries.count(), 0, 0
+    while count > most and (met < MEETINGS or count < SHRUNK * before):
+        chosen = entries.orderBy(F.xxhash64("total", F.lit(met))).limit(-(-2 * count // most)).select("total").collect()
+        pivots = np.array([r[0] for r in chosen])
+        entries = _merged(entries, dimensions, pivots / np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-12))
+        count, before, met = entries.count(), count, met + 1
+    if count <= most:
+        entries = _merged(entries, dimensions)
+    few = LEAST if later else min(LEAST, entries.agg(F.max("n")).first()[0] or LEAST)
+    thick = entries.where(F.col("n") >= few)
+    if count > most:  # what met around different pivots
+        thick = _merged(thick, dimensions)
+
+    def collected(entries: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        held = entries.orderBy(F.desc("n"), "total").collect()
+        return np.array([r[0] for r in held]), np.array([r[1] for r in held]).reshape(-1, dimensions), np.array([r[2] for r in held])
+
+    found = collected(thick)
+    alone = given if not len(found[0]) else given[~Tree(dimensions, 1).takes_in(*found, given).any(axis=0)]
+    if later or not len(alone):
+        return found
+
+    def spoken_for(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(Tree(dimensions, 1).takes_in(*_entries(batch, dimensions), alone).any(axis=1)))
 
-def least_rows(rows: dict[int, float]) -> int:
-    """rows: rows in entries of that many (LEAST: or more). What an entry must hold in the first round: LEAST if entries of
-    that many hold most rows; in small tables fewer."""
-    total = sum(rows.values())
-    return next((k for k in (LEAST, LEAST // 2, LEAST // 4) if total and sum(n for m, n in rows.items() if m >= k) >= MOST_SHARE * total), 1)
+    return tuple(np.concatenate(pair) for pair in zip(found, collected(entries.where(F.col("n") < few).mapInArrow(spoken_for, SUMMARY)), strict=True))
 
 
 def valley(counts: dict[int, int], bins: int = 50) -> float:
@@ -329,10 +342,10 @@ def cluster(rows: DataFrame, concepts: list[tuple[str, list[float]]], dimensions
     names = [name for name, _ in concepts]
     given = np.array([v for _, v in concepts], dtype=float).reshape(-1, dimensions)
     given /= np.maximum(np.linalg.norm(given, axis=1, keepdims=True), 1e-12)
-    n, total, squares, few = summarise(left, dimensions)
+    n, total, squares = summarise(left, dimensions, given)
     if not len(n):
         return spark.createDataFrame([], "id string, cluster int, similarity double, concept_id string")
-    centres = cut_levels(n, total, squares, given, few)
+    centres = cut_levels(n, total, squares, given)
     waiting, out, least, typical, first, known = list(range(len(names))), None, None, None, 0, centres
     for _ in range(ROUNDS):
         # a concept belongs to the cluster nearest to it; one that lies in none yet waits for a later round
@@ -359,13 +372,13 @@ def cluster(rows: DataFrame, concepts: list[tuple[str, list[float]]], dimensions
         out = members if out is None else out.unionByName(members)
         waiting, first = [c for c in waiting if c not in placed], first + len(centres)
         left = cut_lineage(assigned.where(~taken).select("id", "vec"))
-        n, total, squares, _ = summarise(left, dimensions, later=True)
+        n, total, squares = summarise(left, dimensions, given, later=True)
         # an entry that lies in a cluster found before is the edge of it, no topic
         unit = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)
         thick = ((unit @ known.T).max(axis=1, initial=-1.0) < least)
         if not thick.any():
             break
-        centres = cut_levels(n[thick], total[thick], squares[thick], np.zeros((0, dimensions)), LEAST) if thick.sum() > 2 else unit[thick]
+        centres = cut_levels(n[thick], total[thick], squares[thick], np.zeros((0, dimensions))) if thick.sum() > 2 else unit[thick]
         known = np.concatenate([known, centres])
     return out
 

@@ -98,3 +98,26 @@ def test_insert_many_keeps_all_it_takes():
     assert tree.n.sum() + tree.left_n == len(x) and np.allclose(tree.total[: tree.count].sum(axis=0) + tree.left_total, x.sum(axis=0))
     assert all(tree.of[k] == node for node, members in enumerate(tree.nodes) for k in members)
     assert np.allclose([tree.node_n[i] for i in range(len(tree.nodes))], [tree.n[m].sum() for m in tree.nodes])
+
+
+def test_full_trees_leave_no_entry_out():
+    """Beside a spot of many rows, a tree that fills up keeps every single row in an entry as narrow as any other."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([np.tile(rng.standard_normal(64), (3000, 1)), rng.standard_normal((180, 64))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = P.Tree(64, most=100)
+    for v in x:
+        tree.insert(1.0, v, 1.0)
+    parts = [*getattr(tree, "handed", []), tree.leaves()]
+    assert sum(p[0].sum() for p in parts) == len(x) and tree.threshold == P.DIAMETER
+
+
+def test_entries_beyond_one_tree(spark, monkeypatch):
+    """Far more entries than one tree holds: those of a topic still meet, and the rows are the same."""
+    rows, label, centre = planted(spark, [3000, 2000] + [12] * 5, 2500)
+    concepts = [(f"k{i}", list(map(float, c))) for i, c in enumerate(centre)]
+    one = {r.id: r.concept_id for r in P.cluster(rows, concepts, 48).collect() if r.concept_id}
+    monkeypatch.setattr(P, "MOST_LEAVES", 500)
+    many = {r.id: r.concept_id for r in P.cluster(rows, concepts, 48).collect() if r.concept_id}
+    planted_rows = [f"r{i}" for i in np.flatnonzero(label >= 0)]
+    assert [one.get(i) for i in planted_rows] == [many.get(i) for i in planted_rows] and None not in [many.get(i) for i in planted_rows]
