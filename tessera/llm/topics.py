@@ -9,6 +9,10 @@ fall into most clusters. Then one pass compares every row with every centroid; r
 the valley of the similarities to their nearest centroid are left over. Members nearest to
 their centroid describe the cluster.
 
+The cost of a merge grows with the rows, so the level that parts small topics may cut a large
+one in two. Clusters with many rows on the border between them are parts of one topic and are joined
+before concepts are given to clusters.
+
 The same rule holds at every size: an entry begins a topic if it holds LEAST rows, or takes
 in a concept that no such entry takes in (a topic of few rows with its concept). The rows of
 other entries are left over by the first assignment if no topic is near, and the rows left
@@ -45,6 +49,8 @@ MEETINGS, SHRUNK = 4, 0.98
 LEAST = 8
 #: Rounds at most (each takes the rows left over by the last).
 ROUNDS = 8
+#: Width of the border between two clusters (difference of a row's similarities to both), and the share of the smaller one's rows in it from which both are one topic.
+BORDER, SHARED = 0.1, 0.1
 #: Rows compared with all entries at once.
 AT_ONCE = 2048
 TYPICAL = 3
@@ -150,9 +156,8 @@ class Tree:
         return self.n[: self.count], self.total[: self.count], self.squares[: self.count]
 
     def takes_in(self, n: np.ndarray, total: np.ndarray, squares: np.ndarray, given: np.ndarray) -> np.ndarray:
-        """Whether each entry would take in each of the given unit vectors."""
-        m, t = n + 1, (total**2).sum(axis=1)[:, None] + 2 * total @ given.T + 1
-        return 2 * ((m * (squares + 1))[:, None] - t) <= self.threshold * (m * (m - 1))[:, None]
+        """Whether each of the given unit vectors lies as near to the rows of each entry, in the mean, as these may to each other (however many they are)."""
+        return (squares / n)[:, None] - 2 * (total / n[:, None]) @ given.T + 1 <= self.threshold
 
 
 def ward(n: np.ndarray, total: np.ndarray) -> list[tuple[int, int, float]]:
@@ -285,7 +290,7 @@ def summarise(rows: DataFrame, dimensions: int, given: np.ndarray, later: bool =
 
     found = collected(thick)
     alone = given if not len(found[0]) else given[~Tree(dimensions, 1).takes_in(*found, given).any(axis=0)]
-    if later or not len(alone):
+    if not len(alone):
         return found
 
     def spoken_for(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,31 +312,75 @@ def valley(counts: dict[int, int], bins: int = 50) -> float:
     return (low + int(np.flatnonzero(between == between.min())[-1])) / bins
 
 
-def _assigned(rows: DataFrame, centres: np.ndarray, first: int, given: np.ndarray, owners: dict[int, list[int]], names: list[str]) -> DataFrame:
-    """(id, vec, cluster, similarity, concept_id): the nearest centroid of each row, numbered from first, and the nearest of its concepts."""
-    sent = rows.sparkSession.sparkContext.broadcast((centres, given, owners, names))
+def _assigned(rows: DataFrame, centres: np.ndarray, first: int) -> DataFrame:
+    """(id, vec, cluster, similarity, second, margin): the nearest centroid of each row, numbered from first, the next one and how much less similar it is."""
+    sent = rows.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, given, owners, names = sent.value
+        centres = sent.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, centres.shape[1]).astype(float)
             x = x / np.linalg.norm(x, axis=1)[:, None]
-            best, score = np.zeros(len(x), np.int64), np.zeros(len(x))
+            (best, second), (score, next_score) = np.zeros((2, len(x)), np.int64), np.zeros((2, len(x)))
             for low in range(0, len(x), AT_ONCE):
-                s = x[low : low + AT_ONCE] @ centres.T
-                best[low : low + AT_ONCE] = s.argmax(axis=1)
-                score[low : low + AT_ONCE] = s.max(axis=1)
-            concept = np.full(len(x), -1)
-            for k in np.unique(best):
+                s, here = x[low : low + AT_ONCE] @ centres.T, slice(low, low + AT_ONCE)
+                best[here], score[here] = s.argmax(axis=1), s.max(axis=1)
+                s[np.arange(len(s)), best[here]] = -np.inf
+                second[here], next_score[here] = s.argmax(axis=1), s.max(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array((best + first).astype(np.int32)), pa.array(score), pa.array((second + first).astype(np.int32)), pa.array(score - next_score)],
+                names=["id", "vec", "cluster", "similarity", "second", "margin"],
+            )
+
+    return cut_lineage(rows.select("id", "vec").mapInArrow(run, "id string, vec array<float>, cluster int, similarity double, second int, margin double"))
+
+
+def _parts(assigned: DataFrame, least: float, held: dict[int, int]) -> list[tuple[int, int]]:
+    """Pairs of clusters that are parts of one topic: SHARED of the rows of the smaller one, and LEAST of them, lie about as near to both. held: rows of each cluster."""
+    near = assigned.where((F.col("similarity") >= least) & (F.col("margin") < BORDER / 2))
+    between = near.groupBy(F.least("cluster", "second").alias("one"), F.greatest("cluster", "second").alias("other")).count().where(F.col("count") >= LEAST)
+    return [(r[0], r[1]) for r in between.collect() if r[2] >= SHARED * min(held.get(r[0], 0), held.get(r[1], 0))]
+
+
+def _joined(centres: np.ndarray, pairs: list[tuple[int, int]], weight: dict[int, float]) -> np.ndarray:
+    """Unit centroids where those of each pair are one. weight: sum of the similarities of a cluster's rows, the length of the sum of their vectors."""
+    up = list(range(len(centres)))
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    roots = np.array([top(k) for k in range(len(centres))])
+    sums = np.zeros_like(centres)
+    np.add.at(sums, roots, centres * np.array([max(weight.get(k, 0.0), 1e-9) for k in range(len(centres))])[:, None])
+    sums = sums[np.unique(roots)]
+    return sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+
+
+def _named(members: DataFrame, given: np.ndarray, owners: dict[int, list[int]], names: list[str]) -> DataFrame:
+    """(id, cluster, similarity, concept_id): the nearest of the concepts of each row's cluster."""
+    sent = members.sparkSession.sparkContext.broadcast((given, owners, names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given, owners, names = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, given.shape[1]).astype(float)
+            cluster, concept = batch.column(2).to_numpy(), np.full(len(x), -1)
+            for k in np.unique(cluster):
                 if mine := owners.get(int(k)):
-                    who = np.flatnonzero(best == k)
+                    who = np.flatnonzero(cluster == k)
                     concept[who] = np.array(mine)[(x[who] @ given[mine].T).argmax(axis=1)]
-            known = pa.array([names[c] if c >= 0 else None for c in concept], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((best + first).astype(np.int32)), pa.array(score), known], names=["id", "vec", "cluster", "similarity", "concept_id"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array([names[c] if c >= 0 else None for c in concept], pa.string())], names=["id", "cluster", "similarity", "concept_id"])
 
-    return cut_lineage(rows.select("id", "vec").mapInArrow(run, "id string, vec array<float>, cluster int, similarity double, concept_id string"))
+    return members.select("id", "vec", "cluster", "similarity").mapInArrow(run, "id string, cluster int, similarity double, concept_id string")
 
 
 def cluster(rows: DataFrame, concepts: list[tuple[str, list[float]]], dimensions: int) -> DataFrame:
@@ -346,20 +395,24 @@ def cluster(rows: DataFrame, concepts: list[tuple[str, list[float]]], dimensions
     if not len(n):
         return spark.createDataFrame([], "id string, cluster int, similarity double, concept_id string")
     centres = cut_levels(n, total, squares, given)
-    waiting, out, least, typical, first, known = list(range(len(names))), None, None, None, 0, centres
+    waiting, out, least, typical, first, known = list(range(len(names))), None, None, None, 0, np.zeros((0, dimensions))
     for _ in range(ROUNDS):
+        while True:
+            assigned = _assigned(left, centres, first)
+            low = least if least is not None else valley({r[0]: r[1] for r in assigned.groupBy(F.floor(F.col("similarity") * 50).cast("int")).count().collect()})
+            reached = F.col("similarity") >= low
+            held = {r[0]: (r[1], r[2]) for r in assigned.where(reached).groupBy("cluster").agg(F.count("*"), F.avg("similarity")).collect()}
+            pairs = _parts(assigned, low, {c: k for c, (k, _) in held.items()}) if len(centres) > 1 else []
+            if not pairs:
+                break
+            centres = _joined(centres, [(a - first, b - first) for a, b in pairs], {c - first: k * m for c, (k, m) in held.items()})
+        least, known = low, np.concatenate([known, centres])
         # a concept belongs to the cluster nearest to it; one that lies in none yet waits for a later round
         nearest = given @ centres.T
         owners: dict[int, list[int]] = {}
-        placed = [c for c in waiting if least is None or nearest[c].max() >= least]
+        placed = [c for c in waiting if nearest[c].max() >= least]
         for c in placed:
-            owners.setdefault(int(nearest[c].argmax()), []).append(c)
-        assigned = _assigned(left, centres, first, given, owners, names)
-        if least is None:
-            least = valley({r[0]: r[1] for r in assigned.groupBy(F.floor(F.col("similarity") * 50).cast("int")).count().collect()})
-            placed = [c for c in placed if nearest[c].max() >= least]
-        reached = F.col("similarity") >= least
-        held = {r[0]: (r[1], r[2]) for r in assigned.where(reached).groupBy("cluster").agg(F.count("*"), F.avg("similarity")).collect()}
+            owners.setdefault(int(nearest[c].argmax()) + first, []).append(c)
         if typical is None:
             typical = sum(k * m for k, m in held.values()) / max(sum(k for k, _ in held.values()), 1)
             taken = reached
@@ -368,18 +421,18 @@ def cluster(rows: DataFrame, concepts: list[tuple[str, list[float]]], dimensions
             if not sound:
                 break
             taken = reached & F.col("cluster").isin(sound)
-        members = assigned.where(taken).drop("vec")
+            placed = [c for k in sound for c in owners.get(k, [])]
+        members = _named(assigned.where(taken), given, owners, names)
         out = members if out is None else out.unionByName(members)
         waiting, first = [c for c in waiting if c not in placed], first + len(centres)
         left = cut_lineage(assigned.where(~taken).select("id", "vec"))
-        n, total, squares = summarise(left, dimensions, given, later=True)
+        n, total, squares = summarise(left, dimensions, given[waiting], later=True)
         # an entry that lies in a cluster found before is the edge of it, no topic
         unit = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)
         thick = ((unit @ known.T).max(axis=1, initial=-1.0) < least)
         if not thick.any():
             break
-        centres = cut_levels(n[thick], total[thick], squares[thick], np.zeros((0, dimensions))) if thick.sum() > 2 else unit[thick]
-        known = np.concatenate([known, centres])
+        centres = cut_levels(n[thick], total[thick], squares[thick], given[waiting]) if thick.sum() > 2 else unit[thick]
     return out
 
 

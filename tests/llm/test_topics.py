@@ -121,3 +121,23 @@ def test_entries_beyond_one_tree(spark, monkeypatch):
     many = {r.id: r.concept_id for r in P.cluster(rows, concepts, 48).collect() if r.concept_id}
     planted_rows = [f"r{i}" for i in np.flatnonzero(label >= 0)]
     assert [one.get(i) for i in planted_rows] == [many.get(i) for i in planted_rows] and None not in [many.get(i) for i in planted_rows]
+
+
+def test_parts_of_a_topic_are_joined(spark, monkeypatch):
+    """A level that cuts a topic in two leaves all its rows with its concept."""
+    rows, label, centre = planted(spark, [4000, 600, 400], 200)
+    halves = centre[0] + 0.15 * np.random.default_rng(2).standard_normal(48) * np.array([[1.0], [-1.0]]) / np.sqrt(48) * 2
+    cut = np.vstack([halves, centre[1:]])
+    cut /= np.linalg.norm(cut, axis=1, keepdims=True)
+    monkeypatch.setattr(P, "cut_levels", lambda *_: cut)
+    got = {r.id: r.concept_id for r in P.cluster(rows, [(f"k{i}", list(map(float, c))) for i, c in enumerate(centre)], 48).collect()}
+    assert all(sum(got.get(f"r{i}") == f"k{k}" for i in np.flatnonzero(label == k)) >= 0.99 * (label == k).sum() for k in range(3))
+
+
+def test_an_entry_of_many_rows_takes_in_no_more_than_one_of_few():
+    x, _, centre = sample(seed=6, groups=1, each=40, strays=0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    far = np.linalg.svd(centre)[2][-1:]  # at a right angle to the topic
+    for times in (1, 1000):
+        n, total, squares = np.array([40.0 * times]), x.sum(axis=0, keepdims=True) * times, np.array([40.0 * times])
+        assert P.Tree(24, 1).takes_in(n, total, squares, centre).all() and not P.Tree(24, 1).takes_in(n, total, squares, far).any()
